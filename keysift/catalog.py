@@ -1,7 +1,8 @@
 """The rule catalogue: what counts as a secret, and how each kind is recognised.
 
 Rules are plain data.  ``RULES`` is turned into literal-pattern Columns by
-``keysift.operators.detect`` and into a small lookup frame by ``rules_frame``.
+``keysift.operators.detect`` and into a small lookup frame by
+``keysift.operators.listing``.
 A user extends detection by passing ``RULES + [Rule(...)]``.
 """
 
@@ -10,8 +11,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
 # The six categories, in report order, with their headings.
 CATEGORIES = {
     "private_key": "Private Keys",
@@ -168,14 +167,3 @@ def jvm_pattern(pattern: str, flags: str = "") -> str:
     in_class = re.sub(r"(\[[^\]]*)\\s", lambda m: m.group(1) + WHITESPACE, pattern)
     spelled = in_class.replace(r"\s", f"[{WHITESPACE}]").replace(r"\d", r"\p{Nd}")
     return f"(?d{'s' if 's' in flags else ''}{'iu' if 'i' in flags else ''}){spelled}"
-
-
-def rules_frame(spark: SparkSession, rules: list[Rule] | None = None) -> DataFrame:
-    """The catalogue as a frame (one row per rule; a few dozen rows by nature)."""
-    order = {c: i for i, c in enumerate(CATEGORIES, 1)}
-    rows = [(i, r.secret_id, r.category, order.get(r.category, len(order) + 1),
-             CATEGORIES.get(r.category, r.category), r.label, r.confidence, r.search_query,
-             r.min_length, r.max_length) for i, r in enumerate(rules or RULES, 1)]
-    return spark.createDataFrame(
-        rows, "ord int, secret_id string, category string, category_ord int, category_label string, "
-              "label string, confidence string, search_query string, min_length int, max_length int")

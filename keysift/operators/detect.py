@@ -24,11 +24,11 @@ SECRET_TYPE = "array<struct<ord:int,pos:int,sha:string,sample:string>>"
 _HIT_TYPE = "array<struct<sha:string,ord:int,pos:int,sample:string>>"
 
 
-def contains_secret(content: str = "content") -> Column:
+def contains_secret(content: str = "content", anchors: Sequence[str] = ANCHORS) -> Column:
     """True when any anchor occurs, in any letter case; false for null or empty text."""
     fold = sql_contains_any(content, FOLDING_LETTERS)
     # exists() over a one-element array binds the lower-cased text once.
-    return F.expr(f"coalesce(exists(array(lower({content})), t -> {_anchored(content, 't', fold)}), false)")
+    return F.expr(f"coalesce(exists(array(lower({content})), t -> {_anchored(content, 't', fold, anchors)}), false)")
 
 
 def pem_header_count(content: str = "content") -> Column:
@@ -36,11 +36,12 @@ def pem_header_count(content: str = "content") -> Column:
     return F.expr(f"coalesce({_pem_headers(content)}, 0)")
 
 
-def detect(files: DataFrame, content: str = "content", rules: Sequence[Rule] | None = None) -> DataFrame:
+def detect(files: DataFrame, content: str = "content", rules: Sequence[Rule] | None = None,
+           anchors: Sequence[str] = ANCHORS) -> DataFrame:
     """Replace ``content`` by ``secrets`` and ``pem_headers``; keep every other column and row.
 
     ``secrets`` lists each distinct fingerprint of the file once (first rule, then
-    first position wins) in (ord, pos) order.
+    first position wins) in (ord, pos) order.  A rule of one's own needs an anchor too.
     """
     keep = [c for c in files.columns if c != content]
 
@@ -53,7 +54,7 @@ def detect(files: DataFrame, content: str = "content", rules: Sequence[Rule] | N
     # Sorted by fingerprint, copies are neighbours: in-file dedup without leaving the row.
     ordered = found.select(
         *keep,
-        F.expr(f"""CASE WHEN size(_found) = 0 OR NOT {_anchored(content, '_lower', '_fold')} THEN null
+        F.expr(f"""CASE WHEN size(_found) = 0 OR NOT {_anchored(content, '_lower', '_fold', anchors)} THEN null
                         WHEN size(_found) = 1 THEN _found ELSE array_sort(_found) END""").alias("_hits"),
         F.expr(f"""CASE WHEN _fold THEN {_pem_headers(content)}
                         WHEN contains(_lower, 'private key') THEN {_pem_headers_in_lower('_lower')}
@@ -78,22 +79,26 @@ def explode_secrets(detected: DataFrame) -> DataFrame:
             .select(*others, "s.ord", "s.pos", "s.sha", "s.sample"))
 
 
-def describe_rule(ord_col: Column, field: str, rules: Sequence[Rule] | None = None) -> Column:
-    """A rule attribute by rule position, as a literal look-up (no join)."""
-    return F.element_at(F.array(*(F.lit(getattr(r, field)) for r in rules or RULES)), ord_col)
+def rule_field(ord_sql: str, field: str, rules: Sequence[Rule] | None = None) -> str:
+    """SQL for a rule attribute by rule position: a literal look-up, no join."""
+    return f"element_at(array({', '.join(sql_text(getattr(r, field)) for r in rules or RULES)}), {ord_sql})"
 
 
-def detections(files: DataFrame, content: str = "content", rules: Sequence[Rule] | None = None) -> DataFrame:
+def detections(files: DataFrame, content: str = "content", rules: Sequence[Rule] | None = None,
+               anchors: Sequence[str] = ANCHORS) -> DataFrame:
     """The flat detection table: one row per file and distinct fingerprint."""
-    rows = explode_secrets(detect(files, content, rules))
+    return describe(explode_secrets(detect(files, content, rules, anchors)), rules)
+
+
+def describe(rows: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Spell out (ord, sha, sample) rows as reported detections."""
     others = [c for c in rows.columns if c not in ("ord", "pos", "sha", "sample", "pem_headers")]
+    category = rule_field("ord", "category", rules)
     return rows.select(
-        *others, "ord", "pos",
-        *(describe_rule(F.col("ord"), f, rules).alias(f) for f in ("secret_id", "category", "label")),
-        F.col("sha").alias("sha256_fingerprint"),
-        describe_rule(F.col("ord"), "confidence", rules).alias("confidence"),
-        F.col("sample").alias("redacted_sample"),
-        (describe_rule(F.col("ord"), "category", rules) == "private_key").alias("is_pem_block"))
+        *others, "ord", "pos", F.expr(rule_field("ord", "secret_id", rules)).alias("secret_id"),
+        F.expr(category).alias("category"), F.expr(rule_field("ord", "label", rules)).alias("label"),
+        F.col("sha").alias("sha256_fingerprint"), F.expr(rule_field("ord", "confidence", rules)).alias("confidence"),
+        F.col("sample").alias("redacted_sample"), F.expr(f"{category} = 'private_key'").alias("is_pem_block"))
 
 
 def group_by_category(detected: DataFrame, key: str = "file_id", rules: Sequence[Rule] | None = None) -> DataFrame:
@@ -101,16 +106,33 @@ def group_by_category(detected: DataFrame, key: str = "file_id", rules: Sequence
 
     Works inside each file's own array, so no shuffle is needed.
     """
-    def one(category: str) -> Column:
-        ids = F.transform(F.filter("secrets", lambda s: describe_rule(s["ord"], "category", rules) == category),
-                          lambda s: describe_rule(s["ord"], "secret_id", rules))
-        return F.struct(F.lit(category).alias("category"), ids.alias("secret_ids"))
-
-    groups = detected.select(key, F.explode_outer(F.array(*(one(c) for c in CATEGORIES))).alias("g"))
-    return (groups.select(key, "g.category", F.size("g.secret_ids").alias("n_secrets"), "g.secret_ids")
+    category, secret_id = rule_field("s.ord", "category", rules), rule_field("s.ord", "secret_id", rules)
+    names = ", ".join(sql_text(c) for c in dict.fromkeys([*CATEGORIES, *(r.category for r in rules or RULES)]))
+    groups = f"""transform(array({names}), c -> named_struct('category', c,
+        'secret_ids', transform(filter(secrets, s -> {category} = c), s -> {secret_id})))"""
+    return (detected.select(key, F.explode_outer(F.expr(groups)).alias("g"))
+            .select(key, "g.category", F.size("g.secret_ids").alias("n_secrets"), "g.secret_ids")
             .where("n_secrets > 0"))
 
 
+def match_counts(files: DataFrame, key: str = "file_id", content: str = "content",
+                 rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Per file and rule: matches (repeats included), and those within the length limits."""
+    lowered = files.where(contains_secret(content)).select(
+        key, content, F.lower(content).alias("_lower"),
+        F.expr(sql_contains_any(content, FOLDING_LETTERS)).alias("_fold"))
+    counts = []
+    for i, rule in enumerate(rules or RULES, 1):
+        matches = f"regexp_extract_all({content}, {sql_text(jvm_pattern(rule.pattern, rule.flags))}, 0)"
+        counts.append(f"""CASE WHEN {_possible(rule, content)} THEN transform(array({matches}),
+            ms -> named_struct('ord', {i}, 'n_matches', size(ms),
+                               'n_fitting', size(filter(ms, m -> {_fits(rule, _value(rule))}))))[0] END""")
+    return (lowered.select(key, F.explode_outer(F.expr(f"array({', '.join(counts)})")).alias("c"))
+            .where("c.n_matches > 0")
+            .select(key, "c.ord", F.expr(rule_field("c.ord", "secret_id", rules)).alias("secret_id"),
+                    "c.n_matches", "c.n_fitting"))
+
+
 def count_by_rule(found: DataFrame) -> DataFrame:
     return found.groupBy("secret_id", "confidence").agg(F.count("*").alias("n_detections"))
 
@@ -118,17 +140,25 @@ def count_by_rule(found: DataFrame) -> DataFrame:
 def _rule_hits(ord_: int, rule: Rule, content: str) -> str:
     """SQL for all distinct matches of one rule that pass its length limits."""
     pattern = sql_text(jvm_pattern(rule.pattern, rule.flags))
-    # The value is re-read from the short match, which saves a second pass over the text.
-    value = sql_strip("m" if rule.whole else f"regexp_extract(m, {pattern}, 1)")
-    fits = f"length(x.v) >= {rule.min_length}" + (f" AND length(x.v) <= {rule.max_length}" if rule.max_length else "")
     found = f"""transform(
         filter(transform(array_distinct(regexp_extract_all({content}, {pattern}, 0)),
-                         m -> named_struct('m', m, 'v', {value})), x -> {fits}),
+                         m -> named_struct('m', m, 'v', {_value(rule)})), x -> {_fits(rule, 'x.v')}),
         (x, i) -> named_struct('sha', sha2(x.m, 256), 'ord', {ord_}, 'pos', i, 'sample',
             if(length(x.v) >= 4, concat(substr(x.v, 1, 4), '****'), '****')))"""
     return f"CASE WHEN {_possible(rule, content)} THEN {found} ELSE cast(array() AS {_HIT_TYPE}) END"
 
 
+def _value(rule: Rule) -> str:
+    """SQL of the value inside a match ``m``: re-read from the short match, not from the text."""
+    pattern = sql_text(jvm_pattern(rule.pattern, rule.flags))
+    return sql_strip("m" if rule.whole else f"regexp_extract(m, {pattern}, 1)")
+
+
+def _fits(rule: Rule, value: str) -> str:
+    upper = f" AND length({value}) <= {rule.max_length}" if rule.max_length else ""
+    return f"length({value}) >= {rule.min_length}{upper}"
+
+
 def _possible(rule: Rule, content: str) -> str:
     """SQL telling whether a rule's necessary literals all occur."""
     if not rule.needs:
@@ -138,11 +168,11 @@ def _possible(rule: Rule, content: str) -> str:
     return "_fold OR (" + " AND ".join(sql_contains_any("_lower", any_) for any_ in rule.needs) + ")"
 
 
-def _anchored(content: str, lower: str, fold: str) -> str:
+def _anchored(content: str, lower: str, fold: str, anchors: Sequence[str]) -> str:
     """SQL of the pre-screen: literal look-ups, or the pattern where folding letters occur."""
-    pattern = jvm_pattern("|".join(re.escape(a) for a in ANCHORS), "i")
+    pattern = jvm_pattern("|".join(re.escape(a) for a in anchors), "i")
     # The shortest anchors are by far the most common in any text, so they go first.
-    literals = sorted(dict.fromkeys(a.lower() for a in ANCHORS), key=len)
+    literals = sorted(dict.fromkeys(a.lower() for a in anchors), key=len)
     return f"""(CASE WHEN {fold} THEN {content} RLIKE {sql_text(pattern)}
                 ELSE {sql_contains_any(lower, literals)} END)"""
 

@@ -51,6 +51,10 @@ class Corpus:
     def commits(self) -> DataFrame:
         return commits_of(self.table("lineitem"))
 
+    @cached_property
+    def targets(self) -> DataFrame:
+        return targets_of(self.owners, self.repos)
+
     @cached_property
     def files(self) -> DataFrame:
         return files_of(self.table("documents"))
@@ -127,6 +131,32 @@ def commits_of(lineitem: DataFrame) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
 
 
+_REQUESTED = """CASE {0} % 4 WHEN 0 THEN array('ALL') WHEN 1 THEN
+    array('RSA_PRIVATE_KEY', 'openssh_private_key', 'NO_SUCH_RULE') WHEN 2 THEN array('all')
+    ELSE array('GITHUB_PAT', 'STRIPE_SECRET_KEY', 'GITHUB_PAT') END"""
+
+
+def targets_of(owners: DataFrame, repos: DataFrame) -> DataFrame:
+    """(target_id, raw, secret_ids): scan requests in many spellings, one per owner and repository."""
+    by_owner = owners.select(F.expr("concat('o', owner_id)").alias("target_id"), F.expr("""CASE owner_id % 14
+        WHEN 0 THEN owner_login WHEN 1 THEN concat('https://github.com/', owner_login)
+        WHEN 2 THEN concat('https://github.com/', owner_login, '/') WHEN 3 THEN concat('github.com/', owner_login)
+        WHEN 4 THEN concat('https://GITHUB.COM/', owner_login) WHEN 5 THEN concat('  ', owner_login, ' ')
+        WHEN 6 THEN concat('https://gitlab.com/', owner_login) WHEN 7 THEN concat(owner_login, '.org')
+        WHEN 8 THEN '' WHEN 9 THEN '   ' WHEN 10 THEN 'https://github.com/'
+        WHEN 11 THEN concat('https://github.com/', owner_login, '?tab=repositories')
+        WHEN 12 THEN concat('https://github.com:443/', owner_login)
+        ELSE concat('https://github.com/bad ', owner_login) END""").alias("raw"), F.expr(_REQUESTED.format("owner_id")).alias("secret_ids"))
+    by_repo = repos.select(F.expr("concat('r', repo_id)").alias("target_id"), F.expr("""CASE repo_id % 8
+        WHEN 0 THEN repo_name WHEN 1 THEN concat('https://github.com/', repo_name)
+        WHEN 2 THEN concat('https://github.com/', repo_name, '/tree/main/src')
+        WHEN 3 THEN concat('www.github.com/', repo_name) WHEN 4 THEN concat('http://github.com//', repo_name, '/')
+        WHEN 5 THEN concat('github.com/', repo_name, '/blob/main/README.md#L1')
+        WHEN 6 THEN concat('https://bitbucket.org/', repo_name)
+        ELSE concat(repo_name, '-gone') END""").alias("raw"), F.expr(_REQUESTED.format("repo_id")).alias("secret_ids"))
+    return by_owner.unionByName(by_repo)
+
+
 # Columns that order the commits of one repository, newest last.
 COMMIT_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 
