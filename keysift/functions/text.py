@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keysift.catalog import WHITESPACE, jvm_pattern
+from keysift.catalog import WHITESPACE
 
 # Letters outside ASCII that equal an ASCII letter when case is ignored (dotted capital I,
 # dotless i, long s, Kelvin sign).  Where one occurs, lower-casing is not a safe substitute
@@ -20,10 +20,6 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 def contains_any(text: Column, words: Iterable[str]) -> Column:
     return any_of(text.contains(F.lit(w)) for w in words)
 
@@ -37,34 +33,12 @@ def sql_contains_any(text: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in words) + ")"
 
 
-def has_folding_letter(text: Column) -> Column:
-    return contains_any(text, FOLDING_LETTERS)
-
-
 _ENDS = rf"\A[{WHITESPACE}]+|[{WHITESPACE}]+\z"
 
 
-def strip(text: Column) -> Column:
-    """Remove white space (the whole Unicode set) from both ends."""
-    return F.regexp_replace(text, _ENDS, "")
-
-
 def sql_strip(text: str) -> str:
     return f"regexp_replace({text}, {sql_text(_ENDS)}, '')"
 
 
-def matches_any(text: Column, patterns: Iterable[str]) -> Column:
-    return any_of(text.rlike(p if p.startswith("(?") else jvm_pattern(p)) for p in patterns)
-
-
-def first_listed(words: list[str], condition) -> Column:
-    """The first word of the list for which ``condition(word)`` holds, else null.
-
-    List order decides, not the position of the word in the text.
-    """
-    return reduce(lambda acc, w: acc.when(condition(w), F.lit(w)), words[1:],
-                  F.when(condition(words[0]), F.lit(words[0])))
-
-
 def non_empty(text: Column) -> Column:
     return F.coalesce(text != "", F.lit(False))

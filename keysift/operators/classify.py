@@ -6,77 +6,90 @@ compared with the running sum, so the order is part of the result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keysift import wordlists as w
-from keysift.functions.text import contains_any, first_listed, matches_any
+from keysift.catalog import jvm_pattern
+from keysift.functions.bind import computed_once
+from keysift.functions.text import sql_contains_any, sql_text
 from keysift.functions.time import as_column, iso_text, whole_days
 
 
-def _text(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def key_volume() -> Column:
-    """Keys in the file for scoring: listed ones or private-key headers, whichever is more."""
-    return F.greatest("key_count", "pem_headers")
-
-
-def dump_keyword() -> Column:
-    """First listed dump word contained in the repository name, else null."""
-    name = F.lower(_text("repo_name"))
-    return first_listed(w.DUMP_KEYWORDS, lambda word: name.contains(F.lit(word)))
-
-
-def non_owner_commit() -> Column:
-    """The latest author resembles the owner neither by name nor by e-mail."""
-    owner = F.lower(_text("owner_login"))
-    author, email = _text("latest_commit_author_name"), F.lower(_text("latest_commit_author_email"))
-    return ((author != "") & ~owner.contains(F.lower(author)) & (email != "")
-            & ~F.substring_index(email, "@", 1).contains(owner))
-
-
-def gist() -> Column:
-    return _text("repo_url").contains("/gist.github.com/") | _text("repo_name").startswith("gist:")
+def _first_listed(words: Sequence[str], condition: str) -> str:
+    """SQL for the first word of the list that meets the condition (with the word as {0}).
 
-
-def suspicious_login() -> Column:
-    return matches_any(_text("owner_login"), w.SUSPICIOUS_LOGINS)
-
-
-def account_age(as_of) -> Column:
-    return whole_days(as_column(as_of), F.col("owner_created_at"))
-
-
-def dev_path() -> Column:
-    """'ssh', 'test' or 'other' for a path of an ordinary project, else null."""
-    path = F.lower(_text("file_path"))
-    return F.when(matches_any(path, w.DEV_PATHS),
-                  F.when((key_volume() == 1) & path.contains(".ssh"), "ssh")
-                  .when(contains_any(path, ["test", "fixture", "example"]), "test").otherwise("other"))
-
-
-def research_topic() -> Column:
-    topics = F.coalesce(F.col("repo_topics"), F.array().cast("array<string>"))
-    return first_listed(w.RESEARCH_TOPICS, lambda t: F.array_contains(topics, t))
+    List order decides, not the position of the word in the text.
+    """
+    return "CASE " + " ".join(f"WHEN {condition.format(sql_text(x))} THEN {sql_text(x)}" for x in words) + " END"
+
+
+def _matches_any(text: str, patterns: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"{text} RLIKE {sql_text(p if p.startswith('(?') else jvm_pattern(p))}"
+                             for p in patterns) + ")"
+
+
+# Signals as SQL over the columns of a hydrated finding.  ``_name``, ``_owner`` and
+# ``_path`` are lower-cased; key_volume is the number of listed keys or of private-key
+# headers, whichever is more.
+SIGNALS = {
+    # First listed dump word in the repository name.
+    "sig_dump_keyword": _first_listed(w.DUMP_KEYWORDS, "contains(_name, {0})"),
+    # The latest author resembles the owner neither by name nor by e-mail.
+    "sig_non_owner": """(coalesce(latest_commit_author_name, '') <> ''
+        AND NOT contains(_owner, lower(latest_commit_author_name))
+        AND coalesce(latest_commit_author_email, '') <> ''
+        AND NOT contains(substring_index(lower(latest_commit_author_email), '@', 1), _owner))""",
+    "sig_bulk": f"CASE WHEN key_volume >= {w.MASS_KEYS} THEN 'mass' WHEN key_volume >= {w.BULK_KEYS} THEN 'bulk' END",
+    "sig_gist": """(contains(coalesce(repo_url, ''), '/gist.github.com/')
+        OR startswith(coalesce(repo_name, ''), 'gist:'))""",
+    "sig_username": _matches_any("coalesce(owner_login, '')", w.SUSPICIOUS_LOGINS),
+    "sig_new_account": f"if(_age < {w.NEW_ACCOUNT_DAYS}, _age, null)",
+    # How a path marks an ordinary project: personal .ssh, test material, or other.
+    "sig_dev_path": f"""CASE WHEN NOT {_matches_any('_path', w.DEV_PATHS)} THEN null
+        WHEN key_volume = 1 AND contains(_path, '.ssh') THEN 'ssh'
+        WHEN {sql_contains_any('_path', ['test', 'fixture', 'example'])} THEN 'test' ELSE 'other' END""",
+    "sig_topic": _first_listed(w.RESEARCH_TOPICS, "array_contains(repo_topics, {0})"),
+}
+
+
+def _term(condition: str, name: str) -> str:
+    return f"if({condition}, {w.WEIGHTS[name]}D, 0D)"
+
+
+_RUNNING = " ".join([
+    "0D +", _term("sig_dump_keyword IS NOT NULL", "dump_keyword"), "+", _term("sig_non_owner", "non_owner"),
+    f"+ CASE sig_bulk WHEN 'mass' THEN {w.WEIGHTS['mass']}D WHEN 'bulk' THEN {w.WEIGHTS['bulk']}D ELSE 0D END",
+    "+", _term("sig_gist", "gist"), "+", _term("sig_username", "username"),
+    "+", _term("sig_new_account IS NOT NULL", "new_account"),
+    f"- CASE sig_dev_path WHEN 'ssh' THEN {w.WEIGHTS['ssh_single']}D WHEN 'test' THEN {w.WEIGHTS['test_path']}D "
+    f"WHEN 'other' THEN {w.WEIGHTS['dev_path']}D ELSE 0D END"])
+
+# The texts of the signals in scoring order; null where one did not fire.
+_TEXTS = """array_compact(array(
+    concat('repo name contains dump keyword \\'', sig_dump_keyword, '\\''),
+    if(sig_non_owner, concat('commit author \\'', latest_commit_author_name, '\\' ≠ repo owner \\'',
+                             coalesce(owner_login, ''), '\\''), null),
+    CASE sig_bulk WHEN 'mass' THEN concat('mass key dump: ', key_volume, ' keys in file')
+                  WHEN 'bulk' THEN concat('bulk keys: ', key_volume, ' keys in file') END,
+    if(sig_gist, 'hosted as a GitHub Gist', null),
+    if(sig_username, concat('suspicious username pattern: \\'', owner_login, '\\''), null),
+    concat('account only ', sig_new_account, ' days old'),
+    CASE sig_dev_path WHEN 'ssh' THEN 'single key in personal .ssh/ directory (likely accidental)'
+        WHEN 'test' THEN concat('key in test/fixture/example folder: \\'', file_path, '\\'')
+        WHEN 'other' THEN concat('file path matches normal dev pattern: \\'', file_path, '\\'') END,
+    if(sig_pem, 'file has .pem extension (weak accidental signal)', null),
+    concat('repo topic \\'', sig_topic, '\\' suggests research/CTF context')))"""
 
 
 def with_signals(findings: DataFrame, as_of) -> DataFrame:
-    """Add one column per signal: ``sig_*``."""
-    volume = key_volume()
-    age = account_age(as_of)
-    return findings.withColumns({
-        "key_volume": volume,
-        "sig_dump_keyword": dump_keyword(),
-        "sig_non_owner": non_owner_commit(),
-        "sig_bulk": F.when(volume >= w.MASS_KEYS, "mass").when(volume >= w.BULK_KEYS, "bulk"),
-        "sig_gist": gist(),
-        "sig_username": suspicious_login(),
-        "sig_new_account": F.when(age < w.NEW_ACCOUNT_DAYS, age),
-        "sig_dev_path": dev_path(),
-        "sig_topic": research_topic(),
-    })
+    """Add ``key_volume`` and one column per signal: ``sig_*``."""
+    prepared = findings.withColumn("_age", whole_days(as_column(as_of), F.col("owner_created_at"))).selectExpr(
+        "*", "greatest(key_count, pem_headers) AS key_volume", "lower(coalesce(repo_name, '')) AS _name",
+        "lower(coalesce(owner_login, '')) AS _owner", "lower(coalesce(file_path, '')) AS _path")
+    return computed_once(prepared, SIGNALS).drop("_age", "_name", "_owner")
 
 
 def classify(findings: DataFrame, as_of) -> DataFrame:
@@ -84,61 +97,14 @@ def classify(findings: DataFrame, as_of) -> DataFrame:
 
     ``findings`` is hydrated and has ``key_count`` and ``pem_headers``.
     """
-    weight = w.WEIGHTS
-    sig = {n: F.col(f"sig_{n}") for n in ("dump_keyword", "non_owner", "bulk", "gist", "username",
-                                           "new_account", "dev_path", "topic")}
-
-    def term(condition: Column, value: float) -> Column:
-        return F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
-
-    before_pem = (
-        F.lit(0.0) + term(sig["dump_keyword"].isNotNull(), weight["dump_keyword"])
-        + term(sig["non_owner"], weight["non_owner"])
-        + F.when(sig["bulk"] == "mass", F.lit(weight["mass"])).when(sig["bulk"] == "bulk", F.lit(weight["bulk"]))
-        .otherwise(F.lit(0.0))
-        + term(sig["gist"], weight["gist"]) + term(sig["username"], weight["username"])
-        + term(sig["new_account"].isNotNull(), weight["new_account"])
-        - F.when(sig["dev_path"] == "ssh", F.lit(weight["ssh_single"]))
-        .when(sig["dev_path"] == "test", F.lit(weight["test_path"]))
-        .when(sig["dev_path"] == "other", F.lit(weight["dev_path"])).otherwise(F.lit(0.0)))
-    scored = with_signals(findings, as_of).withColumn("_score", before_pem)
-    is_pem = F.lower(_text("file_path")).endswith(".pem") & (F.col("_score") <= F.lit(w.PEM_SCORE_MAX))
-    scored = scored.withColumn("sig_pem", is_pem)
-    total = (F.col("_score") - term(F.col("sig_pem"), weight["pem"])
-             - term(sig["topic"].isNotNull(), weight["topic"]))
-    scored = scored.withColumn("confidence_score",
-                               F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 3)).drop("_score")
-    score = F.col("confidence_score")
-    return scored.withColumns({
-        "classification": F.when(score >= F.lit(w.LEAKED_MIN), "LEAKED")
-        .when(score <= F.lit(w.ACCIDENTAL_MAX), "ACCIDENTAL").otherwise("UNCERTAIN"),
-        "signals": F.array_compact(F.array(*_signal_texts(sig))),
-        "commit_date": F.coalesce(iso_text(F.col("latest_commit_date")), F.lit("unknown")),
-    })
-
-
-def _signal_texts(sig: dict[str, Column]) -> list[Column]:
-    """The text of every signal in scoring order; null where it did not fire."""
-    volume = F.col("key_volume").cast("string")
-    path, login = _text("file_path"), _text("owner_login")
-
-    def when(condition: Column, *parts) -> Column:
-        return F.when(condition, F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)))
-
-    return [
-        when(sig["dump_keyword"].isNotNull(), "repo name contains dump keyword '", sig["dump_keyword"], "'"),
-        when(sig["non_owner"], "commit author '", _text("latest_commit_author_name"), "' ≠ repo owner '", login, "'"),
-        when(sig["bulk"] == "mass", "mass key dump: ", volume, " keys in file"),
-        when(sig["bulk"] == "bulk", "bulk keys: ", volume, " keys in file"),
-        when(sig["gist"], "hosted as a GitHub Gist"),
-        when(sig["username"], "suspicious username pattern: '", login, "'"),
-        when(sig["new_account"].isNotNull(), "account only ", sig["new_account"].cast("string"), " days old"),
-        when(sig["dev_path"] == "ssh", "single key in personal .ssh/ directory (likely accidental)"),
-        when(sig["dev_path"] == "test", "key in test/fixture/example folder: '", path, "'"),
-        when(sig["dev_path"] == "other", "file path matches normal dev pattern: '", path, "'"),
-        when(F.col("sig_pem"), "file has .pem extension (weak accidental signal)"),
-        when(sig["topic"].isNotNull(), "repo topic '", sig["topic"], "' suggests research/CTF context"),
-    ]
+    running = with_signals(findings, as_of).selectExpr("*", f"{_RUNNING} AS _running")
+    pem = running.selectExpr("*", f"endswith(_path, '.pem') AND _running <= {w.PEM_SCORE_MAX}D AS sig_pem")
+    total = f"_running - {_term('sig_pem', 'pem')} - {_term('sig_topic IS NOT NULL', 'topic')}"
+    scored = computed_once(pem, {"confidence_score": f"round(greatest(0D, least(1D, {total})), 3)"})
+    label = (f"CASE WHEN confidence_score >= {w.LEAKED_MIN}D THEN 'LEAKED' "
+             f"WHEN confidence_score <= {w.ACCIDENTAL_MAX}D THEN 'ACCIDENTAL' ELSE 'UNCERTAIN' END")
+    return (scored.selectExpr("*", f"{label} AS classification", f"{_TEXTS} AS signals").drop("_running", "_path")
+            .withColumn("commit_date", F.coalesce(iso_text(F.col("latest_commit_date")), F.lit("unknown"))))
 
 
 def run_summary(classified: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysift.functions.bind import computed_once
 from keysift.functions.text import sql_strip, sql_text
 
 GLOBAL_LABEL = "Global scan (all of GitHub)"
@@ -21,50 +22,42 @@ def parse_targets(targets: DataFrame, raw: str = "raw") -> DataFrame:
     scope_type is global, repo, org (also for a user, until resolved) or invalid.
     Pure column expressions: any number of targets is parsed in one narrow pass.
     """
-    text = targets.withColumn("raw_input", F.expr(sql_strip(f"coalesce({raw}, '')")))
-    url = ("if(startswith(raw_input, 'http://') OR startswith(raw_input, 'https://'), raw_input, "
-           "concat('https://', raw_input))")
+    text = computed_once(targets, {"raw_input": sql_strip(f"coalesce({raw}, '')")})
     # Tabs and line breaks inside a URL are ignored; a path ends at ? or # and its last
     # segment at ;
-    cleaned = text.withColumn("_url", F.expr(f"regexp_replace({url}, '[\\\\t\\\\r\\\\n]', '')"))
-    split = cleaned.withColumns({
-        "_host": F.regexp_extract("_url", r"\Ahttps?://([^/?#]*)", 1),
-        "_parts": F.expr(r"""filter(split(regexp_replace(regexp_extract(_url, '\\Ahttps?://[^/?#]*([^?#]*)', 1),
-                             ';[^/]*\\z', ''), '/'), p -> p <> '')"""),
-    })
-    bare_pair = f"(raw_input RLIKE {sql_text(_PAIR)} AND NOT contains(lower(raw_input), 'github.com'))"
-    bare_name = f"(raw_input RLIKE {sql_text(_NAME)} AND NOT contains(raw_input, '.'))"
+    url = computed_once(text, {"_url": """regexp_replace(
+        if(startswith(raw_input, 'http://') OR startswith(raw_input, 'https://'), raw_input,
+           concat('https://', raw_input)), '[\\\\t\\\\r\\\\n]', '')"""})
+    split = computed_once(url, {
+        "_host": "regexp_extract(_url, '^https?://([^/?#]*)', 1)",
+        "_parts": """filter(split(regexp_replace(regexp_extract(_url, '^https?://[^/?#]*([^?#]*)', 1),
+                            ';[^/]*$', ''), '/'), p -> p <> '')"""})
     first, second = "get(_parts, 0)", "get(_parts, 1)"
-    kind = F.expr(f"""CASE
+    kinds = computed_once(split, {"_kind": f"""CASE
         WHEN raw_input = '' THEN 'global'
-        WHEN {bare_pair} THEN 'bare_repo'
-        WHEN {bare_name} THEN 'bare_org'
+        WHEN raw_input RLIKE {sql_text(_PAIR)} AND NOT contains(lower(raw_input), 'github.com') THEN 'bare_repo'
+        WHEN raw_input RLIKE {sql_text(_NAME)} AND NOT contains(raw_input, '.') THEN 'bare_org'
         WHEN lower(_host) NOT IN {_HOSTS} THEN 'bad_host'
         WHEN size(_parts) = 0 THEN 'global'
         WHEN size(_parts) = 1 THEN if({first} RLIKE {sql_text(_NAME)}, 'org', 'bad_name')
         WHEN size(_parts) = 2 THEN if({first} RLIKE {sql_text(_NAME)} AND {second} RLIKE {sql_text(_NAME)},
                                       'repo', 'bad_repo')
-        ELSE 'deep_repo' END""")
-    kinds = split.withColumn("_kind", kind)
-    name = F.expr(f"""CASE WHEN _kind IN ('bare_repo', 'bare_org') THEN raw_input
-        WHEN _kind = 'org' THEN {first} WHEN _kind IN ('repo', 'deep_repo') THEN concat_ws('/', {first}, {second})
-        ELSE '' END""")
-    scoped = kinds.withColumns({
-        "name": name,
-        "scope_type": F.expr("""CASE WHEN _kind = 'global' THEN 'global' WHEN startswith(_kind, 'bad') THEN 'invalid'
-                                WHEN endswith(_kind, 'repo') THEN 'repo' ELSE 'org' END"""),
-    })
-    return scoped.withColumns({
-        "search_qualifier": F.expr("if(scope_type IN ('org', 'repo'), concat(scope_type, ':', name), '')"),
-        "display_label": F.expr(f"""CASE scope_type WHEN 'global' THEN '{GLOBAL_LABEL}'
-            WHEN 'org' THEN concat('Organisation / user: ', name)
+        ELSE 'deep_repo' END"""})
+    scoped = computed_once(kinds, {
+        "scope_type": """CASE WHEN _kind = 'global' THEN 'global' WHEN startswith(_kind, 'bad') THEN 'invalid'
+                         WHEN endswith(_kind, 'repo') THEN 'repo' ELSE 'org' END""",
+        "name": f"""CASE WHEN _kind IN ('bare_repo', 'bare_org') THEN raw_input WHEN _kind = 'org' THEN {first}
+                    WHEN _kind IN ('repo', 'deep_repo') THEN concat_ws('/', {first}, {second}) ELSE '' END"""})
+    return scoped.selectExpr(
+        "*", "if(scope_type IN ('org', 'repo'), concat(scope_type, ':', name), '') AS search_qualifier",
+        f"""CASE scope_type WHEN 'global' THEN '{GLOBAL_LABEL}' WHEN 'org' THEN concat('Organisation / user: ', name)
             WHEN 'repo' THEN concat('Single repository: ', name,
                                     if(_kind = 'deep_repo', ' (truncated from longer URL)', ''))
-            ELSE '' END"""),
-        "error": F.expr(f"""CASE _kind WHEN 'bad_host' THEN concat('unsupported host: ', _host)
+            ELSE '' END AS display_label""",
+        f"""CASE _kind WHEN 'bad_host' THEN concat('unsupported host: ', _host)
             WHEN 'bad_name' THEN concat('invalid name: ', {first})
-            WHEN 'bad_repo' THEN concat('invalid repository: ', {first}, '/', {second}) END"""),
-    }).drop("_url", "_host", "_parts", "_kind")
+            WHEN 'bad_repo' THEN concat('invalid repository: ', {first}, '/', {second}) END AS error"""
+    ).drop("_url", "_host", "_parts", "_kind")
 
 
 def resolve_targets(parsed: DataFrame, owners: DataFrame, repos: DataFrame) -> DataFrame:
@@ -77,26 +70,26 @@ def resolve_targets(parsed: DataFrame, owners: DataFrame, repos: DataFrame) -> D
     known = owners.select(F.lower("owner_login").alias("_login"), "owner_type", "owner_public_repos")
     names = repos.select(F.lower("repo_name").alias("_repo"))
     # Only org targets may meet an owner, only repo targets a repository.
-    keyed = parsed.withColumns({
-        "_login": F.expr("if(scope_type = 'org', lower(name), null)"),
-        "_wanted": F.expr("if(scope_type = 'repo', lower(name), null)")})
-    joined = keyed.join(known, "_login", "left").join(names, F.col("_wanted") == F.col("_repo"), "left")
-    kind = F.expr("""CASE WHEN scope_type = 'org' AND owner_type IS NULL THEN 'invalid'
-                          WHEN scope_type = 'org' AND owner_type <> 'Organization' THEN 'user'
-                          WHEN scope_type = 'repo' AND _repo IS NULL THEN 'invalid' ELSE scope_type END""")
-    out = joined.withColumn("_kind", kind)
-    return out.withColumns({
-        "error": F.expr("""CASE WHEN _kind <> 'invalid' OR scope_type = 'invalid' THEN error
-            WHEN scope_type = 'org' THEN concat('neither org nor user: ', name) ELSE concat('not found: ', name) END"""),
-        "search_qualifier": F.expr("""CASE WHEN _kind IN ('org', 'user', 'repo') THEN concat(_kind, ':', name)
-                                      ELSE '' END"""),
-        "display_label": F.expr("""CASE _kind
+    keyed = parsed.selectExpr("*", "if(scope_type = 'org', lower(name), null) AS _wanted_login",
+                              "if(scope_type = 'repo', lower(name), null) AS _wanted_repo")
+    joined = (keyed.join(known, F.col("_wanted_login") == F.col("_login"), "left")
+              .join(names, F.col("_wanted_repo") == F.col("_repo"), "left"))
+    checked = computed_once(joined, {"_kind": """CASE
+        WHEN scope_type = 'org' AND owner_type IS NULL THEN 'invalid'
+        WHEN scope_type = 'org' AND owner_type <> 'Organization' THEN 'user'
+        WHEN scope_type = 'repo' AND _repo IS NULL THEN 'invalid' ELSE scope_type END"""})
+    new = {
+        "scope_type": "_kind",
+        "search_qualifier": "if(_kind IN ('org', 'user', 'repo'), concat(_kind, ':', name), '')",
+        "display_label": """CASE _kind
             WHEN 'org' THEN concat('Organisation: ', name, ' (', owner_public_repos, ' public repos)')
             WHEN 'user' THEN concat('User: ', name, ' (', owner_public_repos, ' public repos)')
-            WHEN 'invalid' THEN '' ELSE display_label END"""),
-        "scope_type": F.col("_kind"),
-        "verified": F.col("_kind") != "invalid",
-    }).drop("_kind", "_login", "_wanted", "_repo", "owner_type", "owner_public_repos")
+            WHEN 'invalid' THEN '' ELSE display_label END""",
+        "error": """CASE WHEN _kind <> 'invalid' OR scope_type = 'invalid' THEN error
+            WHEN scope_type = 'org' THEN concat('neither org nor user: ', name) ELSE concat('not found: ', name) END""",
+        "verified": "_kind <> 'invalid'"}
+    kept = [c for c in parsed.columns if c not in new]
+    return checked.selectExpr(*kept, *(f"{sql} AS {name}" for name, sql in new.items()))
 
 
 def scoped_repo_ids(scopes: DataFrame, repos: DataFrame, owners: DataFrame) -> DataFrame:
