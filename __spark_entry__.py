@@ -19,9 +19,10 @@ from keysift.operators import classify as C
 from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.operators import trends as T
-from keysift.plans.durable import materialise
+from keysift.plans.durable import materialise, scratch_dir
 from keysift.plans.scan import Inputs, classified_findings
-from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus
+from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus, files_of
+from keysift.streaming.arrivals import scan_arrivals
 from oracle.queries_sql import ORACLE
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -210,7 +211,7 @@ def _custom_rule_documents(c: Corpus) -> DataFrame:
 # ── Findings ─────────────────────────────────────────────────────────────────────────────
 
 def _first_seen_secrets(c: Corpus) -> DataFrame:
-    firsts = P.first_seen(D.detect(c.files))
+    firsts = P.first_seen(D.explode_secrets(D.detect(c.files)))
     return firsts.select(F.col("sha").alias("sha256_fingerprint"), "file_id",
                          F.expr(D.rule_field("ord", "secret_id")).alias("secret_id"))
 
@@ -224,6 +225,13 @@ def _findings_nodedup(c: Corpus) -> DataFrame:
     return P.findings(detected, skip_duplicates=False).select("file_id", "key_count", "n_new", "pem_headers", _shas())
 
 
+def _stream_findings(c: Corpus) -> DataFrame:
+    spark = c.files.sparkSession
+    out = scratch_dir(spark)
+    scan_arrivals(files_of(c.arriving_documents()), out, f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/findings").select("file_id", "key_count", _shas())
+
+
 def _class_counts(c: Corpus) -> DataFrame:
     return _found(c).groupBy("classification").agg(F.count("*").alias("n_findings"))
 
@@ -282,6 +290,7 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "first_seen_secrets": _first_seen_secrets,
     "findings_dedup": _findings_dedup,
     "findings_nodedup": _findings_nodedup,
+    "stream_findings": _stream_findings,
     "run_summary": lambda c: C.run_summary(_found(c)),
     "run_summary_nodedup": lambda c: C.run_summary(_found(c, skip_duplicates=False)),
     "sig_dump_keyword": lambda c: _signals(c, "sig_dump_keyword"),

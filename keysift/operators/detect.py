@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift.catalog import ANCHORS, CATEGORIES, PEM_HEADER, RULES, Rule, jvm_pattern
+from keysift.functions.bind import computed_once
 from keysift.functions.text import FOLDING_LETTERS, sql_contains_any, sql_strip, sql_text
 
 # ord: rule position; pos: position among the rule's distinct matches in the file.
@@ -56,26 +57,26 @@ def detect(files: DataFrame, content: str = "content", rules: Sequence[Rule] | N
         *keep,
         F.expr(f"""CASE WHEN size(_found) = 0 OR NOT {_anchored(content, '_lower', '_fold', anchors)} THEN null
                         WHEN size(_found) = 1 THEN _found ELSE array_sort(_found) END""").alias("_hits"),
-        F.expr(f"""CASE WHEN _fold THEN {_pem_headers(content)}
+        F.expr(f"""coalesce(CASE WHEN _fold THEN {_pem_headers(content)}
                         WHEN contains(_lower, 'private key') THEN {_pem_headers_in_lower('_lower')}
-                        ELSE 0 END""").alias("pem_headers"))
-    firsts = f"""coalesce(array_sort(transform(
+                        ELSE 0 END, 0)""").alias("pem_headers"))
+    listed = """coalesce(array_sort(transform(
         filter(_hits, (x, i) -> i = 0 OR x.sha <> get(_hits, i - 1).sha),
         x -> named_struct('ord', x.ord, 'pos', x.pos, 'sha', x.sha, 'sample', x.sample))),
-        cast(array() AS {SECRET_TYPE}))"""
-    return ordered.select(*keep, F.expr(firsts).alias("secrets"), F.coalesce("pem_headers", F.lit(0)).alias("pem_headers"))
+        cast(array() AS """ + SECRET_TYPE + "))"
+    # Later filters on the result must not repeat the patterns below them.
+    return computed_once(ordered, {"secrets": listed}).select(*keep, "secrets", "pem_headers")
 
 
-def explode_secrets(detected: DataFrame) -> DataFrame:
-    """One row per (file, fingerprint).
+def with_secrets(detected: DataFrame) -> DataFrame:
+    """Only files in which something was found."""
+    return detected.where(F.size("secrets") > 0)
 
-    ``explode_outer`` and a later null filter are deliberate: a plain ``explode``
-    makes the optimiser infer a size filter and push it, with the whole detection
-    expression, below the projection, which would run every pattern twice.
-    """
+
+def explode_secrets(detected: DataFrame) -> DataFrame:
+    """One row per (file, fingerprint)."""
     others = [c for c in detected.columns if c != "secrets"]
-    return (detected.select(*others, F.explode_outer("secrets").alias("s"))
-            .where(F.col("s.sha").isNotNull())
+    return (detected.select(*others, F.explode("secrets").alias("s"))
             .select(*others, "s.ord", "s.pos", "s.sha", "s.sample"))
 
 

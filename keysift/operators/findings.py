@@ -13,19 +13,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.operators.detect import SECRET_TYPE, explode_secrets
+from keysift.operators.candidates import first_visits
+from keysift.operators.detect import explode_secrets, with_secrets
 
 KEY = "file_id"
 
 
-def first_seen(detected: DataFrame, order: Sequence[str] = (KEY,)) -> DataFrame:
-    """One row per distinct fingerprint: where it was seen first, with that file's columns.
+def first_seen(rows: DataFrame, order: Sequence[str] = (KEY,)) -> DataFrame:
+    """One row per distinct fingerprint of exploded detections: where it was seen first,
+    with that file's columns.
 
     A single aggregation by fingerprint.  A value copied into a third of all files is
     reduced to one row per map task before the shuffle, and because the aggregate
     itself carries the winning row no join back to the detections is needed.
     """
-    rows = explode_secrets(detected)
     rank = [*order, "ord", "pos"]
     rest = [c for c in rows.columns if c not in rank and c != "sha"]
     firsts = rows.groupBy("sha").agg(F.min(F.struct(*rank, *rest)).alias("f"))
@@ -51,31 +52,21 @@ def findings(detected: DataFrame, skip_duplicates: bool = True, visits: DataFram
     skipping duplicates every visit is a finding.  When duplicates are kept,
     ``detected`` is used twice, so pass a materialised frame.
     """
-    order = [KEY]
+    detected, order = with_secrets(detected), [KEY]
     if visits is not None:
-        firsts = visits.groupBy(KEY).agg(F.min("query_ord").alias("query_ord"))
-        detected = detected.join(firsts, KEY)
-        order = ["query_ord", KEY]
-    new = new_secrets_by_file(first_seen(detected, order))
+        detected, order = detected.join(first_visits(visits, KEY), KEY), ["query_ord", KEY]
+    new = new_secrets_by_file(first_seen(explode_secrets(detected), order))
     if skip_duplicates:
-        return new.withColumn("key_count", F.size("secrets")).withColumn("n_new", F.size("secrets"))
+        return new.withColumns({"key_count": F.size("secrets"), "n_new": F.size("secrets")})
 
-    # Guard the size test behind explode-like semantics: ``detected`` is materialised here.
-    full = detected.where(F.size("secrets") > 0)
-    news = new.select(KEY, F.col("secrets").alias("_new"))
-    joined = full.join(news, KEY, "left")
+    joined = detected.join(new.select(KEY, F.col("secrets").alias("_new")), KEY, "left")
     listed = F.coalesce("_new", "secrets")
-    n_new = F.coalesce(F.size("_new"), F.lit(0))
-    out = (joined.withColumn("n_new", F.when(F.col("_new").isNull(), 0).otherwise(n_new))
-           .withColumn("secrets", listed).withColumn("key_count", F.size("secrets")).drop("_new"))
+    out = joined.withColumns({"n_new": F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new")),
+                              "key_count": F.size(listed), "secrets": listed}).drop("_new")
     if visits is None:
         return out
     # Later visits of a file find nothing new and list everything the file holds.
-    again = (visits.select("query_ord", KEY).join(full.withColumnRenamed("query_ord", "_first"), KEY)
+    again = (visits.select("query_ord", KEY).join(detected.withColumnRenamed("query_ord", "_first"), KEY)
              .where("query_ord > _first").drop("_first")
-             .withColumn("n_new", F.lit(0)).withColumn("key_count", F.size("secrets")))
+             .withColumns({"n_new": F.lit(0), "key_count": F.size("secrets")}))
     return out.unionByName(again)
-
-
-def empty_secrets() -> str:
-    return f"cast(array() AS {SECRET_TYPE})"

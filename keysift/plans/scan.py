@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from keysift.catalog import Rule
 from keysift.operators import classify as C
 from keysift.operators import trends as T
-from keysift.operators.detect import detect
+from keysift.operators.detect import detect, with_secrets
 from keysift.operators.findings import findings
 from keysift.operators.hydrate import hydrate, latest_commit
 from keysift.operators.reports import disclosure_targets, finding_records, findings_metadata
@@ -39,26 +39,38 @@ class Inputs:
     commit_order: Sequence[str] = ("ts",)
 
 
-def detected_files(inputs: Inputs, scopes: DataFrame | None = None, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Detections per file, restricted to ``scopes`` when given.
+def detected_files(inputs: Inputs, scopes: DataFrame | None = None, visits: DataFrame | None = None,
+                   rules: Sequence[Rule] | None = None) -> DataFrame:
+    """Files in which something was found, within ``scopes`` and ``visits`` when given.
 
-    A scope of few repositories is broadcast and prunes files before their text is
-    looked at.  A wide scope is applied after detection instead, so that the join
-    moves detections rather than text.
+    A short list of repositories or files is broadcast and prunes files before their
+    text is looked at.  A long list is applied after detection instead, so that the
+    join moves detections rather than text.
     """
-    files = inputs.files.where(F.col("content").isNotNull())
-    if scopes is None:
-        return detect(files, rules=rules)
-    ids = scoped_repo_ids(scopes, inputs.repos, inputs.owners)
-    if small_enough(ids):
-        return detect(files.join(F.broadcast(ids), "repo_id", "left_semi"), rules=rules)
-    return detect(files, rules=rules).join(ids, "repo_id", "left_semi")
+    files, wide = inputs.files.where(F.col("content").isNotNull()), []
+    limits = []
+    if scopes is not None:
+        limits.append(("repo_id", scoped_repo_ids(scopes, inputs.repos, inputs.owners)))
+    if visits is not None:
+        limits.append(("file_id", visits.select("file_id").distinct()))
+    for key, ids in limits:
+        if small_enough(ids):
+            files = files.join(F.broadcast(ids), key, "left_semi")
+        else:
+            wide.append((key, ids))
+    detected = with_secrets(detect(files, rules=rules))
+    for key, ids in wide:
+        detected = detected.join(ids, key, "left_semi")
+    return detected
 
 
 def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, scopes: DataFrame | None = None,
                         visits: DataFrame | None = None, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Labelled findings with all context columns."""
-    detected = detected_files(inputs, scopes, rules)
+    if visits is not None:
+        # Finding the visits reads the text once; they are used several times.
+        visits = materialise(visits)
+    detected = detected_files(inputs, scopes, visits, rules)
     if not skip_duplicates:
         detected = materialise(detected)
     found = findings(detected, skip_duplicates, visits)

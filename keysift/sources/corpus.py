@@ -15,12 +15,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.functions.text import sql_text
-from keysift.sources.tables import spread
+from keysift.sources.tables import arriving_files, read_table, spread
 
 # Fixed value: the moment of analysis for the supplied data.
 AS_OF = "2001-12-01 00:00:00"
 
 
+# Column types of the supplied tables: no job is spent on finding them out.
+SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 class Corpus:
     """The input tables, each read only when asked for."""
 
@@ -29,7 +43,11 @@ class Corpus:
         self._spark, self._dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return read_table(self._spark, f"{self._dir}/{name}.parquet", schema=SCHEMAS[name])
+
+    def arriving_documents(self) -> DataFrame:
+        """The documents as a stream of files."""
+        return arriving_files(self._spark, self._dir, SCHEMAS["documents"], pathGlobFilter="documents.parquet")
 
     @cached_property
     def owners(self) -> DataFrame:

@@ -13,6 +13,11 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def arriving_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
+    """Files landing in a folder, as a stream.  Streams need a schema up front."""
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Use all cores when a scan has too few splits to occupy them.
 
@@ -21,6 +26,8 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     to that many splits.  A large scan is left alone, its text never shuffles.
     ``scan`` must be a plain scan; hashing on the key keeps retried tasks stable.
     """
+    if scan.isStreaming:
+        return scan
     wanted = 2 * scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(wanted, key) if scan.rdd.getNumPartitions() < wanted // 2 else scan
 

@@ -10,21 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from keysift.catalog import Rule
-from keysift.operators.detect import detect
+from keysift.operators.detect import detect, explode_secrets
 from keysift.operators.findings import first_seen, new_secrets_by_file
 from keysift.plans.durable import materialise
 
 
-def arriving_files(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Files landing in a folder, as a stream.  Streams need a schema up front."""
-    return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
-
-
 def scan_arrivals(files: DataFrame, out_dir: str, state_dir: str, rules: Sequence[Rule] | None = None,
                   trigger: dict | None = None) -> StreamingQuery:
     """Write the findings of each micro-batch to ``out_dir/findings``.
@@ -37,7 +32,7 @@ def scan_arrivals(files: DataFrame, out_dir: str, state_dir: str, rules: Sequenc
 
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        firsts = first_seen(detect(batch, rules=rules))
+        firsts = first_seen(explode_secrets(detect(batch, rules=rules)))
         if batch_id > 0:
             earlier = (spark.read.schema("sha string, batch_id long").parquet(seen_dir)
                        .where(F.col("batch_id") < batch_id).select("sha"))

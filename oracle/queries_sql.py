@@ -277,6 +277,7 @@ ORACLE: dict[str, str] = {
       {SHAS} AS fingerprints FROM listed JOIN pem USING (file_id)""",
     "findings_nodedup": f"""{BASE} SELECT file_id, len(secrets) AS key_count, n_new, pem_headers,
       {SHAS} AS fingerprints FROM all_listed JOIN pem USING (file_id)""",
+    "stream_findings": f"{BASE} SELECT file_id, len(secrets) AS key_count, {SHAS} AS fingerprints FROM listed",
     "run_summary": f"""{LABELLED} SELECT count(*) AS total_findings, count(*) FILTER (classification = 'LEAKED') AS leaked_count,
       count(*) FILTER (classification = 'ACCIDENTAL') AS accidental_count,
       count(*) FILTER (classification = 'UNCERTAIN') AS uncertain_count,

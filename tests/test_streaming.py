@@ -1,6 +1,7 @@
 from keysift.operators import detect as D
 from keysift.operators import findings as P
-from keysift.streaming.arrivals import arriving_files, scan_arrivals
+from keysift.sources.tables import arriving_files
+from keysift.streaming.arrivals import scan_arrivals
 
 SCHEMA = "file_id long, repo_id long, file_path string, content string"
 
