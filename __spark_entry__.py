@@ -19,6 +19,7 @@ from keysift.operators import classify as C
 from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.operators import trends as T
+from keysift.operators.skew import hot_keys
 from keysift.plans.durable import materialise, scratch_dir
 from keysift.plans.scan import Inputs, classified_findings
 from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus, files_of
@@ -134,7 +135,7 @@ def _findings_by_search(c: Corpus) -> DataFrame:
 
 def _hydrate_hits(c: Corpus) -> DataFrame:
     hits = hydrate.hydrate(c.files.drop("content"), c.repos, c.owners, hydrate.latest_commit(c.commits, COMMIT_ORDER),
-                           c.languages, c.topics)
+                           c.languages, c.topics, hot_keys(c.files, "repo_id"))
     return hits.select(
         "file_id", "repo_name", "repo_url", "repo_description", "file_path", "default_branch", "raw_content_url",
         iso_text(F.col("repo_created_at")).alias("repo_created_at"),

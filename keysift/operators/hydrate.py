@@ -2,8 +2,9 @@
 
 Every join is a left join: a missing repository, owner, commit, language or topic
 never drops a row.  Detections are few compared with files, so a run hydrates its
-findings, not its files.  A repository holding a large share of the rows makes a
-skewed join, which adaptive execution splits (the many side is on the left).
+findings, not its files.  The tables keyed by repository are joined with each other
+first (one row per key on every side) and then meet the rows in a single join, for
+which the hot repositories are spread.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keysift.operators.skew import spread_left_join
+
 
 def latest_commit(commits: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = ("repo_id",)) -> DataFrame:
     """The newest commit per key; ``order`` lists the columns that decide, the last ones break ties.
@@ -40,22 +43,31 @@ def topic_list(topics: DataFrame, key: str = "repo_id") -> DataFrame:
     return topics.groupBy(key).agg(F.array_sort(F.collect_set("topic")).alias("repo_topics"))
 
 
+def repository_context(repos: DataFrame, latest: DataFrame | None = None, languages: DataFrame | None = None,
+                       topics: DataFrame | None = None) -> DataFrame:
+    """One row per repository with everything known by repository."""
+    out = repos
+    if latest is not None:
+        out = out.join(latest, "repo_id", "left")
+    out = (out.join(language_map(languages), "repo_id", "left") if languages is not None
+           else out.withColumn("repo_languages", F.lit(None).cast("map<string,bigint>")))
+    return (out.join(topic_list(topics), "repo_id", "left") if topics is not None
+            else out.withColumn("repo_topics", F.lit(None).cast("array<string>")))
+
+
 def hydrate(rows: DataFrame, repos: DataFrame, owners: DataFrame, latest: DataFrame,
-            languages: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
-    """Add all context columns.  ``rows`` needs ``repo_id``; ``file_path`` gives the file URLs.
+            languages: DataFrame | None = None, topics: DataFrame | None = None,
+            hot_repos: DataFrame | None = None) -> DataFrame:
+    """Add all context columns.  ``rows`` needs file_id, repo_id and file_path.
 
-    ``latest`` comes from ``latest_commit``, keyed by repo_id or by repo_id and file_path.
+    ``latest`` comes from ``latest_commit``, keyed by repo_id or by repo_id and file_path;
+    ``hot_repos`` from ``skew.hot_keys``.  Owners are joined last, on a key of their own.
     """
-    commit_keys = [k for k in ("repo_id", "file_path") if k in latest.columns]
-    out = rows.join(repos, "repo_id", "left").join(latest, commit_keys, "left")
-    if languages is not None:
-        out = out.join(language_map(languages), "repo_id", "left")
-    else:
-        out = out.withColumn("repo_languages", F.lit(None).cast("map<string,bigint>"))
-    if topics is not None:
-        out = out.join(topic_list(topics), "repo_id", "left")
-    else:
-        out = out.withColumn("repo_topics", F.lit(None).cast("array<string>"))
+    by_path = "file_path" in latest.columns
+    context = repository_context(repos, None if by_path else latest, languages, topics)
+    out = spread_left_join(rows, context, "repo_id", "file_id", hot_repos)
+    if by_path:
+        out = out.join(latest, ["repo_id", "file_path"], "left")
     out = out.join(owners, "owner_id", "left")
     branch = F.coalesce(F.nullif("default_branch", F.lit("")), F.lit("main"))
     return (out.withColumns({

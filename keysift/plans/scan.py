@@ -22,6 +22,7 @@ from keysift.operators.findings import findings
 from keysift.operators.hydrate import hydrate, latest_commit
 from keysift.operators.reports import disclosure_targets, finding_records, findings_metadata
 from keysift.operators.scope import scoped_repo_ids
+from keysift.operators.skew import hot_keys
 from keysift.plans.durable import materialise, small_enough
 from keysift.sources.tables import run_stamp, write_disclosure_csv, write_findings_json, write_trends
 
@@ -75,7 +76,7 @@ def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, sco
         detected = materialise(detected)
     found = findings(detected, skip_duplicates, visits)
     context = hydrate(found, inputs.repos, inputs.owners, latest_commit(inputs.commits, inputs.commit_order),
-                      inputs.languages, inputs.topics)
+                      inputs.languages, inputs.topics, hot_keys(inputs.files, "repo_id"))
     return C.classify(context, as_of)
 
 

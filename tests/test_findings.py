@@ -4,6 +4,7 @@ from keysift.operators import candidates as Q
 from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.operators import hydrate as H
+from keysift.operators.skew import hot_keys, spread_left_join
 from keysift.plans.durable import materialise
 from tests import brute
 from tests.test_detect import HEX, POSITIVE, block
@@ -126,10 +127,10 @@ def test_latest_commit_and_ties(spark):
     assert row.latest_commit_sha == "c" and row.latest_commit_author_name is None
 
 
-def hydrated(spark, rows, repos):
+def hydrated(spark, rows, repos, hot=None):
     commits = spark.createDataFrame([], "repo_id long, ts timestamp, commit_sha string, author_name string, author_email string")
     owners = spark.createDataFrame([(7, "alice")], "owner_id long, owner_login string")
-    return H.hydrate(rows, repos, owners, H.latest_commit(commits))
+    return H.hydrate(rows, repos, owners, H.latest_commit(commits), hot_repos=hot)
 
 
 def test_hydration_keeps_every_row(spark):
@@ -141,30 +142,43 @@ def test_hydration_keeps_every_row(spark):
     assert got[1].default_branch == "main" and got[1].repo_topics == [] and got[1].repo_languages == {}
 
 
-def test_skewed_repository_is_split(spark):
-    """A third of all rows belong to one repository: adaptive execution splits that join."""
-    rows = spark.range(200_000).select(
-        F.col("id").alias("file_id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 2000 + 2).alias("repo_id"),
-        F.concat(F.lit("path"), F.col("id")).alias("file_path"))
-    repos = spark.range(1, 2100).selectExpr("id AS repo_id", "7L AS owner_id", "concat('alice/', id) AS repo_name",
-                                            "'u' AS repo_url", "'main' AS default_branch")
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
-                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
-                "spark.sql.shuffle.partitions": "16"}
-    before = {k: spark.conf.get(k, None) for k in settings}
+def skewed(spark):
+    """A third of all rows in one repository, a tenth in another, a tenth without any."""
+    rows = spark.range(30_000).selectExpr(
+        "id AS file_id", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 10 = 1 THEN 2 WHEN id % 10 = 2 THEN null ELSE id % 700 + 3 END "
+        "AS repo_id", "concat('path', id) AS file_path")
+    repos = spark.range(1, 600).selectExpr("id AS repo_id", "7L AS owner_id", "concat('alice/', id) AS repo_name",
+                                           "'u' AS repo_url", "'main' AS default_branch")
+    return rows, repos
+
+
+def test_hot_keys(spark):
+    rows, _ = skewed(spark)
+    assert {r.repo_id: r.n_parts for r in hot_keys(rows, "repo_id", 1000).collect()} == {1: 10, 2: 2}
+    assert hot_keys(rows, "repo_id", 10_000) is None
+
+
+def test_hot_repository_is_spread_and_nothing_is_lost(spark):
+    rows, repos = skewed(spark)
+    hot = hot_keys(rows, "repo_id", 500)
+    columns = ["file_id", "repo_id", "repo_name", "owner_login"]
+    plain = sorted(map(tuple, hydrated(spark, rows, repos).select(*columns).collect()), key=str)
+    spread = sorted(map(tuple, hydrated(spark, rows, repos, hot).select(*columns).collect()), key=str)
+    assert plain == spread and len(spread) == 30_000
+
+    # Without adaptive execution or broadcasts: the biggest task of the join, before and after.
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16",
+                "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        df = rows.join(repos, "repo_id", "left")
-        assert df.agg(F.count("*"), F.count("repo_name")).first()[:] == (200_000, 200_000)
-        full = hydrated(spark, rows, repos)
-        assert full.count() == 200_000
-        out = df.select("file_id", "repo_name")
-        out.write.format("noop").mode("overwrite").save()
-        out.collect()
-        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+
+        def biggest(h):
+            joined = spread_left_join(rows, repos, "repo_id", "file_id", h)
+            return joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+        assert biggest(None) > 10_000 and biggest(hot) < 5_000
     finally:
         for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+            spark.conf.set(k, v)
