@@ -109,7 +109,8 @@ def _resolved(c: Corpus) -> DataFrame:
 
 
 def _targets_resolved(c: Corpus) -> DataFrame:
-    return _resolved(c).select("target_id", "scope_type", "name", "search_qualifier", "display_label", "error", "verified")
+    return _resolved(c).select(
+        "target_id", "scope_type", "name", "search_qualifier", "display_label", "error", "verified")
 
 
 def _scope_semi_join(c: Corpus) -> DataFrame:
@@ -142,8 +143,9 @@ def _hydrate_hits(c: Corpus) -> DataFrame:
         iso_text(F.col("repo_pushed_at")).alias("repo_pushed_at"), "repo_language",
         F.size("repo_languages").alias("n_languages"), _joined("repo_topics"), "repo_stargazers", "repo_size_kb",
         "owner_login", "owner_type", iso_text(F.col("owner_created_at")).alias("owner_created_at"),
-        "owner_public_repos", "owner_followers", "owner_location", "latest_commit_sha", "latest_commit_author_name",
-        "latest_commit_author_email", iso_text(F.col("latest_commit_date")).alias("latest_commit_date"))
+        "owner_public_repos", "owner_followers", "owner_following", "owner_bio", "owner_location", "file_url",
+        "latest_commit_sha", "latest_commit_author_name", "latest_commit_author_email",
+        iso_text(F.col("latest_commit_date")).alias("latest_commit_date"))
 
 
 def _latest_commit(c: Corpus) -> DataFrame:
@@ -311,8 +313,8 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "account_profiles": lambda c: _flat(_profiles(c)),
     "account_age_bands": lambda c: T.account_age_bands(_profiles(c)),
     "automation_suspects": lambda c: _flat(T.automation_suspects(_profiles(c))),
-    "top_accounts": lambda c: T.top_accounts(_profiles(c)).select("owner_login", "repo_count", "total_keys", "age_label",
-                                                                  "is_suspected_automation"),
+    "top_accounts": lambda c: T.top_accounts(_profiles(c)).select(
+        "owner_login", "repo_count", "total_keys", "age_label", "is_suspected_automation"),
     "keyword_freq": lambda c: T.keyword_frequency(_leaked(c)),
     "top_name_tokens": lambda c: T.top_name_tokens(_leaked(c)),
     "language_share": lambda c: T.language_share(_leaked(c)),

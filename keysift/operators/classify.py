@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keysift import wordlists as w
@@ -107,13 +107,15 @@ def classify(findings: DataFrame, as_of) -> DataFrame:
             .withColumn("commit_date", F.coalesce(iso_text(F.col("latest_commit_date")), F.lit("unknown"))))
 
 
+def summary_columns() -> list[Column]:
+    label = F.col("classification")
+    return [F.count("*").alias("total_findings"),
+            F.count_if(label == "LEAKED").alias("leaked_count"),
+            F.count_if(label == "ACCIDENTAL").alias("accidental_count"),
+            F.count_if(label == "UNCERTAIN").alias("uncertain_count")]
+
+
 def run_summary(classified: DataFrame) -> DataFrame:
     """Totals of one run.  Every fingerprint is new exactly once, so the new ones add up
     to the number of distinct fingerprints without a distinct count."""
-    label = F.col("classification")
-    return classified.agg(
-        F.count("*").alias("total_findings"),
-        F.count_if(label == "LEAKED").alias("leaked_count"),
-        F.count_if(label == "ACCIDENTAL").alias("accidental_count"),
-        F.count_if(label == "UNCERTAIN").alias("uncertain_count"),
-        F.coalesce(F.sum("n_new"), F.lit(0)).alias("unique_hashes"))
+    return classified.agg(*summary_columns(), F.coalesce(F.sum("n_new"), F.lit(0)).alias("unique_hashes"))

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysift.catalog import Rule
+from keysift.catalog import CATEGORIES, RULES, Rule
+from keysift.functions.text import sql_text
 from keysift.functions.time import iso_text
-from keysift.operators.classify import run_summary
+from keysift.operators.classify import summary_columns
 from keysift.operators.detect import rule_field
 
 
@@ -45,14 +46,18 @@ def finding_records(classified: DataFrame, rules: Sequence[Rule] | None = None,
 
 
 def findings_metadata(classified: DataFrame, generated_at: str, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """One row: when, totals per class, secrets per category (a map of at most six entries)."""
-    categories = secrets_by_category(classified, rules).agg(F.map_from_entries(
-        F.array_sort(F.collect_list(F.struct("category", "n_secrets")))).alias("secrets_by_category"))
-    summary = run_summary(classified).select(
+    """One row: when, totals per class, secrets per category (a map of the categories that occur).
+
+    Each finding counts its own secrets per category, so one aggregation does it all.
+    """
+    category = rule_field("s.ord", "category", rules)
+    names = list(dict.fromkeys([*CATEGORIES, *(r.category for r in rules or RULES)]))
+    sums = {c: F.coalesce(F.sum(F.expr(f"size(filter(secrets, s -> {category} = {sql_text(c)}))")), F.lit(0))
+            for c in names}
+    by_category = F.create_map(*(x for c in names for x in (F.lit(c), F.col(f"_{c}"))))
+    return classified.agg(*summary_columns(), *(n.alias(f"_{c}") for c, n in sums.items())).select(
         F.lit(generated_at).alias("generated_at"), "total_findings", "leaked_count", "accidental_count",
-        "uncertain_count", F.lit(1).alias("_one"))
-    # Two one-row aggregates side by side.
-    return summary.join(categories.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        "uncertain_count", F.map_filter(by_category, lambda _, n: n > 0).alias("secrets_by_category"))
 
 
 def disclosure_targets(classified: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:

@@ -75,6 +75,7 @@ owners AS (
     CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Organization' ELSE 'User' END AS owner_type,
     {AS_OF} - to_days((c_custkey * 37 % 1500)::int) AS owner_created_at,
     (c_custkey % 40)::int AS owner_public_repos, floor(abs(c_acctbal))::int % 500 AS owner_followers,
+    (c_custkey % 25)::int AS owner_following, CASE WHEN c_custkey % 2 = 1 THEN 'bio of ' || c_name END AS owner_bio,
     CASE WHEN c_custkey % 3 <> 0 THEN n_name END AS owner_location
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
 repos AS (

@@ -237,7 +237,8 @@ ORACLE: dict[str, str] = {
       '' AS raw_content_url, {_ISO.format('repo_created_at')} AS repo_created_at, {_ISO.format('ts')} AS repo_pushed_at,
       repo_language, n_languages, array_to_string(repo_topics, ' | ') AS repo_topics, repo_stargazers, repo_size_kb,
       owner_login, owner_type, {_ISO.format('owner_created_at')} AS owner_created_at, owner_public_repos,
-      owner_followers, owner_location, commit_sha AS latest_commit_sha, author_name AS latest_commit_author_name,
+      owner_followers, owner_following, owner_bio, owner_location,
+      repo_url || '/blob/' || default_branch || '/' || file_path AS file_url, commit_sha AS latest_commit_sha, author_name AS latest_commit_author_name,
       author_email AS latest_commit_author_email, {_ISO.format('ts')} AS latest_commit_date
       FROM files LEFT JOIN repos USING (repo_id) LEFT JOIN owners USING (owner_id)
       LEFT JOIN (SELECT *, commit_ts AS ts FROM latest) USING (repo_id)""",
