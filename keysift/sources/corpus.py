@@ -164,14 +164,16 @@ def targets_of(owners: DataFrame, repos: DataFrame) -> DataFrame:
         WHEN 8 THEN '' WHEN 9 THEN '   ' WHEN 10 THEN 'https://github.com/'
         WHEN 11 THEN concat('https://github.com/', owner_login, '?tab=repositories')
         WHEN 12 THEN concat('https://github.com:443/', owner_login)
-        ELSE concat('https://github.com/bad ', owner_login) END""").alias("raw"), F.expr(_REQUESTED.format("owner_id")).alias("secret_ids"))
+        ELSE concat('https://github.com/bad ', owner_login) END""").alias("raw"),
+        F.expr(_REQUESTED.format("owner_id")).alias("secret_ids"))
     by_repo = repos.select(F.expr("concat('r', repo_id)").alias("target_id"), F.expr("""CASE repo_id % 8
         WHEN 0 THEN repo_name WHEN 1 THEN concat('https://github.com/', repo_name)
         WHEN 2 THEN concat('https://github.com/', repo_name, '/tree/main/src')
         WHEN 3 THEN concat('www.github.com/', repo_name) WHEN 4 THEN concat('http://github.com//', repo_name, '/')
         WHEN 5 THEN concat('github.com/', repo_name, '/blob/main/README.md#L1')
         WHEN 6 THEN concat('https://bitbucket.org/', repo_name)
-        ELSE concat(repo_name, '-gone') END""").alias("raw"), F.expr(_REQUESTED.format("repo_id")).alias("secret_ids"))
+        ELSE concat(repo_name, '-gone') END""").alias("raw"),
+        F.expr(_REQUESTED.format("repo_id")).alias("secret_ids"))
     return by_owner.unionByName(by_repo)
 
 

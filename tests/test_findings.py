@@ -7,7 +7,7 @@ from keysift.operators import hydrate as H
 from keysift.operators.skew import hot_keys, spread_left_join
 from keysift.plans.durable import materialise
 from tests import brute
-from tests.test_detect import HEX, POSITIVE, block
+from tests.test_detect import POSITIVE, block
 
 A, B, C = POSITIVE["NPM_TOKEN"], POSITIVE["GITLAB_TOKEN"], POSITIVE["STRIPE_SECRET_KEY"]
 FILES = [(1, A + " " + B), (2, B), (3, C + " " + A), (4, "nothing"), (5, C), (6, None)]
