@@ -136,7 +136,8 @@ def _findings_by_search(c: Corpus) -> DataFrame:
 
 def _hydrate_hits(c: Corpus) -> DataFrame:
     hits = hydrate.hydrate(c.files.drop("content"), c.repos, c.owners, hydrate.latest_commit(c.commits, COMMIT_ORDER),
-                           c.languages, c.topics, hot_keys(c.files, "repo_id"))
+                           c.languages, c.topics, hot_keys(c.files, "repo_id"),
+                           hot_keys(c.files, "owner_id", via=c.repos, via_key="repo_id"))
     return hits.select(
         "file_id", "repo_name", "repo_url", "repo_description", "file_path", "default_branch", "raw_content_url",
         iso_text(F.col("repo_created_at")).alias("repo_created_at"),

@@ -57,18 +57,18 @@ def repository_context(repos: DataFrame, latest: DataFrame | None = None, langua
 
 def hydrate(rows: DataFrame, repos: DataFrame, owners: DataFrame, latest: DataFrame,
             languages: DataFrame | None = None, topics: DataFrame | None = None,
-            hot_repos: DataFrame | None = None) -> DataFrame:
+            hot_repos: DataFrame | None = None, hot_owners: DataFrame | None = None) -> DataFrame:
     """Add all context columns.  ``rows`` needs file_id, repo_id and file_path.
 
     ``latest`` comes from ``latest_commit``, keyed by repo_id or by repo_id and file_path;
-    ``hot_repos`` from ``skew.hot_keys``.  Owners are joined last, on a key of their own.
+    ``hot_repos`` and ``hot_owners`` from ``skew.hot_keys``.  Owners are joined last, on a key of their own.
     """
     by_path = "file_path" in latest.columns
     context = repository_context(repos, None if by_path else latest, languages, topics)
     out = spread_left_join(rows, context, "repo_id", "file_id", hot_repos)
     if by_path:
         out = out.join(latest, ["repo_id", "file_path"], "left")
-    out = out.join(owners, "owner_id", "left")
+    out = spread_left_join(out, owners, "owner_id", "file_id", hot_owners)
     branch = F.coalesce(F.nullif("default_branch", F.lit("")), F.lit("main"))
     return (out.withColumns({
         "default_branch": branch,

@@ -15,15 +15,24 @@ ROWS_PER_PART = 1_000_000
 _NULL_PARTS = 4096
 
 
-def hot_keys(rows: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART) -> DataFrame | None:
+def hot_keys(rows: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART, via: DataFrame | None = None,
+             via_key: str | None = None) -> DataFrame | None:
     """(key, n_parts) for keys with more than ``rows_per_part`` rows; None if there are none.
 
     Reads only the key column, with partial counts.  The list is short by construction:
-    at most one key per ``rows_per_part`` rows of input.
+    at most one key per ``rows_per_part`` rows of input.  Fewer rows than that in all
+    cannot hold a hot key and are not counted.  With ``via`` (``via_key`` unique), rows
+    are counted by ``via_key`` first and the counts added up by its ``key``.
     """
-    hot = (rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-           .where(F.col("_n") > rows_per_part)
-           .select(key, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("n_parts")))
+    by = via_key or key
+    if rows.select(by).limit(rows_per_part + 1).count() <= rows_per_part:
+        return None
+    counts = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
+    if via is not None:
+        counts = (counts.join(via.select(by, key), by).where(F.col(key).isNotNull())
+                  .groupBy(key).agg(F.sum("_n").alias("_n")))
+    hot = counts.where(F.col("_n") > rows_per_part).select(
+        key, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("n_parts"))
     return None if hot.isEmpty() else hot
 
 

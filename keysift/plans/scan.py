@@ -76,7 +76,8 @@ def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, sco
         detected = materialise(detected)
     found = findings(detected, skip_duplicates, visits)
     context = hydrate(found, inputs.repos, inputs.owners, latest_commit(inputs.commits, inputs.commit_order),
-                      inputs.languages, inputs.topics, hot_keys(inputs.files, "repo_id"))
+                      inputs.languages, inputs.topics, hot_keys(inputs.files, "repo_id"),
+                      hot_keys(inputs.files, "owner_id", via=inputs.repos, via_key="repo_id"))
     return C.classify(context, as_of)
 
 

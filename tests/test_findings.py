@@ -127,10 +127,10 @@ def test_latest_commit_and_ties(spark):
     assert row.latest_commit_sha == "c" and row.latest_commit_author_name is None
 
 
-def hydrated(spark, rows, repos, hot=None):
+def hydrated(spark, rows, repos, hot=None, hot_owners=None):
     commits = spark.createDataFrame([], "repo_id long, ts timestamp, commit_sha string, author_name string, author_email string")
     owners = spark.createDataFrame([(7, "alice")], "owner_id long, owner_login string")
-    return H.hydrate(rows, repos, owners, H.latest_commit(commits), hot_repos=hot)
+    return H.hydrate(rows, repos, owners, H.latest_commit(commits), hot_repos=hot, hot_owners=hot_owners)
 
 
 def test_hydration_keeps_every_row(spark):
@@ -182,3 +182,16 @@ def test_hot_repository_is_spread_and_nothing_is_lost(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_hot_owner_is_spread_and_nothing_is_lost(spark):
+    rows, repos = skewed(spark)
+    repos = repos.withColumn("owner_id", F.expr("CASE WHEN repo_id < 300 THEN 7 WHEN repo_id < 400 THEN null ELSE repo_id END"))
+    hot = hot_keys(rows, "owner_id", 2000, via=repos, via_key="repo_id")
+    in_range = rows.where("repo_id < 300").count()
+    assert [(r.owner_id, r.n_parts) for r in hot.collect()] == [(7, -(-in_range // 2000))]
+    columns = ["file_id", "repo_id", "owner_id", "owner_login"]
+    plain = sorted(map(tuple, hydrated(spark, rows, repos).select(*columns).collect()), key=str)
+    spread = sorted(map(tuple, hydrated(spark, rows, repos, hot_keys(rows, "repo_id", 500), hot)
+                        .select(*columns).collect()), key=str)
+    assert plain == spread and len(spread) == 30_000 and sum(r[3] == "alice" for r in spread) == in_range
