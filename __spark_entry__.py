@@ -26,6 +26,13 @@ from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus, files_of
 from keysift.streaming.arrivals import scan_arrivals
 from oracle.queries_sql import ORACLE
 
+try:  # the operators on training data and their pipeline come in a subpackage that may be absent
+    from keysift.llm import queries as llm_queries
+except ModuleNotFoundError as absent:
+    if absent.name not in ("keysift.llm", "keysift.llm.queries", "corpus_pipeline"):
+        raise
+    llm_queries = None
+
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 # A rule of the user's own, for text the built-in rules do not cover.
@@ -39,11 +46,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _on_corpus(build) for name, build in _QUERIES.items()}
+    own = {name: _on_corpus(build) for name, build in _QUERIES.items()}
+    return own | (llm_queries.queries() if llm_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | (llm_queries.oracle_sql() if llm_queries else {})
 
 
 def _on_corpus(build: Callable[[Corpus], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -21,9 +21,9 @@ from keysift.operators.detect import detect, with_secrets
 from keysift.operators.findings import findings
 from keysift.operators.hydrate import hydrate, latest_commit
 from keysift.operators.reports import disclosure_targets, finding_records, findings_metadata
-from keysift.operators.scope import scoped_repo_ids
+from keysift.operators.scope import restrict
 from keysift.operators.skew import hot_keys
-from keysift.plans.durable import materialise, small_enough
+from keysift.plans.durable import materialise
 from keysift.sources.tables import run_stamp, write_disclosure_csv, write_findings_json, write_trends
 
 
@@ -44,24 +44,15 @@ def detected_files(inputs: Inputs, scopes: DataFrame | None = None, visits: Data
                    rules: Sequence[Rule] | None = None) -> DataFrame:
     """Files in which something was found, within ``scopes`` and ``visits`` when given.
 
-    A short list of repositories or files is broadcast and prunes files before their
-    text is looked at.  A long list is applied after detection instead, so that the
-    join moves detections rather than text.
+    Both restrict detections, not texts: the join moves fingerprints and samples, and
+    the text stays in its scan whatever the size of either list.
     """
-    files, wide = inputs.files.where(F.col("content").isNotNull()), []
-    limits = []
+    files = inputs.files.where(F.col("content").isNotNull())
+    detected = with_secrets(detect(files, rules=rules))
     if scopes is not None:
-        limits.append(("repo_id", scoped_repo_ids(scopes, inputs.repos, inputs.owners)))
+        detected = restrict(detected, scopes, inputs.repos, inputs.owners)
     if visits is not None:
-        limits.append(("file_id", visits.select("file_id").distinct()))
-    for key, ids in limits:
-        if small_enough(ids):
-            files = files.join(F.broadcast(ids), key, "left_semi")
-        else:
-            wide.append((key, ids))
-    detected = with_secrets(detect(files, rules=rules))
-    for key, ids in wide:
-        detected = detected.join(ids, key, "left_semi")
+        detected = detected.join(visits.select("file_id").distinct(), "file_id", "left_semi")
     return detected
 
 
