@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keysift.llm import content_sort, ownership, packing
+from keysift.llm import bitplanes, content_sort, cover_tree, langid, ownership, packing, warc
+from keysift.llm.word_ids import word_encoder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,12 +28,36 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.secret_spans(docs, repo=F.concat_ws("/", "source", "lang"), owner="source").drop("found")
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def encoder():
+        words = word_encoder(path)
+        return words.ids, words.width
+
+    manifest = bitplanes.write_shards(_table(spark, sf_dir, "documents"), encoder, end_id=1)
+    return bitplanes.read_shards(spark, manifest)
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op7_content_sort)} | {
+    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op6_bit_planes, op7_content_sort, op10_warc)} | {
         "pipeline": corpus_pipeline.run}
 
 
@@ -45,7 +71,25 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(tex
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.content) AS text_sha256
 FROM t JOIN g USING (content)"""
 
+_OP3 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+                  CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id AND len(q.v) = len(d.v)),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+_OP10 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+     g AS (SELECT payload, max(page_id) AS first_id FROM p WHERE octet_length(payload) >= 1000 GROUP BY payload)
+SELECT page_id, octet_length(p.payload) AS payload_bytes, sha1(p.payload) AS payload_digest,
+       CASE WHEN page_id < first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN g USING (payload)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op7_content_sort": _OP7}
+    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
