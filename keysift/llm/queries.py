@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keysift.llm import bitplanes, content_sort, cover_tree, langid, ownership, packing, warc
+from keysift.llm import bitplanes, bpe, content_sort, cover_tree, langid, ownership, packing, warc
 from keysift.llm.word_ids import word_encoder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
 
@@ -57,7 +61,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op6_bit_planes, op7_content_sort, op10_warc)} | {
+    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort, op10_warc)} | {
         "pipeline": corpus_pipeline.run}
 
 
