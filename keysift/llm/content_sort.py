@@ -3,7 +3,8 @@
 Texts without white space are range-partitioned by splitters that Spark samples from
 them, sorted within their range (spilling where needed), and compared in full with
 their neighbours: a window over the sorted rows starts a new group where the text
-changes.  DataFrame functions throughout; two exchanges, of which one moves texts.
+changes.  Splitters reach the driver, so ranges are cut by a text's first characters and
+a digest that parts longer common beginnings, not by whole texts.  DataFrame functions throughout; two exchanges, of which one moves texts.
 
 A text with more copies than a quarter of a task's share is dealt to several pieces by
 a hash of its id, which is part of the sort key.  At most ``4 * shuffle partitions``
@@ -25,6 +26,7 @@ from keysift.plans.durable import materialise
 
 # Fixed value: the characters that normalisation deletes.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
+SPLITTER_CHARS = 32
 
 
 def squeezed(text: Column) -> Column:
@@ -50,9 +52,11 @@ def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "piece", F.when(F.col("pieces").isNull(), -1).otherwise(
             F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.col("pieces"))).cast("int"))
 
-    neighbours = Window.partitionBy("content", "piece").orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
+    key = ["beginning", "digest", "piece"]
+    neighbours = Window.partitionBy(*key, "content").orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
     whole = neighbours.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranged = dealt.select("doc_id", "content", "n_points", "piece").repartitionByRange("content", "piece")
+    ranged = dealt.select("doc_id", "content", "n_points", "digest", "piece", F.substring(
+        "content", 1, SPLITTER_CHARS).alias("beginning")).repartitionByRange(*key)
     compared = ranged.select(
         "doc_id", "content", "piece", F.row_number().over(neighbours).alias("place"),
         F.first("doc_id").over(whole).alias("head_id"), F.first("n_points").over(whole).alias("head_points"),
