@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keysift.llm import bitplanes, bpe, content_sort, cover_tree, langid, ownership, packing, warc
+from keysift.llm import bitplanes, bpe, content_sort, cover_tree, jaccard_regions, langid, ownership, packing, repeats, warc
 from keysift.llm.word_ids import word_encoder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +56,21 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_groups(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_regions.near_duplicates(_table(spark, sf_dir, "documents"), percent=90, n_words=3)
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort, op10_warc)} | {
+    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort, op8_jaccard_regions,
+                                 op9_repeated_passages, op10_warc)} | {
         "pipeline": corpus_pipeline.run}
 
 
