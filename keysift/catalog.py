@@ -36,6 +36,8 @@ class Rule:
     necessary word will do, and one whose first character is rare is found missing
     soonest.
     ``search_query`` is the quoted-phrase search that selects candidate files.
+    ``anchors`` join the built-in ones wherever the rule is used: a text that holds
+    no anchor of any rule in use is not scanned.
     """
 
     secret_id: str
@@ -49,6 +51,7 @@ class Rule:
     search_query: str
     whole: bool = True
     needs: tuple[tuple[str, ...], ...] = ()
+    anchors: tuple[str, ...] = ()
 
     @property
     def phrases(self) -> list[str]:
@@ -150,6 +153,12 @@ ANCHORS = [
     "redis://", "rediss://", "mssql://", "oracle://",
 ]
 
+
+def anchors_of(rules) -> list[str]:
+    """The anchors in force when ``rules`` are used."""
+    return [*ANCHORS, *(a for rule in rules or () for a in rule.anchors)]
+
+
 # Fixed value: private-key headers counted for the bulk signals (ignore case).
 PEM_HEADER = "-----BEGIN (?:OPENSSH |RSA |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY"
 

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from keysift.catalog import RULES, Rule
 from keysift.functions.text import sql_text
-
-_CAP_BUCKETS = 256
+from keysift.operators.skew import n_shares
 
 
 def candidate_visits(files: DataFrame, secret_ids: Sequence[str] = ("ALL",), rules: Sequence[Rule] | None = None,
@@ -38,12 +37,15 @@ def candidate_visits(files: DataFrame, secret_ids: Sequence[str] = ("ALL",), rul
 
 
 def requested_searches(secret_ids: Sequence[str], rules: Sequence[Rule] | None = None) -> list[tuple[int, Rule]]:
-    """The distinct searches for the requested rule ids, numbered in request order."""
+    """The distinct searches for the requested rule ids, numbered in request order.
+
+    A rule without a quoted phrase has no search and is skipped.
+    """
     catalogue = {r.secret_id: r for r in rules or RULES}
     ids = list(catalogue) if len(secret_ids) == 1 and secret_ids[0].upper() == "ALL" else secret_ids
     distinct = {}
     for rule in (catalogue.get(i.upper()) for i in ids):
-        if rule is not None:
+        if rule is not None and rule.phrases:
             distinct.setdefault(rule.search_query, rule)
     return list(enumerate(distinct.values(), 1))
 
@@ -52,10 +54,10 @@ def cap_visits(visits: DataFrame, max_results: int = 1000, key: str = "file_id")
     """Keep the first ``max_results`` visits of every search, in file order.
 
     A search may match most files, so the cut is made twice: first within hash buckets
-    of the search (run in parallel), then among the few survivors.  The first N of a
+    of the search, a few for each task, then among the few survivors.  The first N of a
     search are among the first N of their bucket, so the result is exact.
     """
-    bucket = F.pmod(F.xxhash64(key), F.lit(_CAP_BUCKETS))
+    bucket = F.pmod(F.xxhash64(key), F.lit(n_shares(visits)))
     in_bucket = W.partitionBy("query_ord", "_bucket").orderBy(key)
     survivors = (visits.withColumn("_bucket", bucket).withColumn("_n", F.row_number().over(in_bucket))
                  .where(F.col("_n") <= max_results).drop("_n", "_bucket"))

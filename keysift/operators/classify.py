@@ -67,7 +67,7 @@ _RUNNING = " ".join([
     f"- CASE sig_dev_path WHEN 'ssh' THEN {w.WEIGHTS['ssh_single']}D WHEN 'test' THEN {w.WEIGHTS['test_path']}D "
     f"WHEN 'other' THEN {w.WEIGHTS['dev_path']}D ELSE 0D END"])
 
-# The texts of the signals in scoring order; null where one did not fire.
+# The texts of the signals in scoring order; null where one did not fire.
 _TEXTS = """array_compact(array(
     concat('repo name contains dump keyword \\'', sig_dump_keyword, '\\''),
     if(sig_non_owner, concat('commit author \\'', latest_commit_author_name, '\\' ≠ repo owner \\'',

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keysift.catalog import ANCHORS, CATEGORIES, PEM_HEADER, RULES, Rule, jvm_pattern
+from keysift.catalog import ANCHORS, CATEGORIES, PEM_HEADER, RULES, Rule, anchors_of, jvm_pattern
 from keysift.functions.bind import computed_once
 from keysift.functions.text import FOLDING_LETTERS, sql_contains_any, sql_strip, sql_text
 
@@ -38,12 +38,14 @@ def pem_header_count(content: str = "content") -> Column:
 
 
 def detect(files: DataFrame, content: str = "content", rules: Sequence[Rule] | None = None,
-           anchors: Sequence[str] = ANCHORS) -> DataFrame:
+           anchors: Sequence[str] | None = None) -> DataFrame:
     """Replace ``content`` by ``secrets`` and ``pem_headers``; keep every other column and row.
 
     ``secrets`` lists each distinct fingerprint of the file once (first rule, then
-    first position wins) in (ord, pos) order.  A rule of one's own needs an anchor too.
+    first position wins) in (ord, pos) order.  The anchors are the built-in ones and
+    those of the rules, unless given.
     """
+    anchors = anchors_of(rules) if anchors is None else anchors
     keep = [c for c in files.columns if c != content]
 
     # Lower-case once; cheap literal look-ups then decide which patterns run at all.
@@ -86,7 +88,7 @@ def rule_field(ord_sql: str, field: str, rules: Sequence[Rule] | None = None) ->
 
 
 def detections(files: DataFrame, content: str = "content", rules: Sequence[Rule] | None = None,
-               anchors: Sequence[str] = ANCHORS) -> DataFrame:
+               anchors: Sequence[str] | None = None) -> DataFrame:
     """The flat detection table: one row per file and distinct fingerprint."""
     return describe(explode_secrets(detect(files, content, rules, anchors)), rules)
 
@@ -119,7 +121,7 @@ def group_by_category(detected: DataFrame, key: str = "file_id", rules: Sequence
 def match_counts(files: DataFrame, key: str = "file_id", content: str = "content",
                  rules: Sequence[Rule] | None = None) -> DataFrame:
     """Per file and rule: matches (repeats included), and those within the length limits."""
-    lowered = files.where(contains_secret(content)).select(
+    lowered = files.where(contains_secret(content, anchors_of(rules))).select(
         key, content, F.lower(content).alias("_lower"),
         F.expr(sql_contains_any(content, FOLDING_LETTERS)).alias("_fold"))
     counts = []

@@ -25,12 +25,14 @@ def first_seen(rows: DataFrame, order: Sequence[str] = (KEY,)) -> DataFrame:
 
     A single aggregation by fingerprint.  A value copied into a third of all files is
     reduced to one row per map task before the shuffle, and because the aggregate
-    itself carries the winning row no join back to the detections is needed.
+    itself carries the winning row no join back to the detections is needed.  Rows are
+    compared by their place alone, so the other columns may have any type.
     """
     rank = [*order, "ord", "pos"]
     rest = [c for c in rows.columns if c not in rank and c != "sha"]
-    firsts = rows.groupBy("sha").agg(F.min(F.struct(*rank, *rest)).alias("f"))
-    return firsts.select("f.*", "sha")
+    place = F.struct(*rank)
+    firsts = rows.groupBy("sha").agg(F.min(place).alias("r"), F.min_by(F.struct(*rest), place).alias("f"))
+    return firsts.select("r.*", "f.*", "sha")
 
 
 def new_secrets_by_file(firsts: DataFrame, key: str = KEY) -> DataFrame:

@@ -3,8 +3,8 @@
 Every join is a left join: a missing repository, owner, commit, language or topic
 never drops a row.  Detections are few compared with files, so a run hydrates its
 findings, not its files.  The tables keyed by repository are joined with each other
-first (one row per key on every side) and then meet the rows in a single join, for
-which the hot repositories are spread.
+first (one row per key on every side) and then meet the rows in a single join.  Hot
+repositories and owners, and rows without one, are spread (``skew``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keysift.operators.skew import spread_left_join
+from keysift.operators.skew import key_counts, spread_left_join
 
 
 def latest_commit(commits: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = ("repo_id",)) -> DataFrame:
@@ -57,22 +57,29 @@ def repository_context(repos: DataFrame, latest: DataFrame | None = None, langua
 
 def hydrate(rows: DataFrame, repos: DataFrame, owners: DataFrame, latest: DataFrame,
             languages: DataFrame | None = None, topics: DataFrame | None = None,
-            hot_repos: DataFrame | None = None, hot_owners: DataFrame | None = None) -> DataFrame:
-    """Add all context columns.  ``rows`` needs file_id, repo_id and file_path.
+            pushed_with_commit: bool = False) -> DataFrame:
+    """Add all context columns.  ``rows`` needs file_id, repo_id and file_path, and is read
+    twice: for its repositories, and in full.
 
     ``latest`` comes from ``latest_commit``, keyed by repo_id or by repo_id and file_path;
-    ``hot_repos`` and ``hot_owners`` from ``skew.hot_keys``.  Owners are joined last, on a key of their own.
+    a path without a commit has none.  Owners are joined last, on a key of their own.
+    ``pushed_with_commit`` takes the date of the latest commit as the date of the last push
+    where ``repos`` has no ``repo_pushed_at``; otherwise that is unknown.
     """
     by_path = "file_path" in latest.columns
     context = repository_context(repos, None if by_path else latest, languages, topics)
-    out = spread_left_join(rows, context, "repo_id", "file_id", hot_repos)
+    in_repo = key_counts(rows, ["repo_id"])
+    of_owner = (in_repo.join(repos.select("repo_id", "owner_id"), "repo_id").dropna(subset=["owner_id"])
+                .groupBy("owner_id").agg(F.sum("n_rows").alias("n_rows")))
+    out = spread_left_join(rows, context, "repo_id", "file_id", in_repo)
     if by_path:
-        out = out.join(latest, ["repo_id", "file_path"], "left")
-    out = spread_left_join(out, owners, "owner_id", "file_id", hot_owners)
+        out = spread_left_join(out, latest, ["repo_id", "file_path"], "file_id", key_counts(rows, ["repo_id", "file_path"]))
+    out = spread_left_join(out, owners, "owner_id", "file_id", of_owner)
+    pushed = F.col("latest_commit_date") if pushed_with_commit else F.lit(None).cast("timestamp")
     branch = F.coalesce(F.nullif("default_branch", F.lit("")), F.lit("main"))
     return (out.withColumns({
         "default_branch": branch,
-        "repo_pushed_at": F.col("repo_pushed_at") if "repo_pushed_at" in out.columns else F.col("latest_commit_date"),
+        "repo_pushed_at": F.col("repo_pushed_at") if "repo_pushed_at" in out.columns else pushed,
         "repo_languages": F.expr("coalesce(repo_languages, cast(map() AS map<string,bigint>))"),
         "repo_topics": F.expr("coalesce(repo_topics, cast(array() AS array<string>))"),
         "file_url": F.concat("repo_url", F.lit("/blob/"), branch, F.lit("/"), F.col("file_path")),

@@ -35,11 +35,13 @@ def query_list(requests: DataFrame, rules: Sequence[Rule] | None = None) -> Data
     """The searches of each request: one row per distinct query text, in request order.
 
     ``requests`` has request_id, secret_ids (array) and search_qualifier.  A lone ALL
-    (any case) stands for every rule; unknown ids are skipped; the qualifier is
-    appended; of equal texts the first is kept.  All of it happens inside the request's
+    (any case) stands for every rule; unknown ids and rules without a search text are
+    skipped; the qualifier is appended; of equal texts the first is kept.  All of it happens inside the request's
     own short array, so nothing is shuffled.
     """
-    rules = rules or RULES
+    rules = [r for r in rules or RULES if r.phrases]
+    if not rules:
+        return requests.selectExpr("request_id", "1 AS query_ord", "'' AS query").where("false")
     catalogue = "map(" + ", ".join(f"{sql_text(r.secret_id)}, {sql_text(r.search_query)}" for r in rules) + ")"
     every = ", ".join(sql_text(r.secret_id) for r in rules)
     wanted = (f"CASE WHEN size(secret_ids) = 1 AND upper(get(secret_ids, 0)) = 'ALL' THEN array({every}) "

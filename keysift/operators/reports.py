@@ -17,8 +17,8 @@ from keysift.operators.detect import rule_field
 def secrets_by_category(findings: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """Listed secrets per category over all findings.
 
-    Each finding first counts its own secrets per category, so only a few small rows per
-    finding reach the aggregation.
+    One row per listed secret reaches the aggregation, which counts them before its
+    shuffle; the result has a row per category.
     """
     category = F.expr(f"transform(secrets, s -> {rule_field('s.ord', 'category', rules)})")
     return (findings.select(F.explode_outer(category).alias("category")).where("category IS NOT NULL")

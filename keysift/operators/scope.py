@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from keysift.functions.bind import computed_once
 from keysift.functions.text import sql_strip, sql_text
+from keysift.operators.skew import spread_left_join, spread_semi_join
 
+# Fixed values here and below: labels and error texts.
 GLOBAL_LABEL = "Global scan (all of GitHub)"
 
 # A name is letters, digits, underscore, dot and hyphen.
@@ -64,26 +66,32 @@ def resolve_targets(parsed: DataFrame, owners: DataFrame, repos: DataFrame) -> D
     """Check targets against known owners and repositories; add ``verified``.
 
     A tentative org becomes a user where the owner is one; an unknown name makes the
-    target invalid.  Names compare without letter case, as the code host does.  Left
-    joins on unique names: no target is lost or doubled.
+    target invalid.  Names compare without letter case, as the code host does; of owners
+    that differ in case alone the smallest id counts.  Each kind of target meets its own
+    table, so none has an empty key, and no target is lost or doubled.
     """
-    known = owners.select(F.lower("owner_login").alias("_login"), "owner_type", "owner_public_repos")
-    names = repos.select(F.lower("repo_name").alias("_repo"))
-    # Only org targets may meet an owner, only repo targets a repository.
-    keyed = parsed.selectExpr("*", "if(scope_type = 'org', lower(name), null) AS _wanted_login",
-                              "if(scope_type = 'repo', lower(name), null) AS _wanted_repo")
-    joined = (keyed.join(known, F.col("_wanted_login") == F.col("_login"), "left")
-              .join(names, F.col("_wanted_repo") == F.col("_repo"), "left"))
+    known = owners.groupBy(F.lower("owner_login").alias("_key")).agg(
+        F.min_by("owner_type", "owner_id").alias("owner_type"),
+        F.min_by("owner_public_repos", "owner_id").alias("owner_public_repos"), F.lit(True).alias("_found"))
+    names = repos.select(F.lower("repo_name").alias("_key")).distinct().select(
+        "_key", F.lit(None).cast("string").alias("owner_type"), F.lit(None).cast("int").alias("owner_public_repos"),
+        F.lit(True).alias("_found"))
+    keyed = parsed.withColumn("_key", F.lower("name"))
+    others = keyed.where("scope_type NOT IN ('org', 'repo')").selectExpr(
+        "*", "cast(null AS string) AS owner_type", "cast(null AS int) AS owner_public_repos", "cast(null AS boolean) AS _found")
+    joined = others
+    for kind, table in (("org", known), ("repo", names)):
+        joined = joined.unionByName(keyed.where(F.col("scope_type") == kind).join(table, "_key", "left"))
     checked = computed_once(joined, {"_kind": """CASE
-        WHEN scope_type = 'org' AND owner_type IS NULL THEN 'invalid'
-        WHEN scope_type = 'org' AND owner_type <> 'Organization' THEN 'user'
-        WHEN scope_type = 'repo' AND _repo IS NULL THEN 'invalid' ELSE scope_type END"""})
+        WHEN scope_type IN ('org', 'repo') AND _found IS NULL THEN 'invalid'
+        WHEN scope_type = 'org' AND owner_type <> 'Organization' THEN 'user' ELSE scope_type END"""})
+    count = "coalesce(string(owner_public_repos), '?')"
     new = {
         "scope_type": "_kind",
         "search_qualifier": "if(_kind IN ('org', 'user', 'repo'), concat(_kind, ':', name), '')",
-        "display_label": """CASE _kind
-            WHEN 'org' THEN concat('Organisation: ', name, ' (', owner_public_repos, ' public repos)')
-            WHEN 'user' THEN concat('User: ', name, ' (', owner_public_repos, ' public repos)')
+        "display_label": f"""CASE _kind
+            WHEN 'org' THEN concat('Organisation: ', name, ' (', {count}, ' public repos)')
+            WHEN 'user' THEN concat('User: ', name, ' (', {count}, ' public repos)')
             WHEN 'invalid' THEN '' ELSE display_label END""",
         "error": """CASE WHEN _kind <> 'invalid' OR scope_type = 'invalid' THEN error
             WHEN scope_type = 'org' THEN concat('neither org nor user: ', name) ELSE concat('not found: ', name) END""",
@@ -93,20 +101,26 @@ def resolve_targets(parsed: DataFrame, owners: DataFrame, repos: DataFrame) -> D
 
 
 def scoped_repo_ids(scopes: DataFrame, repos: DataFrame, owners: DataFrame) -> DataFrame:
-    """repo_id of every repository inside any org, user or repo scope.
+    """repo_id of every repository inside any org, user or repo scope; global ones add none.
 
-    Each kind of scope meets repositories by equality on its own name, never by a
-    condition with OR, so both are ordinary hash joins.
+    Owners are found by name first, then their repositories by id, so that one owner of
+    very many repositories is spread; repositories named themselves are added.
     """
-    in_owner = scopes.where("scope_type IN ('org', 'user')").select(F.lower("name").alias("_owner")).distinct()
-    in_repo = scopes.where("scope_type = 'repo'").select(F.lower("name").alias("_repo")).distinct()
-    named = repos.join(owners.select("owner_id", F.lower("owner_login").alias("_login")), "owner_id", "left").select(
-        "repo_id", "_login", F.lower("repo_name").alias("_name"))
-    hit = (named.join(in_owner, F.col("_login") == F.col("_owner"), "left")
-           .join(in_repo, F.col("_name") == F.col("_repo"), "left"))
-    return hit.where("_owner IS NOT NULL OR _repo IS NOT NULL").select("repo_id")
-
-
-def restrict(rows: DataFrame, scopes: DataFrame, repos: DataFrame, owners: DataFrame) -> DataFrame:
-    """Rows (files, or better detections) of repositories inside the scopes."""
-    return rows.join(scoped_repo_ids(scopes, repos, owners), "repo_id", "left_semi")
+    of_owner = scopes.where("scope_type IN ('org', 'user')").select(F.lower("name").alias("_name")).distinct()
+    of_repo = scopes.where("scope_type = 'repo'").select(F.lower("name").alias("_name")).distinct()
+    owner_ids = owners.select("owner_id", F.lower("owner_login").alias("_name")).join(of_owner, "_name", "left_semi")
+    owned = spread_semi_join(repos.select("repo_id", "owner_id"), owner_ids.select("owner_id").distinct(), "owner_id", "repo_id")
+    named = repos.select("repo_id", F.lower("repo_name").alias("_name")).join(of_repo, "_name", "left_semi")
+    return owned.select("repo_id").unionByName(named.select("repo_id")).distinct()
+
+
+def restrict(rows: DataFrame, scopes: DataFrame, repos: DataFrame, owners: DataFrame, spread_by: str = "file_id") -> DataFrame:
+    """Rows (files, or better detections) of repositories inside the scopes.
+
+    One global scope is no restriction at all: every row stays, those without a
+    repository included.  ``rows`` is read twice and ``scopes`` three times.
+    """
+    ids = scoped_repo_ids(scopes, repos, owners).withColumn("_in", F.lit(True))
+    everywhere = scopes.agg(F.coalesce(F.bool_or(F.col("scope_type") == "global"), F.lit(False))).scalar()
+    marked = spread_left_join(rows, ids, "repo_id", spread_by)
+    return marked.where(F.coalesce("_in", F.lit(False)) | everywhere).drop("_in")

@@ -1,54 +1,61 @@
-"""Left joins whose many side may hold a third of its rows under one key.
+"""Left joins whose many side may hold a third of its rows under one key, or under none.
 
-Adaptive execution splits a skewed join only when both inputs come straight from a
-shuffle, which is not so where several tables are joined on the same key.  Here the
-hot keys are spread beforehand, each over as many parts as its size needs.
+Rows without a key match nothing, and an ordinary join would still send all of them to
+one task; they are dealt out by a hash.  A hot key is one with more rows than a quarter
+of a task's share.  There are at most ``4 * shuffle partitions`` of those whatever the
+size of the input, so the list of them is broadcast; their rows are dealt to as many parts
+as their size asks for, and only the matching rows of the other side are repeated.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that a single task may comfortably join.
-ROWS_PER_PART = 1_000_000
-_NULL_PARTS = 4096
+SHARES_PER_TASK = 4
+
+
+def n_shares(df: DataFrame) -> int:
+    return SHARES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def key_counts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_rows): one row per key with map-side partial counts; null keys are left out."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).dropna(subset=list(keys))
 
 
-def hot_keys(rows: DataFrame, key: str, rows_per_part: int = ROWS_PER_PART, via: DataFrame | None = None,
-             via_key: str | None = None) -> DataFrame | None:
-    """(key, n_parts) for keys with more than ``rows_per_part`` rows; None if there are none.
+def hot_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n_parts) of the keys in ``counts`` (keys, n_rows) above a share; at most ``n_shares`` rows.
 
-    Reads only the key column, with partial counts.  The list is short by construction:
-    at most one key per ``rows_per_part`` rows of input.  Fewer rows than that in all
-    cannot hold a hot key and are not counted.  With ``via`` (``via_key`` unique), rows
-    are counted by ``via_key`` first and the counts added up by its ``key``.
+    Lazy: the total is a subquery of the plan that uses the result.
     """
-    by = via_key or key
-    if rows.select(by).limit(rows_per_part + 1).count() <= rows_per_part:
-        return None
-    counts = rows.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
-    if via is not None:
-        counts = (counts.join(via.select(by, key), by).where(F.col(key).isNotNull())
-                  .groupBy(key).agg(F.sum("_n").alias("_n")))
-    hot = counts.where(F.col("_n") > rows_per_part).select(
-        key, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("n_parts"))
-    return None if hot.isEmpty() else hot
-
-
-def spread_left_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: DataFrame | None) -> DataFrame:
-    """``left`` LEFT JOIN ``right`` USING (key); ``right`` has each key once.
-
-    Rows of a hot key are dealt to its parts by a hash of ``spread_by``, and only the
-    matching rows of ``right`` are repeated, once per part.  Rows without a key match
-    nothing and are dealt out as well.  Nothing is dropped or doubled.
+    share = F.greatest(F.lit(1.0), counts.agg(F.sum("n_rows")).scalar() / n_shares(counts))
+    return counts.where(F.col("n_rows") > share).select(*keys, F.ceil(F.col("n_rows") / share).cast("int").alias("n_parts"))
+
+
+def spread_left_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], spread_by: str,
+                     counts: DataFrame | None = None) -> DataFrame:
+    """``left`` LEFT JOIN ``right`` USING (keys); ``right`` has each key once.
+
+    ``left`` is read twice, for its keys alone the first time; give ``counts`` (keys,
+    n_rows) where they are known.  Nothing is dropped or doubled.
     """
-    if hot is None:
-        return left.join(right, key, "left")
-    parts = F.broadcast(hot)  # bounded, see hot_keys
-    part = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread_by), F.lit(_NULL_PARTS))).otherwise(
-        F.pmod(F.xxhash64(spread_by), F.coalesce("n_parts", F.lit(1)))).cast("int")
-    dealt = left.join(parts, key, "left").withColumn("_part", part).drop("n_parts")
-    repeated = right.join(parts, key, "left").withColumn(
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = F.broadcast(hot_keys(counts if counts is not None else key_counts(left, keys), keys))
+    missing = F.lit(False)
+    for key in keys:
+        missing = missing | F.col(key).isNull()
+    n_parts = F.when(missing, F.lit(n_shares(left))).otherwise(F.coalesce("n_parts", F.lit(1)))
+    dealt = left.join(hot, keys, "left").withColumn(
+        "_part", F.pmod(F.xxhash64(spread_by), n_parts).cast("int")).drop("n_parts")
+    repeated = right.join(hot, keys, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce("n_parts", F.lit(1)) - 1))).drop("n_parts")
-    return dealt.join(repeated, [key, "_part"], "left").drop("_part")
+    return dealt.join(repeated, [*keys, "_part"], "left").drop("_part")
+
+
+def spread_semi_join(left: DataFrame, ids: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Rows of ``left`` whose key is among the distinct ``ids``."""
+    marked = spread_left_join(left, ids.withColumn("_in", F.lit(True)), key, spread_by)
+    return marked.where("_in").drop("_in")

@@ -18,6 +18,8 @@ from keysift import wordlists as w
 from keysift.functions.literals import literal_table
 from keysift.functions.text import contains_any, non_empty, sql_text
 from keysift.functions.time import as_column, whole_days
+from keysift.operators.skew import n_shares
+from keysift.plans.durable import materialise
 
 ORDER = ("file_id",)
 
@@ -99,9 +101,20 @@ def fact_counts(rows: DataFrame, *sections: str, order: Sequence[str] = ORDER) -
         F.count("*").alias("n"), F.min(F.struct(*order, "f.pos")).alias("first"))
 
 
-def _filled(rows: DataFrame, counts: DataFrame, labels: Sequence[str], name: str, n: str) -> DataFrame:
+def _section(counts: DataFrame, section: str) -> DataFrame:
+    return counts.where(F.col("section") == section)
+
+
+def _ranked(counts: DataFrame, section: str, name: str, limit: int | None = None) -> DataFrame:
+    """Labels by falling count, then by first appearance."""
+    ordered = _section(counts, section).orderBy(F.desc("n"), "first")
+    return (ordered.limit(limit) if limit else ordered).select(F.col("label").alias(name), "n")
+
+
+def _filled(counts: DataFrame, section: str, labels: Sequence[str], name: str, n: str) -> DataFrame:
     """Counts for a fixed list of labels, zero where nothing was counted."""
-    slots = literal_table(rows.sparkSession, "pos, label", list(enumerate(labels)))
+    counts = _section(counts, section)
+    slots = literal_table(counts.sparkSession, "pos, label", list(enumerate(labels)))
     return (slots.join(counts.select("label", "n"), "label", "left")
             .select("pos", F.col("label").alias(name), F.coalesce("n", F.lit(0)).alias(n)).orderBy("pos").drop("pos"))
 
@@ -166,6 +179,7 @@ def account_profiles(rows: DataFrame, as_of, order: Sequence[str] = ORDER) -> Da
         F.min(F.struct(*order, *attributes)).alias("f"),
         F.max(non_empty(F.col("owner_location"))).alias("located"))
     age = F.col("account_age_days")
+    # The texts of the signals.
     signals = F.array_compact(F.array(
         F.when(F.col("repo_count") >= w.AUTO_FINDINGS_MIN,
                F.concat(F.col("repo_count").cast("string"), F.lit(" leak repos from one account"))),
@@ -197,13 +211,11 @@ def account_age_bands(profiles: DataFrame) -> DataFrame:
 # ── Names, languages, effort ─────────────────────────────────────────────────────────────
 
 def keyword_frequency(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    return (fact_counts(rows, "keyword", order=order).orderBy(F.desc("n"), "first")
-            .select(F.col("label").alias("keyword"), "n"))
+    return _ranked(fact_counts(rows, "keyword", order=order), "keyword", "keyword")
 
 
 def top_name_tokens(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    return (fact_counts(rows, "token", order=order).orderBy(F.desc("n"), "first").limit(w.TOP_TOKENS)
-            .select(F.col("label").alias("token"), "n"))
+    return _ranked(fact_counts(rows, "token", order=order), "token", "token", w.TOP_TOKENS)
 
 
 def language_share(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
@@ -214,8 +226,8 @@ def _share(counts: DataFrame) -> DataFrame:
     """Percentages of one row per language name; every finding has exactly one language."""
     # The window spans already counted names, a short list, not findings.
     total = F.sum("n").over(W.partitionBy("section"))
-    return (counts.withColumn("pct", F.bround(F.col("n") / total * 100, 1)).orderBy(F.desc("n"), "first")
-            .select(F.col("label").alias("language"), "n", "pct"))
+    return (_section(counts, "language").withColumn("pct", F.bround(F.col("n") / total * 100, 1))
+            .orderBy(F.desc("n"), "first").select(F.col("label").alias("language"), "n", "pct"))
 
 
 def sophistication_scores(rows: DataFrame) -> DataFrame:
@@ -224,7 +236,11 @@ def sophistication_scores(rows: DataFrame) -> DataFrame:
 
 def sophistication_tiers(rows: DataFrame) -> DataFrame:
     """All three tiers, or no row at all when nothing leaked."""
-    tiers = _filled(rows, fact_counts(rows, "tier"), w.TIERS, "tier", "n_findings")
+    return _tiers(fact_counts(rows, "tier"))
+
+
+def _tiers(counts: DataFrame) -> DataFrame:
+    tiers = _filled(counts, "tier", w.TIERS, "tier", "n_findings")
     return (tiers.withColumn("_all", F.sum("n_findings").over(W.partitionBy(F.lit(1))))
             .where("_all > 0").drop("_all"))
 
@@ -235,11 +251,11 @@ HOURS = [f"{h:02d}" for h in range(24)]
 
 
 def hour_heatmap(rows: DataFrame) -> DataFrame:
-    return _filled(rows, fact_counts(rows, "hour"), HOURS, "hour", "n_commits")
+    return _filled(fact_counts(rows, "hour"), "hour", HOURS, "hour", "n_commits")
 
 
 def weekday_heatmap(rows: DataFrame) -> DataFrame:
-    return _filled(rows, fact_counts(rows, "weekday"), w.WEEKDAYS, "weekday", "n_commits")
+    return _filled(fact_counts(rows, "weekday"), "weekday", w.WEEKDAYS, "weekday", "n_commits")
 
 
 def batch_hours(rows: DataFrame) -> DataFrame:
@@ -254,6 +270,7 @@ def batch_hours(rows: DataFrame) -> DataFrame:
 
 
 def batch_evidence(hours: DataFrame) -> DataFrame:
+    # Fixed value: the text of the evidence.
     text = F.concat("hour", F.lit("Z: "), F.col("n_repos").cast("string"), F.lit(" repos committed in same hour"))
     return hours.select(text.alias("evidence")).orderBy(F.desc("evidence")).limit(w.BATCH_EVIDENCE_MAX)
 
@@ -266,30 +283,44 @@ def batch_suspected(hours: DataFrame) -> DataFrame:
 
 def volume_buckets(rows: DataFrame) -> DataFrame:
     """Findings per key-count bucket with the report's reading of each bucket."""
-    counted = _filled(rows, fact_counts(rows, "volume"), list(w.VOLUME_BUCKETS), "bucket", "n_findings")
+    return _volumes(fact_counts(rows, "volume"))
+
+
+def _volumes(counts: DataFrame) -> DataFrame:
+    counted = _filled(counts, "volume", list(w.VOLUME_BUCKETS), "bucket", "n_findings")
     reading = F.create_map(*(F.lit(x) for pair in w.VOLUME_BUCKETS.items() for x in pair))
     return counted.withColumn("interpretation", F.element_at(reading, F.col("bucket")))
 
 
 def artifact_frequency(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    return (fact_counts(rows, "artifact", order=order).orderBy(F.desc("n"), "first").limit(w.TOP_ARTIFACTS)
-            .select(F.col("label").alias("artifact"), "n"))
+    return _ranked(fact_counts(rows, "artifact", order=order), "artifact", "artifact", w.TOP_ARTIFACTS)
 
 
 # ── The whole report ─────────────────────────────────────────────────────────────────────
 
 def trend_report(rows: DataFrame, as_of, order: Sequence[str] = ORDER) -> dict[str, DataFrame]:
-    """Every section of the report.  ``rows`` are LEAKED findings, best materialised first."""
-    profiles, hours = account_profiles(rows, as_of, order), batch_hours(rows)
+    """Every section of the report in four passes over ``rows``, the LEAKED findings.
+
+    The labels of all sections are counted together; that table and those of scalars,
+    accounts and hours are written down, and the sections are read from them.
+    """
+    counts = materialise(fact_counts(rows, *_FACTS, order=order), name="label-counts")
+    scalars = materialise(totals(rows, as_of), name="totals")
+    profiles = materialise(account_profiles(rows, as_of, order), name="accounts")
+    hours = materialise(batch_hours(rows), name="hours")
     return {
-        "totals": totals(rows, as_of), "freshness": freshness(rows, as_of),
+        "totals": scalars,
+        "freshness": scalars.select("active_last_30_days", "active_last_90_days", "abandoned"),
         "account_profiles": profiles, "top_accounts": top_accounts(profiles),
         "automation_suspects": automation_suspects(profiles),
-        "keyword_frequency": keyword_frequency(rows, order), "top_name_tokens": top_name_tokens(rows, order),
-        "language_share": language_share(rows, order), "sophistication_tiers": sophistication_tiers(rows),
-        "hour_heatmap": hour_heatmap(rows), "weekday_heatmap": weekday_heatmap(rows),
+        "keyword_frequency": _ranked(counts, "keyword", "keyword"),
+        "top_name_tokens": _ranked(counts, "token", "token", w.TOP_TOKENS),
+        "language_share": _share(counts), "sophistication_tiers": _tiers(counts),
+        "hour_heatmap": _filled(counts, "hour", HOURS, "hour", "n_commits"),
+        "weekday_heatmap": _filled(counts, "weekday", w.WEEKDAYS, "weekday", "n_commits"),
         "batch_evidence": batch_evidence(hours), "batch_suspected": batch_suspected(hours),
-        "volume_buckets": volume_buckets(rows), "artifact_frequency": artifact_frequency(rows, order),
+        "volume_buckets": _volumes(counts),
+        "artifact_frequency": _ranked(counts, "artifact", "artifact", w.TOP_ARTIFACTS),
     }
 
 
@@ -324,13 +355,14 @@ def trend_long(rows: DataFrame, as_of, order: Sequence[str] = ORDER) -> DataFram
 def _top_labels(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Cut some sections to their top labels.
 
-    Name tokens may be very many, so each hash bucket is cut first, then the rest.
+    Name tokens may be very many, so hash buckets are cut first, a few for each task,
+    and then the rest; both limits are constants, so Spark cuts before it shuffles.
     """
-    limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col("section")),
-                       F.lit(2**31 - 1))
-    order = [F.desc("n"), F.asc("first")]
-    bucket = F.when(F.col("section").isin(*limits), F.pmod(F.xxhash64("label"), F.lit(256))).otherwise(0)
-    cut = (counts.withColumn("_b", bucket)
-           .withColumn("_r", F.row_number().over(W.partitionBy("section", "_b").orderBy(*order))).where(F.col("_r") <= limit))
-    return (cut.withColumn("_r", F.row_number().over(W.partitionBy("section").orderBy(*order))).where(F.col("_r") <= limit)
-            .select("section", "label", "n"))
+    order, most = [F.desc("n"), F.asc("first")], max(limits.values())
+    limited, others = counts.where(F.col("section").isin(*limits)), counts.where(~F.col("section").isin(*limits))
+    bucket = F.pmod(F.xxhash64("label"), F.lit(n_shares(counts)))
+    cut = (limited.withColumn("_b", bucket)
+           .withColumn("_r", F.row_number().over(W.partitionBy("section", "_b").orderBy(*order))).where(F.col("_r") <= most))
+    ranked = cut.withColumn("_r", F.row_number().over(W.partitionBy("section").orderBy(*order))).where(F.col("_r") <= most)
+    limit = F.element_at(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv)), F.col("section"))
+    return ranked.where(F.col("_r") <= limit).select("section", "label", "n").unionByName(others.select("section", "label", "n"))

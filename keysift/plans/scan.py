@@ -22,7 +22,6 @@ from keysift.operators.findings import findings
 from keysift.operators.hydrate import hydrate, latest_commit
 from keysift.operators.reports import disclosure_targets, finding_records, findings_metadata
 from keysift.operators.scope import restrict
-from keysift.operators.skew import hot_keys
 from keysift.plans.durable import materialise
 from keysift.sources.tables import run_stamp, write_disclosure_csv, write_findings_json, write_trends
 
@@ -38,6 +37,10 @@ class Inputs:
     languages: DataFrame | None = None
     topics: DataFrame | None = None
     commit_order: Sequence[str] = ("ts",)
+    #: Columns of ``commits`` that name what a commit belongs to: a repository, or a file path in it.
+    commit_keys: Sequence[str] = ("repo_id",)
+    #: Whether a repository without ``repo_pushed_at`` counts as pushed with its latest commit.
+    pushed_with_commit: bool = False
 
 
 def detected_files(inputs: Inputs, scopes: DataFrame | None = None, visits: DataFrame | None = None,
@@ -50,7 +53,8 @@ def detected_files(inputs: Inputs, scopes: DataFrame | None = None, visits: Data
     files = inputs.files.where(F.col("content").isNotNull())
     detected = with_secrets(detect(files, rules=rules))
     if scopes is not None:
-        detected = restrict(detected, scopes, inputs.repos, inputs.owners)
+        # Read twice, for its repositories and in full; the text is scanned once.
+        detected = restrict(materialise(detected, name="detected"), scopes, inputs.repos, inputs.owners)
     if visits is not None:
         detected = detected.join(visits.select("file_id").distinct(), "file_id", "left_semi")
     return detected
@@ -58,17 +62,20 @@ def detected_files(inputs: Inputs, scopes: DataFrame | None = None, visits: Data
 
 def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, scopes: DataFrame | None = None,
                         visits: DataFrame | None = None, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """Labelled findings with all context columns."""
+    """Labelled findings with all context columns.
+
+    Findings are written down before they meet their context: they are few, and their
+    repositories are counted to spread the hot ones.
+    """
     if visits is not None:
         # Finding the visits reads the text once; they are used several times.
-        visits = materialise(visits)
+        visits = materialise(visits, name="visits")
     detected = detected_files(inputs, scopes, visits, rules)
     if not skip_duplicates:
-        detected = materialise(detected)
-    found = findings(detected, skip_duplicates, visits)
-    context = hydrate(found, inputs.repos, inputs.owners, latest_commit(inputs.commits, inputs.commit_order),
-                      inputs.languages, inputs.topics, hot_keys(inputs.files, "repo_id"),
-                      hot_keys(inputs.files, "owner_id", via=inputs.repos, via_key="repo_id"))
+        detected = materialise(detected, name="detected")
+    found = materialise(findings(detected, skip_duplicates, visits), name="findings")
+    latest = latest_commit(inputs.commits, inputs.commit_order, inputs.commit_keys)
+    context = hydrate(found, inputs.repos, inputs.owners, latest, inputs.languages, inputs.topics, inputs.pushed_with_commit)
     return C.classify(context, as_of)
 
 
@@ -82,10 +89,16 @@ class RunResult:
 
 def run(inputs: Inputs, as_of, out_dir: str, skip_duplicates: bool = True, scopes: DataFrame | None = None,
         visits: DataFrame | None = None, rules: Sequence[Rule] | None = None, with_email: bool = False) -> RunResult:
-    """Scan, label, analyse and write the findings, the disclosure list and the trend tables."""
+    """Scan, label, analyse and write the findings, the disclosure list and the trend tables.
+
+    The labelled findings are kept in ``out_dir`` as a table of their own.  With
+    ``visits`` the order of processing is that of the searches, then of the files.
+    """
     stamp = run_stamp()
-    found = materialise(classified_findings(inputs, as_of, skip_duplicates, scopes, visits, rules))
-    sections = T.trend_report(materialise(T.leaked(found)), as_of)
+    found = materialise(classified_findings(inputs, as_of, skip_duplicates, scopes, visits, rules),
+                        f"{out_dir}/labelled_{stamp}")
+    order = T.ORDER if visits is None else ("query_ord", *T.ORDER)
+    sections = T.trend_report(T.leaked(found), as_of, order)
     paths = dict(write_findings_json(finding_records(found, rules, with_email),
                                      findings_metadata(found, stamp, rules), out_dir, stamp))
     paths["disclosure"] = write_disclosure_csv(disclosure_targets(found, rules), out_dir, stamp)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.functions.text import sql_text
-from keysift.sources.tables import arriving_files, read_table, spread
+from keysift.sources.tables import arriving_files, read_table
 
 # Fixed value: the moment of analysis for the supplied data.
 AS_OF = "2001-12-01 00:00:00"
@@ -77,6 +77,11 @@ class Corpus:
     def files(self) -> DataFrame:
         return files_of(self.table("documents"))
 
+    @cached_property
+    def plain_files(self) -> DataFrame:
+        """Files whose content is the documents' own text."""
+        return files_of(self.table("documents"), suffixed=False)
+
 
 def owners_of(customer: DataFrame, nation: DataFrame) -> DataFrame:
     named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
@@ -99,7 +104,8 @@ _LOGIN = """CASE {key} % 5 WHEN 0 THEN concat('xk', substr(md5(string({key})), 1
 
 
 def repos_of(part: DataFrame, owners: DataFrame) -> DataFrame:
-    owned = part.join(owners.select("owner_id", "owner_login"), F.expr("p_partkey div 8") == F.col("owner_id"))
+    # A part without a customer keeps its row; its name stays unknown.
+    owned = part.join(owners.select("owner_id", "owner_login"), F.expr("p_partkey div 8") == F.col("owner_id"), "left")
     named = owned.withColumn("repo_name", F.expr("""concat(owner_login, '/', replace(p_name, ' ', '-'),
         CASE p_partkey % 9 WHEN 0 THEN '-stealer-logs' WHEN 1 THEN '-dump-2024' WHEN 2 THEN '-creds' ELSE '' END,
         '-', p_partkey)"""))
@@ -136,10 +142,10 @@ def topics_of(part: DataFrame) -> DataFrame:
 
 
 def commits_of(lineitem: DataFrame) -> DataFrame:
-    """(repo_id, ts, ...): one row per line item; several line items form a repository's history."""
+    """(repo_id, file_path, ts, ...): one row per line item; several line items form a repository's history."""
     login = _LOGIN.format(key="(l_partkey div 8)")
     return lineitem.select(
-        F.col("l_partkey").alias("repo_id"),
+        F.col("l_partkey").alias("repo_id"), _path("l_orderkey"),
         F.expr("""if(l_partkey % 4 = 0, timestamp(trunc(l_shipdate, 'MM')) + INTERVAL 2 HOURS,
                      timestamp(l_shipdate) + make_dt_interval(0, int(l_orderkey % 24)))""").alias("ts"),
         F.expr("sha1(concat_ws('-', l_orderkey, l_linenumber, l_suppkey))").alias("commit_sha"),
@@ -181,12 +187,11 @@ def targets_of(owners: DataFrame, repos: DataFrame) -> DataFrame:
 COMMIT_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 
 
-def files_of(documents: DataFrame) -> DataFrame:
-    texts = spread(documents.select("doc_id", "text", "lang", "source"), "doc_id")
-    return texts.select(
+def files_of(documents: DataFrame, suffixed: bool = True) -> DataFrame:
+    content = F.concat("text", F.lit("\n"), _suffix()) if suffixed else F.col("text")
+    return documents.select(
         F.col("doc_id").alias("file_id"), F.expr("doc_id div 2").alias("repo_id"),
-        F.expr(f"element_at(array({', '.join(repr(p) for p in _PATHS)}), int(doc_id % 11) + 1)").alias("file_path"),
-        "lang", "source", F.concat("text", F.lit("\n"), _suffix()).alias("content"))
+        _path("doc_id"), "lang", "source", content.alias("content"))
 
 
 _PATHS = [".ssh/id_rsa", "tests/fixtures/key.pem", "logs/passwords.txt", "config/ssh/key", "src/app.env",
@@ -194,6 +199,10 @@ _PATHS = [".ssh/id_rsa", "tests/fixtures/key.pem", "logs/passwords.txt", "config
           "terraform/provision_key", "README.md"]
 
 
+def _path(key: str) -> Column:
+    return F.expr(f"element_at(array({', '.join(repr(p) for p in _PATHS)}), int({key} % 11) + 1)").alias("file_path")
+
+
 class _Sql(str):
     """SQL text, as opposed to literal text."""
 

@@ -18,20 +18,6 @@ def arriving_files(spark: SparkSession, path: str, schema: str, fmt: str = "parq
     return spark.readStream.format(fmt).schema(schema).options(**options).load(path)
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Use all cores when a scan has too few splits to occupy them.
-
-    Pattern matching is CPU bound, and a small table may arrive as one split.  Only
-    such a table is reshuffled: fewer splits than twice the cores bounds its size
-    to that many splits.  A large scan is left alone, its text never shuffles.
-    ``scan`` must be a plain scan; hashing on the key keeps retried tasks stable.
-    """
-    if scan.isStreaming:
-        return scan
-    wanted = 2 * scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(wanted, key) if scan.rdd.getNumPartitions() < wanted // 2 else scan
-
-
 def run_stamp(at: datetime | None = None) -> str:
     """The UTC stamp that names the outputs of one run."""
     return (at or datetime.now(timezone.utc)).strftime("%Y%m%dT%H%M%SZ")

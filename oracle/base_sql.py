@@ -69,7 +69,8 @@ PATHS = ["README.md", ".ssh/id_rsa", "tests/fixtures/key.pem", "logs/passwords.t
          "deploy/server.pem", "dump/cookies.txt", "examples/keys.txt", "wallet/metamask.json",
          "terraform/provision_key"]
 
-TABLES = f"""
+def tables(content: str = f"text || chr(10) || {_suffix()}") -> str:
+    return f"""
 owners AS (
   SELECT c_custkey AS owner_id, {LOGIN.format(k='c_custkey')} AS owner_login,
     CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Organization' ELSE 'User' END AS owner_type,
@@ -92,7 +93,7 @@ repos AS (
     CASE WHEN p_partkey % 13 = 0 THEN 0 ELSE 1 + p_size::int % 4 END AS n_languages,
     CASE p_partkey % 11 WHEN 0 THEN ['ctf'] WHEN 1 THEN ['python', 'tools'] WHEN 2 THEN ['pentest', 'red-team']
       WHEN 3 THEN ['ctf-writeups'] ELSE []::varchar[] END AS repo_topics
-  FROM part JOIN owners ON p_partkey // 8 = owner_id)),
+  FROM part LEFT JOIN owners ON p_partkey // 8 = owner_id)),
 commits AS (
   SELECT l_partkey AS repo_id,
     CASE WHEN l_partkey % 4 = 0 THEN date_trunc('month', l_shipdate) + INTERVAL 2 HOUR
@@ -100,18 +101,25 @@ commits AS (
     sha1(l_orderkey || '-' || l_linenumber || '-' || l_suppkey) AS commit_sha, 's' || l_suppkey AS author_name,
     CASE l_suppkey % 4 WHEN 0 THEN lower({LOGIN.format(k='(l_partkey // 8)')}) || '@example.com' WHEN 1 THEN null
       ELSE 's' || l_suppkey || '@example.com' END AS author_email,
-    l_orderkey, l_linenumber, l_suppkey, l_extendedprice
+    l_orderkey, l_linenumber, l_suppkey, l_extendedprice, {words(PATHS)}[((l_orderkey + 1) % 11)::int + 1] AS file_path
   FROM lineitem),
 latest AS (
   SELECT repo_id, ts AS commit_ts, commit_sha, author_name, author_email FROM commits
   QUALIFY row_number() OVER (PARTITION BY repo_id
     ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1),
+latest_by_path AS (
+  SELECT repo_id, file_path, ts AS commit_ts, commit_sha, author_name, author_email FROM commits
+  QUALIFY row_number() OVER (PARTITION BY repo_id, file_path
+    ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1),
 files AS MATERIALIZED (
   SELECT doc_id AS file_id, doc_id // 2 AS repo_id, {words(PATHS)}[((doc_id + 1) % 11)::int + 1] AS file_path,
-    lang, source, text || chr(10) || {_suffix()} AS content
+    lang, source, {content} AS content
   FROM documents)"""
 
 
+TABLES = tables()
+
+
 # ── Detection ────────────────────────────────────────────────────────────────────────────
 
 _WS = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -128,9 +136,9 @@ def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
 
 
-def _matches() -> str:
+def _matches(rules) -> str:
     parts = []
-    for i, rule in enumerate(RULES, 1):
+    for i, rule in enumerate(rules, 1):
         around = "(?<!" in rule.pattern
         p = q(_re2(rule))
         # Match and value are listed side by side; position is the index in the list.
@@ -141,18 +149,23 @@ def _matches() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-_ANY_ANCHOR = q("(?i)" + "|".join(re.escape(a) for a in ANCHORS))
-PRESCREEN = f"(content <> '' AND regexp_matches(content, {_ANY_ANCHOR}))"
-_RULE_ROWS = ", ".join(
-    f"({i}, {q(r.secret_id)}, {q(r.category)}, {q(r.label)}, {q(r.confidence)}, {r.min_length}, "
-    f"{r.max_length or 'null'}, {q(r.search_query)}, {list(CATEGORIES).index(r.category) + 1}, "
-    f"{q(CATEGORIES[r.category])})" for i, r in enumerate(RULES, 1))
+def prescreen(anchors) -> str:
+    return f"(content <> '' AND regexp_matches(content, {q('(?i)' + '|'.join(re.escape(a) for a in anchors))}))"
+
 
-DETECTION = f"""
-rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) t(ord, secret_id, category, label, confidence, min_length, max_length,
+PRESCREEN = prescreen(ANCHORS)
+
+
+def detection(rules=RULES, anchors=ANCHORS) -> str:
+    rows = ", ".join(
+        f"({i}, {q(r.secret_id)}, {q(r.category)}, {q(r.label)}, {q(r.confidence)}, {r.min_length}, "
+        f"{r.max_length or 'null'}, {q(r.search_query)}, {list(CATEGORIES).index(r.category) + 1}, "
+        f"{q(CATEGORIES[r.category])})" for i, r in enumerate(rules, 1))
+    return f"""
+rules AS (SELECT * FROM (VALUES {rows}) t(ord, secret_id, category, label, confidence, min_length, max_length,
   search_query, category_ord, category_label)),
-screened AS (SELECT file_id, content FROM files WHERE {PRESCREEN}),
-matches AS ({_matches()}),
+screened AS (SELECT file_id, content FROM files WHERE {prescreen(anchors)}),
+matches AS ({_matches(rules)}),
 fitting AS (
   SELECT file_id, ord, pos, sha256(m) AS sha, length(s) AS n,
     CASE WHEN length(s) >= 4 THEN substr(s, 1, 4) || '****' ELSE '****' END AS sample
@@ -166,6 +179,9 @@ pem AS (
     '(?i)-----BEGIN (?:OPENSSH |RSA |EC |DSA |ENCRYPTED |PGP )?PRIVATE KEY'))::int AS pem_headers FROM files)"""
 
 
+DETECTION = detection()
+
+
 # ── Findings ─────────────────────────────────────────────────────────────────────────────
 
 FINDINGS = """
@@ -192,12 +208,12 @@ _LOGIN_BAD = ("regexp_matches(owner_login, '^[a-z0-9]{8,16}$') OR regexp_matches
               "regexp_matches(owner_login, '(?i)hack|crack|steal|leak|dump|ghost|anon')")
 
 
-def labelled(source: str, name: str) -> str:
-    """Hydrate and label the findings listed in ``source``."""
-    n_new = "n_new" if source == "all_listed" else "len(secrets) AS n_new"
+def labelled(source: str, name: str, visited: bool = False) -> str:
+    """Hydrate and label the findings listed in ``source``; with ``visited`` it has query_ord and n_new."""
+    n_new = "n_new" if source == "all_listed" or visited else "len(secrets) AS n_new"
     return f"""
 {name}_wide AS (
-  SELECT f.file_id, s.secrets, {n_new}, len(s.secrets)::int AS key_count, pem_headers,
+  SELECT f.file_id,{" s.query_ord," if visited else ""} s.secrets, {n_new}, len(s.secrets)::int AS key_count, pem_headers,
     greatest(len(s.secrets), pem_headers)::int AS volume, f.repo_id, file_path, lower(file_path) AS path,
     coalesce(repo_name, '') AS repo_name, coalesce(repo_url, '') AS repo_url, repo_description, repo_language,
     coalesce(n_languages, 0) AS n_languages, coalesce(repo_topics, []) AS repo_topics, repo_stargazers, repo_size_kb,

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from keysift import wordlists as w
-from keysift.catalog import RULES
-from oracle.base_sql import (AS_OF, BASE, DETECTION, LABELLED, LABELLED_ALL, LEAKED, PRESCREEN, TABLES, labelled, q,
-                             words)
+from keysift.catalog import ANCHORS, RULES, Rule
+from oracle.base_sql import (AS_OF, BASE, DETECTION, FINDINGS, LABELLED, LABELLED_ALL, LEAKED, PRESCREEN, TABLES, detection,
+                             labelled, q, tables, words)
 
 INPUT = f"WITH {TABLES}"
 DETECT = f"{INPUT}, {DETECTION}"
@@ -72,8 +72,8 @@ checked AS (
 resolved AS (
   SELECT target_id, kind AS scope_type, name,
     CASE WHEN kind IN ('org', 'user', 'repo') THEN kind || ':' || name ELSE '' END AS search_qualifier,
-    CASE kind WHEN 'org' THEN 'Organisation: ' || name || ' (' || owner_public_repos || ' public repos)'
-      WHEN 'user' THEN 'User: ' || name || ' (' || owner_public_repos || ' public repos)'
+    CASE kind WHEN 'org' THEN 'Organisation: ' || name || ' (' || coalesce(owner_public_repos::varchar, '?') || ' public repos)'
+      WHEN 'user' THEN 'User: ' || name || ' (' || coalesce(owner_public_repos::varchar, '?') || ' public repos)'
       WHEN 'invalid' THEN '' ELSE display_label END AS display_label,
     CASE WHEN kind <> 'invalid' OR scope_type = 'invalid' THEN error
       WHEN scope_type = 'org' THEN 'neither org nor user: ' || name ELSE 'not found: ' || name END AS error,
@@ -98,16 +98,34 @@ _VISITS = "visits AS (" + " UNION ALL ".join(
     + " AND ".join(f"contains(lower(content), {q(p.lower())})" for p in r.phrases)
     for i, r in enumerate(RULES, 1)) + ")"
 _CAPPED = ("capped AS (SELECT * FROM visits QUALIFY row_number() OVER (PARTITION BY query_ord ORDER BY file_id) <= 20)")
-_BY_SEARCH = f"""{DETECT}, {_VISITS}, {_CAPPED},
-first_visit AS (SELECT file_id, min(query_ord) AS query_ord FROM capped GROUP BY file_id),
+_IN_SCOPE = """repo_id IN (
+      SELECT repo_id FROM repos JOIN owners USING (owner_id)
+      WHERE lower(owner_login) IN (SELECT lower(name) FROM resolved WHERE scope_type IN ('org', 'user'))
+         OR lower(repo_name) IN (SELECT lower(name) FROM resolved WHERE scope_type = 'repo'))"""
+_SECRETS = "list({'ord': ord, 'pos': pos, 'sha': sha, 'sample': sample} ORDER BY ord, pos)"
+_VISITED = f"""
+first_visit AS (SELECT file_id, min(query_ord) AS query_ord FROM visits GROUP BY file_id),
 visit_news AS (
   SELECT * FROM detected JOIN first_visit USING (file_id)
   QUALIFY row_number() OVER (PARTITION BY sha ORDER BY query_ord, file_id, ord, pos) = 1),
-visited AS (
-  SELECT file_id, query_ord, list({{'ord': ord, 'pos': pos, 'sha': sha, 'sample': sample}} ORDER BY ord, pos) AS secrets
-  FROM visit_news GROUP BY ALL),
-{labelled('visited', 'findings')}
-SELECT file_id, query_ord, key_count, {SHAS} AS fingerprints, classification FROM findings JOIN first_visit USING (file_id)"""
+visited AS (SELECT file_id, query_ord, {_SECRETS} AS secrets, count(*) AS n_new FROM visit_news GROUP BY ALL)"""
+_BY_SEARCH = f"""{DETECT}, {_VISITS}, {_VISITED}, {labelled('visited', 'findings', visited=True)}
+SELECT file_id, query_ord, key_count, {SHAS} AS fingerprints, classification FROM findings"""
+_SCOPED = f"""{INPUT}, {TARGETS}, {DETECTION.replace('detected AS', 'everywhere AS')},
+detected AS (SELECT e.* FROM everywhere e JOIN files USING (file_id) WHERE {_IN_SCOPE})"""
+# Every visit is a finding: the first one of a file lists what is new, or all; later ones list all.
+_RUN_BY_SEARCH = f"""{_SCOPED}, {_VISITS}, {_VISITED},
+listed AS (SELECT file_id, {_SECRETS} AS everything FROM detected GROUP BY file_id),
+each_visit AS (
+  SELECT v.file_id, v.query_ord, coalesce(n.secrets, everything) AS secrets, coalesce(n.n_new, 0) AS n_new
+  FROM visits v JOIN listed USING (file_id) LEFT JOIN visited n ON n.file_id = v.file_id AND n.query_ord = v.query_ord),
+{labelled('each_visit', 'findings', visited=True)}
+SELECT file_id, query_ord, key_count, n_new, {SHAS} AS fingerprints, classification FROM findings"""
+_CUSTOM = Rule("QUOTED_HEX_TOKEN", "api_key", "Quoted hex token", "low", r'token = "([a-f0-9]{40})"', "", 40, 40, '"token"',
+               whole=False)
+_CUSTOM_RUN = f"""WITH {tables('text')}, {detection([*RULES, _CUSTOM], [*ANCHORS, 'token = "'])}, {FINDINGS},
+{labelled('listed', 'findings')}
+SELECT file_id, repo_name, key_count, {SHAS} AS fingerprints, classification FROM findings"""
 
 # ── Trends ───────────────────────────────────────────────────────────────────────────────
 
@@ -217,6 +235,20 @@ _FINDING_COLUMNS = ("file_id, repo_name, owner_login, file_path, key_count, volu
                     "classification")
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
 
+# Trend tables of a run in search order: places in that order stand for the files.
+_RUN_TRENDS = f"""{DETECT}, {_VISITS}, {_VISITED}, {labelled('visited', 'findings', visited=True)},
+leaked AS (SELECT * REPLACE (row_number() OVER (ORDER BY query_ord, file_id) AS file_id) FROM findings
+  WHERE classification = 'LEAKED'), {_PROFILES}, totals AS ({_TOTALS})
+""" + " UNION ALL ".join(f"SELECT {q(section)} AS section, concat_ws(',', {columns}) AS row FROM ({source})" for section, columns, source in (
+    ("totals", "total_leaked_findings, total_unique_repos, total_unique_accounts, total_keys_observed", "SELECT * FROM totals"),
+    ("freshness", "active_last_30_days, active_last_90_days, abandoned", "SELECT * FROM totals"),
+    ("top_accounts", "owner_login, repo_count, total_keys", "SELECT * FROM profiles ORDER BY total_keys DESC, first_id LIMIT 10"),
+    ("keyword_frequency", "label, n", _KEYWORDS), ("language_share", "label, n", _LANGUAGES),
+    ("sophistication_tiers", "label, n", f"SELECT * FROM ({_TIERS}) WHERE (SELECT count(*) FROM leaked) > 0"),
+    ("hour_heatmap", "label, n", _HOUR), ("weekday_heatmap", "label, n", _DOW), ("volume_buckets", "label, n", _BUCKETS),
+    ("artifact_frequency", "label, n", f"SELECT * FROM ({_ARTIFACTS}) ORDER BY n DESC, f, p LIMIT 10"),
+    ("top_name_tokens", "label, n", f"SELECT * FROM ({_TOKENS}) ORDER BY n DESC, f LIMIT 20")))
+
 ORACLE: dict[str, str] = {
     "scan_content_present": f"""{INPUT} SELECT lang, source, count(*) AS n_files, sum(length(content))::bigint AS n_chars
       FROM files WHERE content IS NOT NULL GROUP BY ALL""",
@@ -226,13 +258,16 @@ ORACLE: dict[str, str] = {
     "targets_parsed": f"""{INPUT}, {TARGETS} SELECT target_id, raw_input, scope_type, name, search_qualifier,
       display_label, error FROM parsed""",
     "targets_resolved": f"{INPUT}, {TARGETS} SELECT * FROM resolved",
-    "scope_semi_join": f"""{INPUT}, {TARGETS} SELECT file_id, repo_id, file_path FROM files WHERE repo_id IN (
-      SELECT repo_id FROM repos JOIN owners USING (owner_id)
-      WHERE lower(owner_login) IN (SELECT lower(name) FROM resolved WHERE scope_type IN ('org', 'user'))
-         OR lower(repo_name) IN (SELECT lower(name) FROM resolved WHERE scope_type = 'repo'))""",
+    "scope_semi_join": f"{INPUT}, {TARGETS} SELECT file_id, repo_id, file_path FROM files WHERE {_IN_SCOPE}",
+    "scope_global": f"""{INPUT}, {TARGETS} SELECT file_id, repo_id, file_path FROM files
+      WHERE {_IN_SCOPE} OR EXISTS (SELECT 1 FROM resolved WHERE scope_type = 'global')""",
+    "findings_in_scope": f"""{_SCOPED}, {FINDINGS}, {labelled('listed', 'findings')}
+      SELECT file_id, repo_name, key_count, {SHAS} AS fingerprints, classification FROM findings""",
     "candidate_files": f"{INPUT}, {_VISITS} SELECT * FROM visits",
     "candidate_capped": f"{INPUT}, {_VISITS}, {_CAPPED} SELECT * FROM capped",
     "findings_by_search": _BY_SEARCH,
+    "run_by_search_nodedup": _RUN_BY_SEARCH,
+    "run_trends": _RUN_TRENDS,
     "hydrate_hits": f"""{INPUT} SELECT file_id, repo_name, repo_url, repo_description, file_path, default_branch,
       '' AS raw_content_url, {_ISO.format('repo_created_at')} AS repo_created_at, {_ISO.format('ts')} AS repo_pushed_at,
       repo_language, n_languages, array_to_string(repo_topics, ' | ') AS repo_topics, repo_stargazers, repo_size_kb,
@@ -242,8 +277,20 @@ ORACLE: dict[str, str] = {
       author_email AS latest_commit_author_email, {_ISO.format('ts')} AS latest_commit_date
       FROM files LEFT JOIN repos USING (repo_id) LEFT JOIN owners USING (owner_id)
       LEFT JOIN (SELECT *, commit_ts AS ts FROM latest) USING (repo_id)""",
+    "hydrate_hits_by_path": f"""{INPUT} SELECT file_id, repo_name, repo_url, repo_description, file_path, default_branch,
+      '' AS raw_content_url, {_ISO.format('repo_created_at')} AS repo_created_at, {_ISO.format('ts')} AS repo_pushed_at,
+      repo_language, n_languages, array_to_string(repo_topics, ' | ') AS repo_topics, repo_stargazers, repo_size_kb,
+      owner_login, owner_type, {_ISO.format('owner_created_at')} AS owner_created_at, owner_public_repos,
+      owner_followers, owner_following, owner_bio, owner_location,
+      repo_url || '/blob/' || default_branch || '/' || file_path AS file_url, commit_sha AS latest_commit_sha, author_name AS latest_commit_author_name,
+      author_email AS latest_commit_author_email, {_ISO.format('ts')} AS latest_commit_date
+      FROM files LEFT JOIN repos USING (repo_id) LEFT JOIN owners USING (owner_id)
+      LEFT JOIN (SELECT *, commit_ts AS ts FROM latest_by_path) USING (repo_id, file_path)""",
     "latest_commit": f"""{INPUT} SELECT repo_id, commit_sha AS latest_commit_sha, author_name AS latest_commit_author_name,
       author_email AS latest_commit_author_email, {_ISO.format('commit_ts')} AS latest_commit_date FROM latest""",
+    "latest_commit_by_path": f"""{INPUT} SELECT repo_id, file_path, commit_sha AS latest_commit_sha,
+      author_name AS latest_commit_author_name, author_email AS latest_commit_author_email,
+      {_ISO.format('commit_ts')} AS latest_commit_date FROM latest_by_path""",
     "repo_languages": """SELECT p_partkey AS repo_id, CASE p_size % 4
         WHEN 0 THEN 'Python=' || (1000 + p_partkey) WHEN 1 THEN 'Go=' || (2000 + p_partkey) || ',Python=' || (1000 + p_partkey)
         WHEN 2 THEN 'Go=' || (2000 + p_partkey) || ',Python=' || (1000 + p_partkey) || ',Shell=' || (3000 + p_partkey)
@@ -273,6 +320,7 @@ ORACLE: dict[str, str] = {
     "custom_rule_documents": """SELECT DISTINCT doc_id, lang, source, 'QUOTED_HEX_TOKEN' AS secret_id,
       sha256(m) AS sha256_fingerprint, substr(m, 10, 4) || '****' AS redacted_sample
       FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(text, 'token = "[a-f0-9]{40}"')) AS m FROM documents)""",
+    "custom_rule_run": _CUSTOM_RUN,
     "first_seen_secrets": f"""{BASE} SELECT sha AS sha256_fingerprint, file_id, secret_id FROM news JOIN rules USING (ord)""",
     "findings_dedup": f"""{BASE} SELECT file_id, len(secrets) AS key_count, len(secrets) AS n_new, pem_headers,
       {SHAS} AS fingerprints FROM listed JOIN pem USING (file_id)""",

@@ -1,10 +1,15 @@
+from contextlib import contextmanager
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from keysift.catalog import RULES
 from keysift.operators import candidates as Q
 from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.operators import hydrate as H
-from keysift.operators.skew import hot_keys, spread_left_join
+from keysift.operators import scope as S
+from keysift.operators.skew import hot_keys, key_counts, n_shares, spread_left_join
 from keysift.plans.durable import materialise
 from tests import brute
 from tests.test_detect import POSITIVE, block
@@ -70,6 +75,11 @@ def test_copies_in_a_third_of_all_files(spark):
     assert "partial_min" in plan and "Join" not in plan and "Window" not in plan
 
 
+def test_first_seen_carries_any_column(spark):
+    rows = files(spark, [(1, A), (2, A)]).withColumn("labels", F.expr("map('k', file_id)"))
+    assert [r.labels for r in P.first_seen(D.explode_secrets(D.detect(rows))).collect()] == [{"k": 1}]
+
+
 def test_one_file_with_most_detections(spark):
     big = "\n".join(block("RSA", f"{i:064d}") for i in range(5000))
     got = as_dict(P.findings(D.detect(files(spark, [(1, big), (2, A)]))))
@@ -86,6 +96,8 @@ def test_requested_searches():
     ids = ["rsa_private_key", "NO_SUCH", "EC_PRIVATE_KEY", "RSA_PRIVATE_KEY"]
     assert [(i, r.secret_id) for i, r in Q.requested_searches(ids)] == [(1, "RSA_PRIVATE_KEY"), (2, "EC_PRIVATE_KEY")]
     assert len(Q.requested_searches(["all"])) == 30 and Q.requested_searches([]) == []
+    silent = replace(RULES[0], secret_id="SILENT", search_query="")
+    assert [r.secret_id for _, r in Q.requested_searches(["SILENT", "EC_PRIVATE_KEY"], [*RULES, silent])] == ["EC_PRIVATE_KEY"]
 
 
 def test_cap_is_exact_for_a_busy_search(spark):
@@ -127,10 +139,11 @@ def test_latest_commit_and_ties(spark):
     assert row.latest_commit_sha == "c" and row.latest_commit_author_name is None
 
 
-def hydrated(spark, rows, repos, hot=None, hot_owners=None):
-    commits = spark.createDataFrame([], "repo_id long, ts timestamp, commit_sha string, author_name string, author_email string")
+def hydrated(spark, rows, repos, commits=None, keys=("repo_id",)):
+    if commits is None:
+        commits = spark.createDataFrame([], "repo_id long, ts timestamp, commit_sha string, author_name string, author_email string")
     owners = spark.createDataFrame([(7, "alice")], "owner_id long, owner_login string")
-    return H.hydrate(rows, repos, owners, H.latest_commit(commits), hot_repos=hot, hot_owners=hot_owners)
+    return H.hydrate(rows, repos, owners, H.latest_commit(commits, keys=keys))
 
 
 def test_hydration_keeps_every_row(spark):
@@ -140,12 +153,24 @@ def test_hydration_keeps_every_row(spark):
     got = {r.file_id: r for r in hydrated(spark, rows, repos).collect()}
     assert len(got) == 3 and got[1].owner_login == "alice" and got[2].repo_name is None
     assert got[1].default_branch == "main" and got[1].repo_topics == [] and got[1].repo_languages == {}
+    assert got[1].repo_pushed_at is None
+
+
+def test_latest_commit_of_a_path(spark):
+    commits = spark.createDataFrame([(10, "a", "2024-01-01", "old"), (10, "a", "2024-02-01", "new"), (10, "b", "2024-03-01", "other")],
+                                    "repo_id long, file_path string, ts string, commit_sha string").selectExpr(
+        "repo_id", "file_path", "timestamp(ts) ts", "commit_sha", "'n' author_name", "'e' author_email")
+    rows = spark.createDataFrame([(1, 10, "a"), (2, 10, "b"), (3, 10, "c"), (4, None, "a")], "file_id long, repo_id long, file_path string")
+    repos = spark.createDataFrame([(10, 7, "alice/x", "u", "")],
+                                  "repo_id long, owner_id long, repo_name string, repo_url string, default_branch string")
+    got = {r.file_id: r.latest_commit_sha for r in hydrated(spark, rows, repos, commits, ("repo_id", "file_path")).collect()}
+    assert got == {1: "new", 2: "other", 3: None, 4: None}
 
 
 def skewed(spark):
-    """A third of all rows in one repository, a tenth in another, a tenth without any."""
+    """A third of all rows in one repository, a tenth in another, a third without any."""
     rows = spark.range(30_000).selectExpr(
-        "id AS file_id", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 10 = 1 THEN 2 WHEN id % 10 = 2 THEN null ELSE id % 700 + 3 END "
+        "id AS file_id", "CASE WHEN id % 3 = 0 THEN 1 WHEN id % 3 = 1 THEN null WHEN id % 10 = 2 THEN 2 ELSE id % 700 + 3 END "
         "AS repo_id", "concat('path', id) AS file_path")
     repos = spark.range(1, 600).selectExpr("id AS repo_id", "7L AS owner_id", "concat('alice/', id) AS repo_name",
                                            "'u' AS repo_url", "'main' AS default_branch")
@@ -154,44 +179,62 @@ def skewed(spark):
 
 def test_hot_keys(spark):
     rows, _ = skewed(spark)
-    assert {r.repo_id: r.n_parts for r in hot_keys(rows, "repo_id", 1000).collect()} == {1: 10, 2: 2}
-    assert hot_keys(rows, "repo_id", 10_000) is None
+    counts = key_counts(rows, ["repo_id"])
+    share = rows.where("repo_id IS NOT NULL").count() / n_shares(rows)
+    assert {r.repo_id: r.n_parts for r in hot_keys(counts, ["repo_id"]).collect()} == {
+        r.repo_id: -int(-r.n_rows // share) for r in counts.collect() if r.n_rows > share}
 
 
-def test_hot_repository_is_spread_and_nothing_is_lost(spark):
-    rows, repos = skewed(spark)
-    hot = hot_keys(rows, "repo_id", 500)
-    columns = ["file_id", "repo_id", "repo_name", "owner_login"]
-    plain = sorted(map(tuple, hydrated(spark, rows, repos).select(*columns).collect()), key=str)
-    spread = sorted(map(tuple, hydrated(spark, rows, repos, hot).select(*columns).collect()), key=str)
-    assert plain == spread and len(spread) == 30_000
-
-    # Without adaptive execution or broadcasts: the biggest task of the join, before and after.
-    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16",
+@contextmanager
+def plainly(spark, partitions=16):
+    """Without adaptive execution or broadcasts by size."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(partitions),
                 "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-
-        def biggest(h):
-            joined = spread_left_join(rows, repos, "repo_id", "file_id", h)
-            return joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
-
-        assert biggest(None) > 10_000 and biggest(hot) < 5_000
+        yield
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
+def biggest_task(joined):
+    return joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+def test_hot_and_missing_repositories_are_spread_and_nothing_is_lost(spark):
+    rows, repos = skewed(spark)
+    columns = ["file_id", "repo_id", "repo_name", "owner_login"]
+    plain = sorted(map(tuple, rows.join(repos, "repo_id", "left").selectExpr(
+        "file_id", "repo_id", "repo_name", "if(owner_id = 7, 'alice', null)").collect()), key=str)
+    spread = sorted(map(tuple, hydrated(spark, rows, repos).select(*columns).collect()), key=str)
+    assert plain == spread and len(spread) == 30_000
+    with plainly(spark):
+        assert biggest_task(rows.join(repos, "repo_id", "left")) > 10_000
+        assert biggest_task(spread_left_join(rows, repos, "repo_id", "file_id")) < 4_000
+
+
+def test_missing_keys_are_spread_without_hot_ones(spark):
+    rows = spark.range(20_000).selectExpr("id AS file_id", "if(id % 3 = 0, null, id) AS repo_id")
+    repos = spark.range(0, 20_000, 2).selectExpr("id AS repo_id", "'x' AS repo_name")
+    with plainly(spark):
+        joined = spread_left_join(rows, repos, "repo_id", "file_id")
+        assert joined.count() == 20_000 and biggest_task(joined) < 3_000
+
+
 def test_hot_owner_is_spread_and_nothing_is_lost(spark):
     rows, repos = skewed(spark)
     repos = repos.withColumn("owner_id", F.expr("CASE WHEN repo_id < 300 THEN 7 WHEN repo_id < 400 THEN null ELSE repo_id END"))
-    hot = hot_keys(rows, "owner_id", 2000, via=repos, via_key="repo_id")
-    in_range = rows.where("repo_id < 300").count()
-    assert [(r.owner_id, r.n_parts) for r in hot.collect()] == [(7, -(-in_range // 2000))]
-    columns = ["file_id", "repo_id", "owner_id", "owner_login"]
-    plain = sorted(map(tuple, hydrated(spark, rows, repos).select(*columns).collect()), key=str)
-    spread = sorted(map(tuple, hydrated(spark, rows, repos, hot_keys(rows, "repo_id", 500), hot)
-                        .select(*columns).collect()), key=str)
-    assert plain == spread and len(spread) == 30_000 and sum(r[3] == "alice" for r in spread) == in_range
+    got = hydrated(spark, rows, repos).select("file_id", "owner_id", "owner_login").collect()
+    assert len(got) == 30_000 and sum(r.owner_login == "alice" for r in got) == rows.where("repo_id < 300").count()
+
+
+def test_a_hot_repository_in_scope_is_spread(spark):
+    rows, repos = skewed(spark)
+    owners = spark.createDataFrame([(7, "alice", "User", 1)], "owner_id long, owner_login string, owner_type string, owner_public_repos int")
+    scopes = spark.createDataFrame([("user", "Alice"), ("repo", "alice/1")], "scope_type string, name string")
+    with plainly(spark):
+        kept = S.restrict(rows, scopes, repos, owners)
+        assert kept.count() == rows.where("repo_id BETWEEN 1 AND 599").count() and biggest_task(kept) < 3_000

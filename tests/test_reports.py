@@ -63,7 +63,7 @@ def test_whole_run_writes_reports(spark, corpus, tmp_path):
     assert all(rows[0][0] == "author_email" and all(len(r) == 11 for r in rows) for rows in with_header)
     assert sum(len(rows) - 1 for rows in with_header) == R.disclosure_targets(result.findings).count()
     assert set(result.paths["trends"]) == set(result.trends)
-    for p in glob.glob(str(tmp_path) + "/**/part-*", recursive=True):
+    for p in [f for kind in ("json", "csv") for f in glob.glob(f"{tmp_path}/**/part-*.{kind}", recursive=True)]:
         text = open(p, encoding="utf-8").read()
         assert "-----BEGIN" not in text
         assert "/trend_analysis_" not in p or "@example.com" not in text

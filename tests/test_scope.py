@@ -1,7 +1,11 @@
+from dataclasses import replace
+
 import pytest
 
+from keysift.catalog import RULES
 from keysift.operators import listing as L
 from keysift.operators import scope as S
+from tests.test_findings import biggest_task, plainly
 
 # raw, type, name, qualifier
 TARGETS = [
@@ -73,15 +77,32 @@ def test_resolve(spark, known):
     assert len(got) == len(raws)
 
 
+def test_resolve_with_unknown_counts_and_names_twice(spark):
+    owners = spark.createDataFrame([(2, "ACME", "User", 4), (1, "Acme", "Organization", None)],
+                                   "owner_id long, owner_login string, owner_type string, owner_public_repos int")
+    repos = spark.createDataFrame([(1, 1, "acme/x"), (2, 2, "ACME/X")], "repo_id long, owner_id long, repo_name string")
+    got = resolve(spark, (owners, repos), ["acme", "acme/x"]).collect()
+    assert len(got) == 2 and got[0].display_label == "Organisation: acme (? public repos)" and got[0].scope_type == "org"
+
+
+def test_only_repository_targets_have_no_hot_key(spark, known):
+    owners, repos = known
+    raws = spark.range(20_000).selectExpr("id AS target_id", "concat('acme/r', id) AS raw")
+    with plainly(spark):
+        joined = S.resolve_targets(S.parse_targets(raws), owners, repos)
+        assert joined.count() == 20_000 and biggest_task(joined) < 4_000
+
+
 def test_restrict(spark, known):
     owners, repos = known
-    files = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13), (5, 99)], "file_id long, repo_id long")
+    files = spark.createDataFrame([(1, 10), (2, 11), (3, 12), (4, 13), (5, 99), (6, None)], "file_id long, repo_id long")
 
     def kept(*raws):
         return sorted(r.file_id for r in S.restrict(files, resolve(spark, known, list(raws)), repos, owners).collect())
 
     assert kept("bob") == [2, 3] and kept("acme/tool") == [1] and kept("bob/site", "BOB", "acme") == [1, 2, 3]
     assert kept("nobody") == []
+    assert kept("https://github.com") == [1, 2, 3, 4, 5, 6] == kept("", "bob")
 
 
 def test_query_list(spark):
@@ -97,6 +118,14 @@ def test_query_list(spark):
     assert '"mailgun" "key-" org:acme' in got["a"]
 
 
+def test_rules_without_a_search_are_skipped(spark):
+    silent = replace(RULES[0], secret_id="SILENT", search_query="")
+    requests = spark.createDataFrame([("a", ["SILENT", "EC_PRIVATE_KEY"], "org:x")],
+                                     "request_id string, secret_ids array<string>, search_qualifier string")
+    assert [r.query for r in L.query_list(requests, [*RULES, silent]).collect()] == ['"BEGIN EC PRIVATE KEY" org:x']
+    assert L.query_list(requests, [silent]).count() == 0
+
+
 def test_rules_listing(spark):
     rows = L.rules_listing(spark).collect()
     assert len(rows) == 30 and [r.category for r in rows][0] == "private_key" and rows[-1].secret_id == "DATABASE_URL"

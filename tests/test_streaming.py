@@ -2,6 +2,7 @@ from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.sources.tables import arriving_files
 from keysift.streaming.arrivals import scan_arrivals
+from tests.test_detect import POSITIVE
 
 SCHEMA = "file_id long, repo_id long, file_path string, content string"
 
@@ -30,3 +31,14 @@ def test_a_repeated_batch_changes_nothing(spark, corpus, tmp_path):
     # A lost stream state makes the same batch run again.
     scan_arrivals(arriving_files(spark, land, SCHEMA), out, str(tmp_path / "s2")).awaitTermination()
     assert found(spark, out) == before
+
+
+def test_three_batches_scanned_again_after_a_lost_state(spark, tmp_path):
+    land, out = str(tmp_path / "land"), str(tmp_path / "out")
+    for i, text in enumerate((POSITIVE["NPM_TOKEN"], POSITIVE["GITLAB_TOKEN"], POSITIVE["STRIPE_SECRET_KEY"])):
+        spark.createDataFrame([(i, 1, "p", text)], SCHEMA).coalesce(1).write.mode("append").parquet(land)
+        scan_arrivals(arriving_files(spark, land, SCHEMA), out, str(tmp_path / "s1")).awaitTermination()
+    assert len(found(spark, out)) == 3
+    scan_arrivals(arriving_files(spark, land, SCHEMA), out, str(tmp_path / "s2")).awaitTermination()
+    assert len(spark.read.parquet(f"{out}/findings").collect()) == 3
+    assert spark.read.parquet(f"{out}/seen").count() == 3
