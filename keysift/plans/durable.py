@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,10 @@ def release_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs now instead of at its next collection.
 
     Spark deletes them when the driver's objects behind them are collected; a long chain
-    of jobs would otherwise hold the sum of all its shuffles on disk.
+    of jobs would otherwise hold the sum of all its shuffles on disk.  The last job is
+    reported to listeners a moment after it ended, so one collection is not enough.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
