@@ -44,6 +44,7 @@ from keysift.plans.durable import materialise, release_shuffles
 
 WINDOW = 20
 PHRASE = 8
+LETTERS = 3
 
 _inverse_powers = np.ones(1, np.uint64)
 
@@ -123,17 +124,35 @@ def _phrases(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, phrase long")
 
 
-def compiled(ids: np.ndarray, places: np.ndarray) -> ahocorasick.Automaton | None:
-    """An automaton over word ids that finds the phrases at ``places``."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for at in places.tolist():
-        automaton.add_word(tuple(ids[at:at + PHRASE].tolist()))
+def spelled(hashes: np.ndarray) -> str:
+    """``LETTERS`` letters for every word.
+
+    Automata take long to leave a node with many children, and one letter a word would
+    give the root as many as there are words; 64 letters do not.
+    """
+    out = np.empty((len(hashes), LETTERS), np.uint8)
+    for k in range(LETTERS):
+        out[:, k] = ((hashes >> np.uint64(20 + 6 * k)) & np.uint64(63)).astype(np.uint8) + 48
+    return out.tobytes().decode("ascii")
+
+
+def compiled(text: str, places: np.ndarray) -> ahocorasick.Automaton | None:
+    """An automaton that finds the phrases at ``places`` (counted in words) of a spelled text."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for at in (places * LETTERS).tolist():
+        automaton.add_word(text[at:at + PHRASE * LETTERS])
     if not len(places):
         return None
     automaton.make_automaton()
     return automaton
 
 
+def located(automaton: ahocorasick.Automaton, text: str) -> np.ndarray:
+    """The words at which a phrase begins."""
+    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64) + 1
+    return ends[ends % LETTERS == 0] // LETTERS - PHRASE
+
+
 def _located(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, phrase, run (hash of its words and of where the phrase stands), start, windows (hash of each)."""
 
@@ -144,17 +163,19 @@ def _located(docs: DataFrame, n: int) -> DataFrame:
                 runs = runs_of(words.hashes, words.first, n)
                 lists = batch["phrases"].slice(first, len(texts))
                 recurring = np.unique(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
-                ids = (words.hashes >> np.uint64(33)).astype(np.int64)
+                letters = spelled(words.hashes)
                 _, distinct = np.unique(runs.phrase_hash, return_index=True)
                 known = distinct[np.isin(runs.phrase_hash[distinct], recurring)]
-                automaton = compiled(ids, runs.phrase[known])
+                automaton = compiled(letters, runs.phrase[known])
                 if automaton is None:
                     continue
-                found = np.zeros(len(ids), bool)
+                found = np.zeros(len(words.hashes), bool)
                 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
-                    ends = [end for end, _ in automaton.iter(tuple(ids[a:b].tolist()))] if b - a >= n else []
-                    found[np.asarray(ends, np.int64) + (a - PHRASE + 1)] = True
+                    if b - a >= n:
+                        found[located(automaton, letters[a * LETTERS:b * LETTERS]) + a] = True
+                # Words may be spelled alike, so what was located is confirmed by its hash.
                 hit = np.flatnonzero(found[runs.phrase])
+                hit = hit[np.isin(runs.phrase_hash[hit], recurring)]
                 if not len(hit):
                     continue
                 text, start, last, sums = runs.text[hit], runs.start[hit], runs.last[hit], Hashes(words.hashes)
