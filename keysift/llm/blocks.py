@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
-BLOCK_ROWS = 512
+BLOCK_BYTES = 1 << 19
+BLOCK_ROWS = 256
 
 
 def text_blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES, max_rows: int = BLOCK_ROWS) -> Iterator[tuple[int, list[bytes]]]:

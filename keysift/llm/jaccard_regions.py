@@ -1,32 +1,33 @@
 """Jaccard join of word shingles as a join in a metric space.
 
-Jaccard distance is a metric.  Two documents are linked when theirs is at most
-``1 - share``.  The space is divided so that linked documents meet in some region:
+Jaccard distance is a metric.  Two documents are linked when theirs is at most the
+radius ``1 - share``.  The space is divided so that linked documents meet in some region:
 
 1.  Sizes.  Measured from a pivot that contains both, a document's distance is a matter
     of its size alone, so by the triangle inequality linked documents have sizes within
     the share of each other.  Sizes are divided into regions, and a window below each
     border is replicated into the region above.
-2.  Parts.  Shingles are hashed into as many parts as a region's documents may differ in
-    shingles, and some more.  Distances add up over parts, so linked documents agree
-    wholly in several parts: with the contents of a part as pivot they are both at
-    distance 0 from it, and windows are not needed.  Documents with the same contents
-    of the same part make a region.  Parts with next to no shingles tell nothing and are
-    left out as far as agreeing in another part is certain.
-3.  Documents.  A region takes one of its documents as pivot, and the exact distance of
-    every other one to it.  Documents that are linked into one component need no further
-    comparison.  A small rest is compared in full, except pairs whose distances to
-    the pivot differ by more than the radius.  A large one is divided into rings around
-    the pivot, each with the window below it replicated, and every ring is joined in the
-    same way with a pivot of its own.
+2.  Parts.  Shingles are hashed into more parts than linked documents of a size region can
+    differ in.  Distances add up over parts, so they agree wholly in several parts: with
+    the contents of a part as pivot both are at distance 0 from it.  Documents with the
+    same contents of one part share a cell.  Cells say who may be linked: two documents
+    that meet in fewer small cells than linked ones must are no pair, and pairs and large
+    cells together are connected into regions.  No link leaves its region.
+3.  Documents.  A region small enough for one task is joined there exactly, by the sizes
+    of all intersections.  A larger one takes some of its documents as pivots.  Each
+    document goes to the Voronoi region of its nearest pivot, and as a replica into every
+    other one whose pivot is at most two radii farther away.  Documents that are farther
+    from all pivots than linked to anything near one make a region of their own, with a
+    window of one radius replicated into it.  Every part is joined in the same way again.
+    Where pivots do not divide a region, it is cut into blocks that meet in pairs.
 
 Pivots that are documents cannot divide the whole corpus: unrelated texts share no
 shingle and are all at distance 1 from each other, so every window would hold nearly
 everything.  Hence the first two levels, whose pivots do tell texts apart.
 
-Documents with equal sets are one representative from the start, so that copies are
-never paired.  Components are found from verified links; links inside a component that
-is already joined are not sought.
+Documents with equal sets are one representative from the start, so copies are never
+paired.  Of a pair that several regions hold, the one counts in which the smaller set is
+no replica.  A region returns a forest of its links and each set's number of links, not pairs.
 
 Defined cases.  A text with fewer words than a shingle has its whole word sequence as
 the only element; a text without words, or null, has no element and no link.  Rows
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keysift.llm.blocks import text_blocks
@@ -48,8 +49,11 @@ from keysift.llm.components import components
 from keysift.llm.words import mixed, sequence_hashes, words_of
 from keysift.plans.durable import materialise, release_shuffles
 
-# Up to so many documents outside a region's largest component are compared in full.
-LEAF = 32
+# Cells of up to so many sets are listed as pairs.
+SMALL_CELL = 8
+# A region of more sets, or of more shingles in all, is divided.
+REGION_SETS, REGION_SHINGLES = 1024, 2_000_000
+N_PIVOTS = 8
 _SIZE_STEPS = 3
 _ROUNDING = 1e-9
 
@@ -68,44 +72,51 @@ def shingle_sets(texts: list[bytes], n_words: int) -> list[np.ndarray]:
 
 
 class Cells:
-    """The parts of shingle sets in which linked documents meet."""
+    """The cells of shingle sets in which linked ones meet."""
 
     def __init__(self, percent: int):
         self._percent = percent
         self._borders = [1]  # of the regions of sizes
-        self.extend(64)
+        self._extend(64)
 
-    def extend(self, size: int) -> None:
+    def _extend(self, size: int) -> None:
         while self._borders[-1] <= size:
             low = self._borders[-1]
             self._borders.append(max(low + 1, int(low * (100 / self._percent) ** _SIZE_STEPS)))
 
     def regions(self, size: int) -> list[int]:
-        """Own region, and the one above if a linked document may lie there."""
-        self.extend(2 * size + 2)
+        """Own region, and the one above if a linked set may lie there."""
+        self._extend(2 * size + 2)
         own = int(np.searchsorted(self._borders, size, side="right")) - 1
         return [own, own + 1] if size * 100 >= self._percent * self._borders[own + 1] else [own]
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """One hash per part: of the region, the number of the part and its contents."""
-        size, out = len(shingles), []
+    def of(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
+        """Cells, one per part: a hash of the region, the part's number and its contents; and how
+        many of them a linked set shares at least.
+
+        Parts with next to no shingles tell nothing.  A few of them are left out, and as many
+        more parts are made, so that linked sets still agree in a part that both list.
+        """
+        size, out, shared = len(shingles), [], []
         for region in self.regions(size):
             # The smaller of two linked sets is below the region's end, and they differ in at most so many shingles.
             differ = ((self._borders[region + 1] - 1) * (100 - self._percent)) // self._percent
             if differ == 0:
                 continue  # only equal sets are linked
-            # Linked sets agree in at least two parts, so that one part without contents may be left out.
-            n_parts = differ + 2
-            thin = 1 if self._borders[region] >= 6 * n_parts else 0
+            # Shingles fall into parts at random: so many thin parts hardly ever happen.
+            spare = 1 if differ < 2 else 2 if differ < 6 else 3 + -(-differ // 12)
+            n_parts = differ + 1 + spare
+            thin = 1 if differ >= 6 else 0
             ends = (np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_parts)
             starts = np.searchsorted(shingles >> np.uint64(32), ends, side="left")
-            counts = np.diff(starts)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles))])
             contents = total[starts[1:]] - total[starts[:-1]]
-            key = mixed(contents + mixed(np.arange(n_parts, dtype=np.uint64) + np.uint64(region << 32)))
-            few = counts <= thin
-            out.append(key[~few] if few.sum() <= 1 else key)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            keys = mixed(contents + mixed(np.arange(n_parts, dtype=np.uint64) + np.uint64(region << 32)))
+            few = np.diff(starts) <= thin
+            left_out = int(few.sum()) if few.sum() <= spare else 0
+            out.append(keys[~few] if left_out else keys)
+            shared.append(spare + 1 - left_out)
+        return (np.concatenate(out), min(shared)) if out else (np.zeros(0, np.uint64), 1)
 
 
 def _set_key(shingles: np.ndarray) -> bytes:
@@ -113,22 +124,55 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, percent: int, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set (128 bits that stand for the set), half (64 of them), keys (of its parts)."""
+    """doc_id, n_shingles, set (128 bits that stand for the set), half (64 of them), cells, shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = Cells(percent)
         for batch in batches:
             for first, texts in text_blocks(batch["text"]):
                 sets = shingle_sets(texts, n_words)
-                whole = list(map(_set_key, sets))
+                whole, listed = list(map(_set_key, sets)), list(map(cells.of, sets))
                 yield pa.record_batch(
                     [batch["doc_id"].slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()),
                      pa.array(whole, pa.binary()), pa.array([int.from_bytes(w[:8], "little", signed=True) for w in whole]),
-                     pa.array([cells.keys(s).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set", "half", "keys"])
+                     pa.array([keys.view(np.int64) for keys, _ in listed], pa.list_(pa.int64())),
+                     pa.array([n for _, n in listed], pa.int32())],
+                    names=["doc_id", "n_shingles", "set", "half", "cells", "shared"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, set binary, half long, keys array<long>")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, set binary, half long, "
+                                "cells array<long>, shared int")
+
+
+def _edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets to be kept in one region."""
+    spark = rows.sparkSession
+    cells = rows.select(F.explode("cells").alias("cell"), "half")
+    met = materialise(cells.groupBy("cell").agg(F.min("half").alias("least"), F.max("half").alias("most"))
+                      .where("least <> most").select("cell"), name="cells")
+    release_shuffles(spark)
+    members = materialise(cells.join(met, "cell", "left_semi").distinct(), name="members")
+    release_shuffles(spark)
+    shape = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("half").alias("first"))
+    large = shape.where(F.col("n") > SMALL_CELL).select("cell", "first")
+    # A set is connected with the smallest of its cells' first sets, and that one with the others of them,
+    # which are few and the same for most sets of a group.
+    firsts = members.join(large, "cell").groupBy("half").agg(F.collect_set("first").alias("firsts"))
+    centre = F.array_min("firsts")
+    stars = firsts.select(centre.alias("a"), F.explode(F.array_union("firsts", F.array("half"))).alias("b")).where("a <> b")
+
+    # Lists of at most SMALL_CELL sets, turned into pairs inside their row.
+    listed = members.join(shape.where(F.col("n") <= SMALL_CELL).select("cell"), "cell", "left_semi").groupBy("cell").agg(
+        F.array_sort(F.collect_list("half")).alias("sets"))
+    pair = F.explode(F.expr("flatten(transform(sets, (x, i) -> transform(slice(sets, i + 2, size(sets)), y -> struct(x AS a, y AS b))))"))
+    counted = listed.select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    size = classes.groupBy("half").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("shared").alias("shared"))
+    of = lambda side: size.select(F.col("half").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("least", "most", "shared")))
+    pairs = counted.join(of("a"), "a").join(of("b"), "b").where(
+        (F.col("n") >= F.least("shared_a", "shared_b")) & (F.col("most_a") * 100 >= F.col("least_b") * percent)
+        & (F.col("most_b") * 100 >= F.col("least_a") * percent)).select("a", "b")
+    # A cell of pairs may also be large elsewhere: stars and pairs together keep everything that may be linked.
+    return materialise(stars.unionByName(pairs).distinct(), name="edges")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -147,101 +191,168 @@ def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_co
     return rows.mapInArrow(run, "set binary, shingles array<long>").dropDuplicates(["set"])
 
 
-class _Links:
-    """Verified links so far, and the component of every set in them."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self._sets, self._percent = sets, percent
-        self._links: DataFrame | None = None
-        self._labels: DataFrame | None = None
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """a, b, distance of distinct ``pairs`` (a, b); the linked ones are kept."""
-        left = self._sets.select(F.col("set").alias("a"), F.col("shingles").alias("of_a"))
-        right = self._sets.select(F.col("set").alias("b"), F.col("shingles").alias("of_b"))
-        common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
-        met = pairs.join(left, "a").join(right, "b").select(
-            "a", "b", common.alias("common"), (F.size("of_a") + F.size("of_b")).alias("both"))
-        either = F.col("both") - F.col("common")
-        checked = materialise(met.select("a", "b", (1 - F.col("common") / either).alias("distance"),
-                                         (100 * F.col("common") >= self._percent * either).alias("linked")), name="checked")
-        new = checked.where("linked").select("a", "b")
-        self._links, self._labels = new if self._links is None else self._links.unionByName(new), None
-        return checked
-
-    @property
-    def labels(self) -> DataFrame:
-        if self._labels is None:
-            self._labels = components(self._links)
-        return self._labels
-
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        known = self.labels.select(F.col("node").alias("set"), "label")
-        return rows.join(known, "set", "left").withColumn("label", F.coalesce("label", "set"))
-
-
-def _join_regions(regions: DataFrame, found: _Links, radius: float) -> None:
-    """Link the documents of ``regions`` (region, set, later); see the third level above."""
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets, from products of 0/1 matrices of some columns at a time."""
+    n = len(sets)
+    member = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    np.fill_diagonal(out, np.bincount(member[count[column] == 1], minlength=n))
+    several = count[column] > 1  # a shingle of one set alone adds to no other intersection
+    member, column = member[several], column[several]
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    column = np.cumsum(np.diff(column, prepend=column[:1]) != 0) if len(column) else column
+    width = max(64, (1 << 21) // n)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        block = np.zeros((n, width), np.float32)
+        block[member[a:b], column[a:b] - low] = 1
+        out += block @ block.T
+    return out
+
+
+def _joined(percent: int):
+    """The exact join inside one region, as a function of its rows."""
+
+    def join(region: pa.Table) -> pa.Table:
+        keys = region["set"].to_pylist()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        keys = [keys[i] for i in order]
+        lists = region["shingles"].combine_chunks()
+        sets = [np.asarray(lists[i].values.to_numpy(zero_copy_only=False)) for i in order]
+        own = np.asarray(region["own"].to_pylist(), bool)[order]
+        side = np.asarray(region["side"].to_pylist())[order]
+        size = np.array([len(s) for s in sets], np.int64)
+        common = intersections(sets).astype(np.int64)
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        # Each pair once, by its smaller set; of two sides only pairs across them.
+        linked &= np.triu(np.ones_like(linked), 1) & own[:, None]
+        if region["across"][0].as_py():
+            linked &= side[:, None] != side[None, :]
+        linked |= linked.T
+        a, b, todo = [], [], set(np.flatnonzero(linked.any(axis=1)).tolist())
+        while todo:
+            front = [todo.pop()]
+            while front:
+                x = front.pop()
+                new = [y for y in np.flatnonzero(linked[x]).tolist() if y in todo]
+                todo.difference_update(new)
+                a += [keys[x]] * len(new)
+                b += [keys[y] for y in new]
+                front += new
+        n = linked.sum(axis=1)
+        some = np.flatnonzero(n).tolist()
+        return pa.table({"a": pa.array(a + [keys[i] for i in some], pa.binary()),
+                         "b": pa.array(b + [None] * len(some), pa.binary()),
+                         "n": pa.array([0] * len(a) + n[some].tolist(), pa.int64())})
+
+    return join
+
+
+_REGION = ["region", "set", "shingles", "own", "side", "across"]
+
+
+def _join_regions(rows: DataFrame, percent: int, max_sets: int, max_shingles: int) -> list[DataFrame]:
+    """a, b, n of all regions in ``rows`` (region, set, shingles): links of a forest with n = 0, and
+    with b null the number of a's links."""
+    radius = 1 - percent / 100
+    rows = rows.withColumns({"own": F.lit(True), "side": F.lit(0), "across": F.lit(False)})
+    out = []
     while True:
-        # The pivot is one document of the region, the same one in most regions of a group.
-        pivots = regions.groupBy("region").agg(F.min_by("set", F.struct("later", "set")).alias("pivot"))
-        held = regions.join(pivots, "region").where("set <> pivot").select("region", "set", "pivot")
-        checked = found.verify(held.select(F.col("pivot").alias("a"), F.col("set").alias("b")).distinct())
-        near = checked.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "distance")
-        rest = materialise(found.labelled(held.join(near, ["pivot", "set"]).select("region", "set", "distance")), name="rest")
-
-        by_label = rest.groupBy("region", "label").agg(F.count(F.lit(1)).alias("n"))
-        shape = by_label.groupBy("region").agg(F.sum("n").alias("n"), F.max("n").alias("most"),
-                                               F.max_by("label", F.struct("n", "label")).alias("largest")).where("n > most")
-        open_rows = materialise(rest.join(shape, "region").select(
-            "region", "set", "distance", "label", (F.col("label") == F.col("largest")).alias("later"),
-            (F.col("n") - F.col("most") <= LEAF).alias("small")), name="open")
-        small, large = open_rows.where("small"), open_rows.where("NOT small")
-
-        few = small.where("NOT later").select("region", F.col("set").alias("a"), F.col("distance").alias("da"),
-                                              F.col("label").alias("la"))
-        every = small.select("region", F.col("set").alias("b"), F.col("distance").alias("db"), F.col("label").alias("lb"), "later")
-        pairs = few.join(every, "region").where(
-            (F.col("la") != F.col("lb")) & (F.col("later") | (F.col("a") < F.col("b")))
-            & (F.abs(F.col("da") - F.col("db")) <= radius + _ROUNDING))
-        found.verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-        if large.isEmpty():
-            return
-        ring = F.floor(F.col("distance") / radius).cast("int")
-        regions = materialise(large.select("region", "set", "later", F.explode(F.array(ring, ring + 1)).alias("ring")).select(
-            F.xxhash64("region", "ring").alias("region"), "set", "later"), name="rings")
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest id that links lead to.
-
-    Two documents are linked when ``100 * common shingles >= percent * all their shingles``.
+        shape = rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("weight"))
+        too_large = (F.col("n") > max_sets) | ((F.col("weight") > max_shingles) & (F.col("n") > 2))
+        large_ids = materialise(shape.where(too_large), name="large")
+        small = rows.join(large_ids.select("region"), "region", "left_anti")
+        out.append(materialise(small.select(*_REGION).groupBy("region").applyInArrow(
+            _joined(percent), "a binary, b binary, n long"), name="links"))
+        if large_ids.isEmpty():
+            return out
+        large = rows.join(large_ids, "region")
+        rows = materialise(_divided(large, radius, max_sets, max_shingles), name="regions")
+
+
+def _divided(large: DataFrame, radius: float, max_sets: int, max_shingles: int) -> DataFrame:
+    """The rows of regions that are too large, in smaller ones."""
+    # Pivots come from the region's own sets, in the order of a hash; a region without any has no pair to find.
+    first = Window.partitionBy("region").orderBy(F.xxhash64("region", "set"), "set")
+    pivots = (large.where("own").select("region", "set", "shingles").withColumn("place", F.row_number().over(first))
+              .where(F.col("place") <= N_PIVOTS).groupBy("region").agg(F.collect_list("shingles").alias("pivots")))
+    pivots = materialise(pivots, name="pivots")
+
+    def distance(pivot):
+        common = F.size(F.array_intersect("shingles", pivot))
+        return 1 - common / (F.size("shingles") + F.size(pivot) - common)
+
+    placed = large.join(pivots, "region").withColumn("distances", F.transform("pivots", distance)).drop("pivots")
+    placed = materialise(placed.withColumns({
+        "nearest": F.array_min("distances"), "home": F.array_position("distances", F.array_min("distances")).cast("int")}), name="placed")
+    # Far from all pivots: the region of its own has number 0.
+    far = F.col("nearest") > 1 - radius
+    near_pivots = F.filter(F.sequence(F.lit(1), F.size("distances")), lambda j: (
+        F.element_at("distances", j) <= F.col("nearest") + 2 * radius + _ROUNDING))
+    places = F.when(far, F.array(F.lit(0))).otherwise(F.concat(near_pivots, F.when(
+        F.col("nearest") > 1 - 2 * radius - _ROUNDING, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))
+    home = F.when(far, 0).otherwise(F.col("home"))
+    parted = placed.select("*", F.explode(places).alias("place"), home.alias("at")).select(
+        "region", "n", "set", "shingles", (F.col("own") & (F.col("place") == F.col("at"))).alias("own"), "side", "across",
+        F.xxhash64("region", "place").alias("next"))
+
+    # Where a part is nearly as large as its region, pivots lead nowhere: cut that region into blocks instead.
+    sizes = parted.groupBy("region", "next").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"), F.max("own").alias("any"))
+    stuck = materialise(sizes.groupBy("region").agg(F.max(F.col("m") / F.col("n")).alias("most")).where("most > 0.9").select("region"),
+                        name="stuck")
+    useful = sizes.where("any").select("region", "next")
+    divided = parted.join(useful, ["region", "next"], "left_semi").join(stuck, "region", "left_anti")
+    n_blocks = F.ceil(2 * F.greatest(F.col("n") / max_sets, F.col("weight") / max_shingles)).cast("int")
+    blocked = large.join(stuck, "region", "left_semi").withColumn("blocks", n_blocks).withColumn(
+        "mine", F.pmod(F.xxhash64("set", "region"), F.col("blocks")).cast("int"))
+    met = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Two different blocks are the sides of a region in which only pairs across count.  In a region
+    # that has sides already, every block of one side meets every block of the other.
+    side = F.when(F.col("across"), F.col("side")).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    left, right = F.when(side == 0, F.col("mine")).otherwise(F.col("other")), F.when(side == 0, F.col("other")).otherwise(F.col("mine"))
+    return divided.select(F.col("next").alias("region"), "set", "shingles", "own", "side", "across").unionByName(met.select(
+        F.xxhash64("region", left, right, F.lit("blocks")).alias("region"), "set", "shingles", "own",
+        side.alias("side"), (F.col("across") | (F.col("mine") != F.col("other"))).alias("across")))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text",
+                    max_sets: int = REGION_SETS, max_shingles: int = REGION_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links lead to) and n_links of every row.
+
+    Two documents are linked when ``100 * common shingles >= percent * all their shingles``;
+    ``n_links`` counts the different sets that a document's set is linked with.
     """
     spark = docs.sparkSession
     rows = materialise(sketches(docs, percent, n_words, id_col, text_col), name="sketches")
     classes = materialise(rows.where("n_shingles > 0").groupBy("set").agg(
-        F.min("doc_id").alias("first_id"), F.first("half").alias("half")), name="classes")
-
-    keys = rows.select(F.explode("keys").alias("region"), "half")
-    shared = keys.groupBy("region").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least <> most")
-    members = materialise(keys.join(shared.select("region"), "region", "left_semi").distinct(), name="members")
+        F.min("doc_id").alias("first_id"), F.first("half").alias("half"), F.first("n_shingles").alias("n_shingles"),
+        F.first("shared").alias("shared")), name="classes")
+    edges = _edges(rows, classes, percent)
+    release_shuffles(spark)
+    regions = components(edges).select(F.col("node").alias("half"), F.col("label").alias("region"))
+    members = materialise(classes.join(regions, "half").select("region", "set", "first_id"), name="members")
+    sets = materialise(_sets(docs, members.select("first_id"), n_words, id_col, text_col), name="sets")
     release_shuffles(spark)
-    regions = materialise(members.join(classes, "half").select("region", "set", F.lit(False).alias("later")), name="regions")
-    wanted = classes.join(members.select("half").distinct(), "half", "left_semi").select("first_id")
-    sets = materialise(_sets(docs, wanted, n_words, id_col, text_col), name="sets")
+    found = _join_regions(members.select("region", "set").join(sets, "set"), percent, max_sets, max_shingles)
     release_shuffles(spark)
 
-    found = _Links(sets, percent)
-    _join_regions(regions, found, 1 - percent / 100)
-    labels = found.labels.select(F.col("node").alias("set"), "label")
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    labels = components(links.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("set"), "label")
+    n_links = links.where("b IS NULL").groupBy(F.col("a").alias("set")).agg(F.sum("n").alias("n_links"))
     labelled = classes.select("set", "first_id").join(labels, "set")
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component"))
-    named = labelled.join(smallest, "label").select("set", "component").unionByName(
-        classes.join(labels, "set", "left_anti").select("set", F.col("first_id").alias("component")))
+    named = classes.select("set", "first_id").join(
+        labelled.join(smallest, "label").select("set", "component").join(n_links, "set"), "set", "left")
+    # Written down, so that the join below starts from two shuffles and a set with very many copies can be split.
+    named = materialise(named.select("set", F.coalesce("component", "first_id").alias("component"),
+                                     F.coalesce("n_links", F.lit(0)).alias("n_links")), name="named")
     return rows.select("doc_id", "n_shingles", "set").join(named, "set", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col: str = "doc_id",

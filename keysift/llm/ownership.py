@@ -76,8 +76,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     each = rows.select("row", "repo", "owner", F.explode("found").alias("m")).select("row", "repo", "owner", "m.*")
     values = each.where("fits").select("value", "repo", "owner").distinct()
-    spread = (values.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
-              .groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos")))
+    # Written down, so that the join below starts from two shuffles and a hot value can be split.
+    spread = materialise(values.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
+                         .groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n_repos").alias("n_repos")),
+                         name="spread")
 
     in_order = Window.partitionBy("row", "kind").orderBy("i")
     placed = each.withColumn("end", F.sum(F.col("before") + F.col("len")).over(in_order).cast("int")).where("fits")

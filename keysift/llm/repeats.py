@@ -45,6 +45,8 @@ from keysift.plans.durable import materialise, release_shuffles
 WINDOW = 20
 PHRASE = 8
 LETTERS = 3
+# Documents that share an automaton.
+SHARD_BYTES, SHARD_ROWS = 2 << 20, 1024
 
 _inverse_powers = np.ones(1, np.uint64)
 
@@ -158,7 +160,7 @@ def _located(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in text_blocks(batch["text"]):
+            for first, texts in text_blocks(batch["text"], SHARD_BYTES, SHARD_ROWS):
                 words = words_of(texts)
                 runs = runs_of(words.hashes, words.first, n)
                 lists = batch["phrases"].slice(first, len(texts))
@@ -197,7 +199,10 @@ def repeated_places(rows: DataFrame, n: int) -> DataFrame:
     """doc_id, runs (start and number of windows of every located run), firsts (windows that stay)."""
     spark = rows.sparkSession
     occurrences = _phrases(rows, n)
-    recurring = occurrences.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
+    # Written down, so that the join below starts from two shuffles and a hot phrase can be split.
+    recurring = materialise(occurrences.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase"),
+                            name="phrases")
+    release_shuffles(spark)
     held = occurrences.join(recurring, "phrase", "left_semi").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
     located = materialise(_located(rows.join(held, "doc_id").select("doc_id", "text", "phrases"), n), name="located")
     release_shuffles(spark)

@@ -80,7 +80,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                         payload.alias("payload"))
     large = rows.select("page_id", F.octet_length("payload").alias("n"), F.sha2("payload", 256).alias("digest")).where(
         F.col("n") >= LEAST_BYTES)
-    groups = large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    # Written down, so that the join below starts from two shuffles and a hot payload can be split.
+    groups = materialise(large.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+                         .where("n > 1"), name="groups")
     # Ids only: the payloads meet this list by their own id, which no group shares.
     revisits = (large.join(groups.select("digest", "first_id"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first_id")))
                 .select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "first_id").distinct())
