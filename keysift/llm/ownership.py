@@ -103,8 +103,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
     base = F.filter("found", lambda x: x["kind"] < len(KINDS))
     number = lambda test: F.size(F.filter("found", test)).cast("long")
+    of_kind = lambda k: number(lambda x: x["kind"] == k)
     return out.select("doc_id", "row", found.alias("found")).select(
-        "doc_id", *(number(lambda x, k=k: x["kind"] == k).alias(f"n_{name}") for k, name in enumerate(NAMES)),
+        "doc_id", *(of_kind(k).alias(f"n_{name}") for k, name in enumerate(NAMES)),
         F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"),
         number(lambda x: x["example"]).alias("n_example"), number(lambda x: ~x["example"]).alias("n_live"), "found")
 
