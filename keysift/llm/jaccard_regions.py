@@ -27,7 +27,8 @@ everything.  Hence the first two levels, whose pivots do tell texts apart.
 
 Documents with equal sets are one representative from the start, so copies are never
 paired.  Of a pair that several regions hold, the one counts in which the smaller set is
-no replica.  A region returns a forest of its links and each set's number of links, not pairs.
+no replica.  A region returns what is connected in it, each set with the smallest one,
+and each set's number of links; it does not return pairs.
 
 Defined cases.  A text with fewer words than a shingle has its whole word sequence as
 the only element; a text without words, or null, has no element and no link.  Rows
@@ -233,12 +234,13 @@ def _joined(percent: int):
         linked |= linked.T
         a, b, todo = [], [], set(np.flatnonzero(linked.any(axis=1)).tolist())
         while todo:
-            front = [todo.pop()]
+            first = min(todo)
+            todo.discard(first)
+            front = [first]
             while front:
-                x = front.pop()
-                new = [y for y in np.flatnonzero(linked[x]).tolist() if y in todo]
+                new = [y for y in np.flatnonzero(linked[front.pop()]).tolist() if y in todo]
                 todo.difference_update(new)
-                a += [keys[x]] * len(new)
+                a += [keys[first]] * len(new)
                 b += [keys[y] for y in new]
                 front += new
         n = linked.sum(axis=1)
@@ -254,8 +256,8 @@ _REGION = ["region", "set", "shingles", "own", "side", "across"]
 
 
 def _join_regions(rows: DataFrame, percent: int, max_sets: int, max_shingles: int) -> list[DataFrame]:
-    """a, b, n of all regions in ``rows`` (region, set, shingles): links of a forest with n = 0, and
-    with b null the number of a's links."""
+    """a, b, n of all regions in ``rows`` (region, set, shingles): sets b that links connect with a, and
+    with b null the number n of a's links."""
     radius = 1 - percent / 100
     rows = rows.withColumns({"own": F.lit(True), "side": F.lit(0), "across": F.lit(False)})
     out = []

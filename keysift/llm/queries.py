@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from keysift.llm import bitplanes, bpe, content_sort, cover_tree, jaccard_regions, langid, ownership, packing, repeats, warc
 from keysift.llm.word_ids import word_encoder
+from keysift.llm.workers import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,10 +69,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort,
+        op8_jaccard_regions, op9_repeated_passages, op10_warc, pipeline)
+
+
+def _with_package(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort, op8_jaccard_regions,
-                                 op9_repeated_passages, op10_warc)} | {
-        "pipeline": corpus_pipeline.run}
+    return {f.__name__: _with_package(f) for f in _ALL}
 
 
 _WHITE = r"'[\x20\x09-\x0D]'"
