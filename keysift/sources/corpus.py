@@ -47,7 +47,8 @@ class Corpus:
 
     def arriving_documents(self) -> DataFrame:
         """The documents as a stream of files."""
-        return arriving_files(self._spark, self._dir, SCHEMAS["documents"], pathGlobFilter="documents.parquet")
+        # As a pattern the name may stand for a file or a folder of files; a plain path of a stream is a folder.
+        return arriving_files(self._spark, f"{self._dir}/documents.parque[t]", SCHEMAS["documents"])
 
     @cached_property
     def owners(self) -> DataFrame:
