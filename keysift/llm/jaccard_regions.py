@@ -39,6 +39,7 @@ names a component.  No rows give no rows.  Shingles are compared by 64-bit hashe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +49,16 @@ from pyspark.sql import functions as F
 from keysift.llm.blocks import text_blocks
 from keysift.llm.components import components
 from keysift.llm.words import mixed, sequence_hashes, words_of
-from keysift.plans.durable import materialise, release_shuffles
+from keysift.plans.durable import discard, materialise, release_shuffles, scratch_dir
 
 # Cells of up to so many sets are listed as pairs.
-SMALL_CELL = 8
+SMALL_CELL = 16
+SLICES = 2
 # A region of more sets, or of more shingles in all, is divided.
 REGION_SETS, REGION_SHINGLES = 1024, 2_000_000
 N_PIVOTS = 8
-_SIZE_STEPS = 3
+# A size region spans at most this ratio, or one window where that is wider.
+_SIZE_RATIO = 1.4
 _ROUNDING = 1e-9
 
 
@@ -77,13 +80,16 @@ class Cells:
 
     def __init__(self, percent: int):
         self._percent = percent
+        window = 100 / percent
+        self._ratio = window ** max(1, int(np.log(_SIZE_RATIO) / np.log(window)))
+        self._parts: dict[int, tuple[int, int, int]] = {}
         self._borders = [1]  # of the regions of sizes
         self._extend(64)
 
     def _extend(self, size: int) -> None:
         while self._borders[-1] <= size:
             low = self._borders[-1]
-            self._borders.append(max(low + 1, int(low * (100 / self._percent) ** _SIZE_STEPS)))
+            self._borders.append(max(low + 1, int(low * self._ratio)))
 
     def regions(self, size: int) -> list[int]:
         """Own region, and the one above if a linked set may lie there."""
@@ -91,6 +97,26 @@ class Cells:
         own = int(np.searchsorted(self._borders, size, side="right")) - 1
         return [own, own + 1] if size * 100 >= self._percent * self._borders[own + 1] else [own]
 
+    def parts(self, region: int) -> tuple[int, int, int]:
+        """How many shingles linked sets of a region may differ in, its number of parts, and the most
+        shingles of a part that is thin.
+
+        Shingles fall into parts at random.  So many parts are made beyond the ones that may
+        differ that a set with more thin ones is rare: five standard deviations above the
+        mean of the smallest set listed there, as far as that leaves the parts any contents.
+        """
+        if region not in self._parts:
+            # The smaller of two linked sets is below the region's end.
+            differ = ((self._borders[region + 1] - 1) * (100 - self._percent)) // self._percent
+            low, spare = self._borders[region] * self._percent / 100, 1
+            thin = 1 if low >= 5 * (differ + 1) else 0
+            for _ in range(8):
+                mean = low / (differ + 1 + spare)
+                few = (differ + 1 + spare) * np.exp(-mean) * (1 + mean * thin)
+                spare = max(spare, min(1 + differ // 2, int(np.ceil(few + 5 * np.sqrt(few)))))
+            self._parts[region] = (differ, differ + 1 + spare, thin)
+        return self._parts[region]
+
     def of(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
         """Cells, one per part: a hash of the region, the part's number and its contents; and how
         many of them a linked set shares at least.
@@ -100,23 +126,21 @@ class Cells:
         """
         size, out, shared = len(shingles), [], []
         for region in self.regions(size):
-            # The smaller of two linked sets is below the region's end, and they differ in at most so many shingles.
-            differ = ((self._borders[region + 1] - 1) * (100 - self._percent)) // self._percent
+            differ, n_parts, thin = self.parts(region)
             if differ == 0:
                 continue  # only equal sets are linked
-            # Shingles fall into parts at random: so many thin parts hardly ever happen.
-            spare = 1 if differ < 2 else 2 if differ < 6 else 3 + -(-differ // 12)
-            n_parts = differ + 1 + spare
-            thin = 1 if differ >= 6 else 0
+            spare = n_parts - differ - 1
             ends = (np.arange(n_parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(n_parts)
             starts = np.searchsorted(shingles >> np.uint64(32), ends, side="left")
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(shingles))])
             contents = total[starts[1:]] - total[starts[:-1]]
             keys = mixed(contents + mixed(np.arange(n_parts, dtype=np.uint64) + np.uint64(region << 32)))
             few = np.diff(starts) <= thin
-            left_out = int(few.sum()) if few.sum() <= spare else 0
-            out.append(keys[~few] if left_out else keys)
-            shared.append(spare + 1 - left_out)
+            # Of the parts in which two sets agree, thin ones are at most the fewer of either's. A set with
+            # too many lists all its parts, and nothing is stated about how many it shares.
+            n_few = int(few.sum())
+            out.append(keys[~few] if n_few <= spare else keys)
+            shared.append(spare + 1 - n_few if n_few <= spare else 1)
         return (np.concatenate(out), min(shared)) if out else (np.zeros(0, np.uint64), 1)
 
 
@@ -146,33 +170,52 @@ def sketches(docs: DataFrame, percent: int, n_words: int, id_col: str, text_col:
 
 
 def _edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: sets to be kept in one region."""
+    """a, b: sets to be kept in one region.
+
+    Linked sets share at least ``shared`` cells.  Those of them that are small show them as
+    a pair, listed often enough once the large cells that both may share are taken off.  If
+    they share no small cell, all of those are large: so only sets with that many large
+    cells have to be connected through them.  A passage that many texts hold makes
+    large cells, but not that many in a text that has other content.
+    """
     spark = rows.sparkSession
-    cells = rows.select(F.explode("cells").alias("cell"), "half")
-    met = materialise(cells.groupBy("cell").agg(F.min("half").alias("least"), F.max("half").alias("most"))
-                      .where("least <> most").select("cell"), name="cells")
-    release_shuffles(spark)
-    members = materialise(cells.join(met, "cell", "left_semi").distinct(), name="members")
-    release_shuffles(spark)
-    shape = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("half").alias("first"))
-    large = shape.where(F.col("n") > SMALL_CELL).select("cell", "first")
+    listed = rows.select(F.explode("cells").alias("cell"), "half")
+    members = []
+    for k in range(SLICES):  # cells are many rows: a slice of them at a time holds shuffles down
+        cells = listed.where(F.pmod("cell", F.lit(SLICES)) == k)
+        met = materialise(cells.groupBy("cell").agg(F.min("half").alias("least"), F.max("half").alias("most"))
+                          .where("least <> most").select("cell"), name="cells")
+        release_shuffles(spark)
+        members.append(materialise(cells.join(met, "cell", "left_semi").distinct(), name="members"))
+        release_shuffles(spark)
+    members = reduce(DataFrame.unionByName, members)
+    shape = materialise(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), name="shape")
+    members = materialise(members.join(shape, "cell"), name="members")
+    large, small = members.where(F.col("n") > SMALL_CELL), members.where(F.col("n") <= SMALL_CELL)
+    known = classes.groupBy("half").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"),
+                                        F.min("shared").alias("shared"))
+    known = materialise(known.join(large.groupBy("half").agg(F.count(F.lit(1)).alias("n_large")), "half", "left").withColumn(
+        "n_large", F.coalesce("n_large", F.lit(0))), name="known")
+
+    tied = materialise(large.join(known.where(F.col("n_large") >= F.col("shared")).select("half"), "half", "left_semi")
+                       .select("cell", "half"), name="tied")
+    first = materialise(tied.groupBy("cell").agg(F.min("half").alias("first")), name="firsts")
     # A set is connected with the smallest of its cells' first sets, and that one with the others of them,
     # which are few and the same for most sets of a group.
-    firsts = members.join(large, "cell").groupBy("half").agg(F.collect_set("first").alias("firsts"))
+    firsts = tied.join(first, "cell").groupBy("half").agg(F.collect_set("first").alias("firsts"))
     centre = F.array_min("firsts")
     stars = firsts.select(centre.alias("a"), F.explode(F.array_union("firsts", F.array("half"))).alias("b")).where("a <> b")
 
     # Lists of at most SMALL_CELL sets, turned into pairs inside their row.
-    listed = members.join(shape.where(F.col("n") <= SMALL_CELL).select("cell"), "cell", "left_semi").groupBy("cell").agg(
-        F.array_sort(F.collect_list("half")).alias("sets"))
+    listed = small.groupBy("cell").agg(F.array_sort(F.collect_list("half")).alias("sets"))
     pair = F.explode(F.expr("flatten(transform(sets, (x, i) -> transform(slice(sets, i + 2, size(sets)), y -> struct(x AS a, y AS b))))"))
     counted = listed.select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
-    size = classes.groupBy("half").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("shared").alias("shared"))
-    of = lambda side: size.select(F.col("half").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("least", "most", "shared")))
+    of = lambda side: known.select(F.col("half").alias(side), *(
+        F.col(c).alias(f"{c}_{side}") for c in ("least", "most", "shared", "n_large")))
     pairs = counted.join(of("a"), "a").join(of("b"), "b").where(
-        (F.col("n") >= F.least("shared_a", "shared_b")) & (F.col("most_a") * 100 >= F.col("least_b") * percent)
+        (F.col("n") >= F.least("shared_a", "shared_b") - F.least("n_large_a", "n_large_b"))
+        & (F.col("most_a") * 100 >= F.col("least_b") * percent)
         & (F.col("most_b") * 100 >= F.col("least_a") * percent)).select("a", "b")
-    # A cell of pairs may also be large elsewhere: stars and pairs together keep everything that may be linked.
     return materialise(stars.unionByName(pairs).distinct(), name="edges")
 
 
@@ -327,11 +370,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col
     ``n_links`` counts the different sets that a document's set is linked with.
     """
     spark = docs.sparkSession
-    rows = materialise(sketches(docs, percent, n_words, id_col, text_col), name="sketches")
+    listed_at = scratch_dir(spark, "cells")
+    listed = materialise(sketches(docs, percent, n_words, id_col, text_col), listed_at)
+    rows = materialise(listed.drop("cells"), name="sketches")
     classes = materialise(rows.where("n_shingles > 0").groupBy("set").agg(
         F.min("doc_id").alias("first_id"), F.first("half").alias("half"), F.first("n_shingles").alias("n_shingles"),
         F.first("shared").alias("shared")), name="classes")
-    edges = _edges(rows, classes, percent)
+    edges = _edges(listed.select("half", "cells"), classes, percent)
+    discard(spark, listed_at)
     release_shuffles(spark)
     regions = components(edges).select(F.col("node").alias("half"), F.col("label").alias("region"))
     members = materialise(classes.join(regions, "half").select("region", "set", "first_id"), name="members")

@@ -65,8 +65,7 @@ def families(seed, n=160, words=120, changes=9):
     return rows
 
 
-@pytest.mark.parametrize("percent,n,limits", [(90, 3, {}), (80, 5, {}), (90, 3, {"max_sets": 6}), (80, 2, {"max_sets": 3}),
-                                              (70, 3, {"max_sets": 10, "max_shingles": 1500})])
+@pytest.mark.parametrize("percent,n,limits", [(90, 3, {}), (80, 5, {"max_sets": 6}), (70, 3, {"max_sets": 10, "max_shingles": 1500})])
 def test_against_brute_force(spark, percent, n, limits):
     rows = families(percent + n)
     want = brute(rows, percent, n)
@@ -77,8 +76,7 @@ def test_against_brute_force(spark, percent, n, limits):
 def test_short_texts(spark):
     draw = random.Random(2)
     rows = [(i, " ".join(draw.choices("abcdef", k=draw.randint(0, 14)))) for i in range(200)]
-    for percent, n in ((90, 3), (60, 2)):
-        assert found(spark, rows, percent, n) == brute(rows, percent, n)
+    assert found(spark, rows, 60, 2) == brute(rows, 60, 2)
 
 
 def test_odd_texts(spark):
