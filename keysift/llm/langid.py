@@ -160,7 +160,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     matrix = np.zeros((len(learned), DIMS), np.float32)
     for row, r in zip(matrix, learned):
         row[r["places"]] = r["counts"]
-    return learn([r["lang"] for r in learned], matrix)
+    told = matrix.any(axis=1)  # a text without letters says nothing about its language
+    return learn([r["lang"] for r, t in zip(learned, told) if t], matrix[told])
 
 
 def _judged(batch: pa.RecordBatch, text_col: str, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:

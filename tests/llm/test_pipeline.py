@@ -2,6 +2,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 import corpus_pipeline as P
@@ -36,8 +37,9 @@ def docs(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"set": F.lit("x"), "__kept": F.lit(1), "content": F.lit(2)})
     extra = [(9001, f"one two three token={HEX} four five six seven eight nine ten", "en", "src1", 10, "x", 1, 2),
              (9002, "12345 !!", "en", "src1", 8, "x", 1, 2), (9003, None, None, None, None, None, None, None), (9004, "", "en", None, 0, "x", 1, 2),
-             (9005, "Ж" * 60, "en", "src1", 60, "x", 1, 2)]
-    return table.unionByName(spark.createDataFrame(extra, table.schema)).cache()
+             (9005, "Ж" * 60, None, "src1", 60, "x", 1, 2)]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema])
+    return table.unionByName(spark.createDataFrame(extra, schema)).cache()
 
 
 def test_stages_against_brute_force(spark, docs):
