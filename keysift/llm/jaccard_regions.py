@@ -16,9 +16,10 @@ radius ``1 - share``.  The space is divided so that linked documents meet in som
 3.  Documents.  A region small enough for one task is joined there exactly, by the sizes
     of all intersections.  A larger one takes some of its documents as pivots.  Each
     document goes to the Voronoi region of its nearest pivot, and as a replica into every
-    other one whose pivot is at most two radii farther away.  Documents that are farther
-    from all pivots than linked to anything near one make a region of their own, with a
-    window of one radius replicated into it.  Every part is joined in the same way again.
+    other one whose pivot is at most two radii farther away.  Documents that are too far
+    from all pivots for links to a document that shares nothing with one make a region of
+    their own.  Others within a radius of it are replicated into it, and its documents into
+    the regions of pivots that they share anything with.  Every part is joined in the same way again.
     Where pivots do not divide a region, it is cut into blocks that meet in pairs.
 
 Pivots that are documents cannot divide the whole corpus: unrelated texts share no
@@ -332,12 +333,14 @@ def _divided(large: DataFrame, radius: float, max_sets: int, max_shingles: int)
     placed = large.join(pivots, "region").withColumn("distances", F.transform("pivots", distance)).drop("pivots")
     placed = materialise(placed.withColumns({
         "nearest": F.array_min("distances"), "home": F.array_position("distances", F.array_min("distances")).cast("int")}), name="placed")
-    # Far from all pivots: the region of its own has number 0.
-    far = F.col("nearest") > 1 - radius
+    # Far from all pivots: the region of its own has number 0.  Either set of a linked pair may be the smaller, so
+    # each has to be in the home of the other: far sets also with the pivots of others.  A set that is not far is
+    # linked with none that shares nothing with its pivot.
+    far = F.col("nearest") >= 1 - radius - _ROUNDING
     near_pivots = F.filter(F.sequence(F.lit(1), F.size("distances")), lambda j: (
-        F.element_at("distances", j) <= F.col("nearest") + 2 * radius + _ROUNDING))
-    places = F.when(far, F.array(F.lit(0))).otherwise(F.concat(near_pivots, F.when(
-        F.col("nearest") > 1 - 2 * radius - _ROUNDING, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))))
+        (F.element_at("distances", j) < 1) & (F.element_at("distances", j) <= F.col("nearest") + 2 * radius + _ROUNDING)))
+    places = F.concat(near_pivots, F.when(
+        F.col("nearest") >= 1 - 2 * radius - 3 * _ROUNDING, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
     home = F.when(far, 0).otherwise(F.col("home"))
     parted = placed.select("*", F.explode(places).alias("place"), home.alias("at")).select(
         "region", "n", "set", "shingles", (F.col("own") & (F.col("place") == F.col("at"))).alias("own"), "side", "across",

@@ -94,6 +94,14 @@ def test_copies_and_near_copies_in_a_third_of_all_rows(spark):
     assert found(spark, rows, 80, 3, max_sets=20) == brute(rows, 80, 3)
 
 
+@pytest.mark.parametrize("percent,step", [(90, 2), (80, 3)])
+def test_a_chain_far_longer_than_a_region(spark, percent, step):
+    rows = [(i, " ".join(f"w{k}" for k in range(i * step, i * step + 100))) for i in range(300)]
+    want = brute(rows, percent, 1)
+    assert found(spark, rows, percent, 1, max_sets=40) == want
+    assert {c for _, _, c, _ in want} == {0} and min(w[3] for w in want) >= 2
+
+
 def test_one_of_each(spark):
     rows = families(7)
     want = {c for _, _, c, _ in brute(rows, 80, 5)}
