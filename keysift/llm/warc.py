@@ -10,7 +10,8 @@ for gzip magic from the start of its range on and accepts a place only if what
 decompresses there begins with a whole WARC header.  From there it decodes member after
 member; it owns the records that start inside its range and reads past its end to
 finish the last.  So every record is read once, and ranges need no index.  Damage inside
-a member is passed over by looking for the next accepted place.
+a member is passed over by looking for the next accepted place.  Records read are counted
+by archive; one that is not damaged and gives fewer than were written is an error.
 
 Defined cases.  A null payload is empty.  Rows repeated with the same id and payload are
 all responses if theirs is the largest id.  A null id is written without an id field
@@ -42,8 +43,8 @@ _MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
-# A record's header never reaches this size here; a place is not accepted without a whole header in it.
-_MAX_HEADER = 1 << 16
+# So much of a header is decompressed at a time.  Headers hold URLs and have no largest size.
+_HEADER_STEP = 1 << 16
 
 
 def _urn(page_id: int) -> str:
@@ -143,19 +144,23 @@ class RangeReader:
 
     def _accepted(self) -> bool:
         """Whether a member starts here whose text begins with a whole header."""
-        unpack, text, at = zlib.decompressobj(31), b"", 0
+        unpack, text, at = zlib.decompressobj(31), bytearray(), 0
         try:
-            while len(text) < _MAX_HEADER and not unpack.eof:
-                self._fill(at + 4096)
-                piece = self._data[at:at + 4096]
+            while not unpack.eof:
+                piece = unpack.unconsumed_tail
+                if not piece:
+                    self._fill(at + 4096)
+                    piece = self._data[at:at + 4096]
+                    at += len(piece)
                 if not piece:
                     break
-                text += unpack.decompress(piece, _MAX_HEADER)
-                at += len(piece)
+                searched = max(0, len(text) - 3)
+                text += unpack.decompress(piece, _HEADER_STEP)
                 if len(text) >= len(VERSION) and not text.startswith(b"WARC/1."):
                     return False
-                if b"\r\n\r\n" in text:
-                    return parse_header(text[:text.index(b"\r\n\r\n")]) is not None
+                end = text.find(b"\r\n\r\n", searched)
+                if end >= 0:
+                    return parse_header(bytes(text[:end])) is not None
         except zlib.error:
             pass
         return False
@@ -185,6 +190,15 @@ class RangeReader:
             yield Record(self._at, *parsed)
             self._skip(member[1])
 
+    def intact(self) -> bool:
+        """Whether whole gzip members follow one another from here to the end of the file."""
+        while self._at < self._size:
+            member = self._decode()
+            if member is None:
+                return False
+            self._skip(member[1])
+        return True
+
 
 def parse_header(header: bytes) -> dict[str, str] | None:
     """Fields by lower-case name; None unless it is a record's header with a length."""
@@ -225,21 +239,47 @@ def _row(record: Record) -> tuple:
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in ``archives`` (uri, n_bytes)."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record in ``archives`` (uri, n_bytes).
+
+    Where ``archives`` states ``n_records`` too, undamaged archives that give fewer are an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, begin in zip(batch["uri"].to_pylist(), batch["begin"].to_pylist()):
                 with open_file(uri) as file:
-                    rows = [_row(r) for r in RangeReader(file, begin, begin + range_bytes).records()]
+                    rows = [(uri, *_row(r)) for r in RangeReader(file, begin, begin + range_bytes).records()]
                 if rows:
                     yield pa.record_batch(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
-                        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        [pa.array(c, t) for c, t in zip(
+                            zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
+                        names=["uri", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     size = F.lit(range_bytes)
     ranges = archives.where("n_bytes > 0").select("uri", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("n_bytes") - 1, size.cast("long"))).alias("begin"))
     spread = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "uri", "begin")
-    return spread.mapInArrow(
-        read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    found = spread.mapInArrow(
+        read, "uri string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    if "n_records" in archives.columns:
+        found = materialise(found, name="records")
+        _check_counts(archives, found)
+    return found.drop("uri")
+
+
+def _check_counts(archives: DataFrame, found: DataFrame) -> None:
+    """Raise if an archive without damage gave fewer records than it states."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, n_bytes in zip(batch["uri"].to_pylist(), batch["n_bytes"].to_pylist()):
+                with open_file(uri) as file:
+                    if file.size() == n_bytes and RangeReader(file, 0, n_bytes).intact():
+                        yield pa.record_batch([[uri]], names=["uri"])
+
+    stated = archives.groupBy("uri").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_records").alias("n_records"))
+    read = found.groupBy("uri").agg(F.count(F.lit(1)).alias("n_read"))
+    short = stated.join(read, "uri", "left").where(F.col("n_records") > F.coalesce("n_read", F.lit(0)))
+    lost = short.select("uri", "n_bytes").mapInArrow(check, "uri string").first()
+    if lost is not None:
+        raise ValueError(f"{lost.uri} is not damaged and gave fewer records than were written")

@@ -54,6 +54,28 @@ def test_no_pages_and_no_ids(spark):
         ("4", "response", "None"), ("None", "response", "None"), ("None", "revisit", "4")]
 
 
+@pytest.mark.parametrize("size", [5000, 1 << 23])
+def test_very_long_urls(spark, size):
+    digits = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3200))
+    rows = [(1, "u", "a"), (2, " " * 200_000, "b"), (3, "data:," + digits, BIG), (4, "http://a/" + "é" * 100_000, BIG), (5, "u", "c")]
+    assert sorted(map(tuple, A.read_archives(spark, A.write_archives(pages(spark, rows)), size).collect()), key=str) == brute(rows)
+
+
+def test_fewer_records_than_written_are_an_error_unless_damaged(spark, tmp_path):
+    members = [A._member(A._record(i, "u", b"x" * 50, None)) for i in range(4)]
+    path = tmp_path / "a.warc.gz"
+
+    def read(data, n_records):
+        path.write_bytes(data)
+        archives = spark.createDataFrame([(f"file://{path}", len(data), n_records)], "uri string, n_bytes long, n_records long")
+        return sorted(r.page_id for r in A.read_archives(spark, archives, 100).collect())
+
+    assert read(b"".join(members), 4) == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="fewer records"):
+        read(members[0] + gzip.compress(b"WARC/1.1 not a record") + members[2], 3)
+    assert read(members[0] + members[1][:40] + b"\0" + members[1][41:] + members[2], 3) == [0, 2]
+
+
 def test_archives_are_gzip_members_of_the_format(spark):
     archive = A.write_archives(pages(spark, ROWS)).orderBy("n_records", ascending=False).first()
     with open_file(archive.uri) as file:
