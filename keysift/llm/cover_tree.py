@@ -8,7 +8,8 @@ any pair below them can have,
     q.d <= qc.dc + |qc| * Rd + |dc| * Rq + Rq * Rd,
 
 and are dropped together when even that is below the worst kth score among the queries
-of the query node.  Vectors are integers, so scores and ties are exact.
+of the query node.  Vectors are integers, so scores and ties are exact:
+products of floats where these hold every partial sum, and of 64-bit integers elsewhere.
 
 The data stay where they are: a task builds a tree over each block of its rows and
 searches it with the query tree, keeping ``k`` rows per query.  These meet per query in
@@ -21,7 +22,7 @@ Vectors meet only vectors of their own length; empty vectors score 0 with each o
 A query's own id is no candidate for it, also where that id is repeated; rows repeated
 under another id are candidates each.  Equal query rows are one query; rows with one id
 and several vectors are several queries.  Fewer candidates than k give fewer rows.
-Scores outside 64 bits are not defined.
+Scores outside 64 bits, and -2^63, are not defined.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ QUERY_BLOCK = 8192
 DATA_BLOCK = 4096
 LEAF = 48
 _NONE = np.iinfo(np.int64).min
+# Floats hold all integers up to here.
+_EXACT = float(1 << 53)
 
 
 class Node:
@@ -86,6 +89,20 @@ class CoverTree:
         return root
 
 
+def _integers(vectors: np.ndarray) -> np.ndarray:
+    """The integers that floats stand for; 2^63 stands for the largest, which is no float."""
+    over = vectors >= 2.0 ** 63
+    return np.where(over, np.iinfo(np.int64).max, np.where(over, 0, vectors).astype(np.int64))
+
+
+def _products(a: CoverTree, rows: np.ndarray, b: CoverTree, points: np.ndarray) -> np.ndarray:
+    """Exact inner products.  No partial sum exceeds the product of the norms."""
+    x, y = a.vectors[rows], b.vectors[points]
+    if float(a.norms[rows].max()) * float(b.norms[points].max()) * (1 + 1e-9) < _EXACT:
+        return np.rint(x @ y.T).astype(np.int64)
+    return _integers(x) @ _integers(y).T
+
+
 class TopK:
     """The k best rows of each query so far, by score and then smaller id."""
 
@@ -99,7 +116,7 @@ class TopK:
 
     def offer(self, node: Node, data: CoverTree, points: np.ndarray) -> None:
         rows = node.points
-        scores = np.rint(self.queries.vectors[rows] @ data.vectors[points].T).astype(np.int64)
+        scores = _products(self.queries, rows, data, points)
         ids = np.broadcast_to(data.ids[points], scores.shape)
         scores[ids == self.queries.ids[rows][:, None]] = _NONE
         better = scores.max(axis=1) >= self.scores[rows, -1]
@@ -108,7 +125,7 @@ class TopK:
             scores = np.concatenate([self.scores[rows], scores[better]], axis=1)
             ids = np.concatenate([self.ids[rows], ids[better]], axis=1)
             ids = np.where(scores == _NONE, np.iinfo(np.int64).max, ids)
-            first = np.lexsort((ids, -scores.astype(np.float64)), axis=-1)[:, :self.k] if scores.shape[1] else None
+            first = np.lexsort((ids, ~scores), axis=-1)[:, :self.k] if scores.shape[1] else None
             self.scores[rows] = np.take_along_axis(scores, first, axis=1)
             self.ids[rows] = np.take_along_axis(ids, first, axis=1)
 
@@ -119,7 +136,8 @@ class TopK:
         def bound(q: Node, d: Node) -> float:
             top = (float(queries.vectors[q.centre] @ data.vectors[d.centre]) + q.norm * d.radius + d.norm * q.radius
                    + q.radius * d.radius)
-            return top + 1e-9 * abs(top) + 1e-6
+            # Terms may cancel, so rounding is relative to their sizes and not to the sum's.
+            return top + 1e-9 * (q.norm + q.radius) * (d.norm + d.radius) + 1e-6
 
         todo = [(bound(queries.root, data.root), queries.root, data.root)] if queries.root and data.root else []
         while todo:

@@ -54,6 +54,16 @@ def test_ties_and_one_vector_in_a_third_of_all_rows(spark):
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("sign", [1, -1])
+def test_scores_that_floats_do_not_hold(spark, sign):
+    draw = random.Random(sign)
+    rows = [(i, [1e6, draw.choice([1e6, 999_999.0]), sign * draw.choice([1e6, -1e6]), draw.randint(-9, 9) / 1024, draw.randint(0, 3) / 1024])
+            for i in range(700)]
+    assert found(spark, rows) == brute(rows)
+    large = [(100, [2.0 ** 60, 0.0]), (1, [1 / 1024, 3.0]), (2, [0.0, 5.0]), (3, [-1 / 1024, 7.0])]
+    assert found(spark, large) == [(100, 1, 1, 2 ** 63 - 1), (100, 2, 2, 0), (100, 3, 3, -(2 ** 63 - 1))]
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (100, [1.0]), (200, []), (300, None), (400, [float("nan"), 1.0]), (500, [None, 1.0]), (600, [float("inf")]),
             (1, [1.0, -1.0]), (2, [3.0]), (3, []), (4, [1.0, 2.0]), (4, [1.0, 2.0]), (700, [0.0, 0.0]), (None, [1.0, 1.0]), (5, [-0.0004, 1.0])]
