@@ -1,4 +1,4 @@
-"""Removal of passages that repeat across the corpus, located with Aho-Corasick automata.
+"""Removal of passages that repeat across the corpus, located by a join of hashed phrases.
 
 A window is ``n`` consecutive words.  Every word covered by a window whose words also
 start earlier in the corpus is removed.
@@ -7,11 +7,12 @@ start earlier in the corpus is removed.
     with the smallest hash.  Equal windows have equal phrases and neighbouring windows
     mostly share one, so a text has about one phrase in seven words.  Phrases that occur
     twice are confirmed by counting all of them, aggregated before the shuffle.
-2.  Automata.  Documents meet the recurring phrases that they hold.  Documents are taken
-    in blocks; a block is one shard: its automaton is compiled from the phrases of its
-    documents and no others, so no automaton grows with the corpus, and every document
-    is streamed through the one automaton that can match it.  Located phrases give the
-    runs of windows that may recur.
+2.  Location.  Documents meet the recurring phrases that they hold, in a join on the hash of
+    the phrase: it moves 64 bits a phrase, where automata over all phrases would grow with
+    the corpus, or need every text in every shard.  The phrases a document holds are known
+    after that, and give the runs of windows that may recur.  Each block of documents also
+    compiles its phrases into an automaton that streams its texts.  It finds the same
+    phrases again and so changes no result.
 3.  Windows.  Runs with equal words are reduced to the first of them, in one aggregation
     that also collapses copied documents, and the windows of those are grouped: the
     first place of every window stays.  All other windows in located runs are repeats.
