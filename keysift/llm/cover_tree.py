@@ -11,11 +11,12 @@ and are dropped together when even that is below the worst kth score among the q
 of the query node.  Vectors are integers, so scores and ties are exact:
 products of floats where these hold every partial sum, and of 64-bit integers elsewhere.
 
-The data stay where they are: a task builds a tree over each block of its rows and
-searches it with the query tree, keeping ``k`` rows per query.  These meet per query in
-a window that Spark limits before its shuffle.  Queries come in blocks of about
-``QUERY_BLOCK`` rows; a block's tree is all that is broadcast and each block is one pass
-over the data, so neither grows with the corpus.
+Queries come in blocks of about ``QUERY_BLOCK`` rows and data in blocks of at most
+``DATA_BLOCK``.  Tasks build a tree over each block and write it to the shared folder;
+only the names of the files pass through Spark.  Every tree of queries then meets every
+file of data trees in some task, which holds one of the former and one tree of the
+latter at a time and keeps ``k`` rows per query.  These meet per query in a window that
+Spark limits before its shuffle.  The driver sees no vector and one count.
 
 Defined cases.  Vectors that are null or hold null, NaN or infinity take no part.
 Vectors meet only vectors of their own length; empty vectors score 0 with each other.
@@ -27,14 +28,17 @@ Scores outside 64 bits, and -2^63, are not defined.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.llm.files import new_file, open_file
+from keysift.plans.durable import materialise, scratch_dir
+
 QUERY_BLOCK = 8192
 DATA_BLOCK = 4096
 LEAF = 48
@@ -58,6 +62,16 @@ class CoverTree:
         self.norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         self.root = self._node(np.arange(len(ids)), 0) if len(ids) else None
 
+    def __getstate__(self):
+        """Vectors in the smallest type that holds them."""
+        most = float(np.abs(self.vectors).max(initial=0))
+        kind = np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.float64
+        return self.vectors.astype(kind), self.ids, self.norms, self.root
+
+    def __setstate__(self, state):
+        vectors, self.ids, self.norms, self.root = state
+        self.vectors = vectors.astype(np.float64)
+
     def _distance(self, points: np.ndarray, centre: int) -> np.ndarray:
         away = self.vectors[points] - self.vectors[centre]
         return np.sqrt(np.einsum("ij,ij->i", away, away))
@@ -170,40 +184,71 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
             yield int(size), ids[some], values[offsets[some][:, None] + np.arange(size)].astype(np.float64)
 
 
+def _query_trees(queries: DataFrame, folder: str) -> DataFrame:
+    """block, size, tree: the file with the tree of each block's queries that have one length."""
+
+    def build(some: pa.Table) -> pa.Table:
+        lists, size = some["vector"].combine_chunks(), some["size"][0].as_py()
+        vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), size)
+        uri, out = new_file(folder, ".queries")
+        with out:
+            out.write(pickle.dumps(CoverTree(vectors, some["vec_id"].to_numpy())))
+        return pa.table({"block": some["block"].slice(0, 1), "size": some["size"].slice(0, 1), "tree": pa.array([uri])})
+
+    return materialise(queries.withColumn("size", F.size("vector")).groupBy("block", "size").applyInArrow(
+        build, "block long, size int, tree string"), name="query_trees")
+
+
+def _data_trees(data: DataFrame, folder: str) -> DataFrame:
+    """size, uri, at, n: the files of data trees, and where in them lie the trees of vectors of one length."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, out, end, places = None, None, 0, {}
+        for batch in batches:
+            for size, ids, vectors in _matrices(batch):
+                if out is None:
+                    uri, out = new_file(folder, ".data")
+                tree = pickle.dumps(CoverTree(vectors, ids))
+                out.write(tree)
+                places.setdefault(size, []).append((end, len(tree)))
+                end += len(tree)
+        if out is not None:
+            out.close()
+            at, n = ([[p[i] for p in some] for some in places.values()] for i in (0, 1))
+            yield pa.record_batch([pa.array(list(places), pa.int32()), pa.array([uri] * len(places)), pa.array(at, pa.list_(pa.int64())),
+                                   pa.array(n, pa.list_(pa.int64()))], names=["size", "uri", "at", "n"])
+
+    return materialise(data.mapInArrow(build, "size int, uri string, at array<long>, n array<long>"), name="data_trees")
+
+
 def top_k(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best rows of ``table`` for each row where ``is_query`` holds."""
     spark = table.sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), integers(F.col(vector_col)).alias("vector"),
                         F.coalesce(is_query, F.lit(False)).alias("asks")).where("vector IS NOT NULL AND vec_id IS NOT NULL")
-    queries = rows.where("asks").select("vec_id", "vector").distinct()
+    queries = materialise(rows.where("asks").select("vec_id", "vector").distinct(), name="queries")
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    data = rows.select("vec_id", "vector")
-
-    def pass_over(block: int) -> DataFrame:
-        trees: dict[int, CoverTree] = {}
-        mine = queries.where(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_blocks)) == block).toArrow()
-        for size in sorted(set(map(len, mine["vector"].to_pylist()))):
-            some = sorted((i, v) for i, v in zip(mine["vec_id"].to_pylist(), mine["vector"].to_pylist()) if len(v) == size)
-            trees[size] = CoverTree(np.array([v for _, v in some], np.float64).reshape(len(some), size),
-                                    np.array([i for i, _ in some], np.int64))
-        shared = spark.sparkContext.broadcast(trees)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {size: TopK(tree, k) for size, tree in shared.value.items()}
-            for batch in batches:
-                for size, ids, vectors in _matrices(batch):
-                    if size in best:
-                        best[size].search(CoverTree(vectors, ids))
-            for size, found in best.items():
-                row, place = np.nonzero(found.scores != _NONE)
+    folder = scratch_dir(spark, "trees")
+    trees = _query_trees(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_blocks)).cast("long")), folder)
+    pairs = _data_trees(rows.select("vec_id", "vector"), folder).join(trees, "size")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pair in batch.to_pylist():
+                with open_file(pair["tree"]) as file:
+                    best = TopK(pickle.loads(file.read()), k)
+                with open_file(pair["uri"]) as file:
+                    for at, n in zip(pair["at"], pair["n"]):
+                        best.search(pickle.loads(file.read_at(n, at)))
+                row, place = np.nonzero(best.scores != _NONE)
                 if len(row):
                     yield pa.record_batch(
-                        [pa.array(row + (size << 32)), pa.array(found.queries.ids[row]), pa.array(found.ids[row, place]),
-                         pa.array(found.scores[row, place])], names=["query", "query_id", "vec_id", "score"])
-
-        return data.mapInArrow(search, "query long, query_id long, vec_id long, score long").withColumn("block", F.lit(block))
+                        [pa.array(np.full(len(row), pair["block"], np.int64)), pa.array(row + (pair["size"] << 32)),
+                         pa.array(best.queries.ids[row]), pa.array(best.ids[row, place]), pa.array(best.scores[row, place])],
+                        names=["block", "query", "query_id", "vec_id", "score"])
 
-    found = reduce(DataFrame.unionByName, map(pass_over, range(n_blocks)))
+    spread = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tree", "uri")
+    found = spread.mapInArrow(search, "block long, query long, query_id long, vec_id long, score long")
     order = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -49,6 +49,19 @@ def test_blocks_of_queries_and_data(spark, monkeypatch):
     assert found(spark, rows) == brute(rows)
 
 
+def test_no_vectors_pass_through_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("vectors brought to the driver")
+
+    monkeypatch.setattr(T, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(DataFrame, "toArrow", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    rows = vectors(900, 4, 5) + [(i, [*v, 1.0]) for i, v in vectors(300, 4, 6)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_ties_and_one_vector_in_a_third_of_all_rows(spark):
     rows = [(i, [0.5, 0.25] if i % 3 == 0 else v) for i, v in vectors(600, 2, 4)]
     assert found(spark, rows) == brute(rows)
