@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keysift.llm import bitplanes, bpe, content_sort, cover_tree, jaccard_regions, langid, ownership, packing, repeats, warc
+from keysift.llm import (bitplanes, bpe, content_sort, conversations, cover_tree, jaccard_regions, langid, ownership, packing,
+                         repeats, warc)
 from keysift.llm.word_ids import word_encoder
 from keysift.llm.workers import ship
 
@@ -69,12 +70,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, warc.write_archives(_table(spark, sf_dir, "pages")))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in one row of four, chosen by a checksum of its place; ``present`` is false where a row goes."""
+    as_text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", as_text("conv_id"), as_text("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(as_text("text"), "[.!?]", "")).otherwise(as_text("text"))
+    copies = F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(fault == 4, "user").otherwise(as_text("role")).alias("role"), text.alias("text"),
+                       (fault != 0).alias("present"), F.explode(copies).alias("copy"))
+
+
+def op11_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_summary(damaged(_table(spark, sf_dir, "conversations")), F.col("present"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _ALL = (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort,
-        op8_jaccard_regions, op9_repeated_passages, op10_warc, pipeline)
+        op8_jaccard_regions, op9_repeated_passages, op10_warc, op11_interval_repair, pipeline)
 
 
 def _with_package(query: Query) -> Query:
@@ -117,7 +132,64 @@ SELECT page_id, octet_length(p.payload) AS payload_bytes, sha1(p.payload) AS pay
        CASE WHEN page_id < first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN g USING (payload)"""
 
+# The checksum by its polynomial, then the cheapest edits turn by turn over the pattern's states (0: nothing, 1: s, 2: u, 3: a).
+_OP11 = r"""
+WITH RECURSIVE
+     crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k:
+                        CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+     keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                      concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k
+               FROM conversations),
+     summed AS (SELECT keyed.*, xor(4294967295, list_reduce(
+                    list_prepend(4294967295, list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+                    lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]))) % 20 AS fault FROM keyed, crc),
+     damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                        CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                        unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+                 FROM summed WHERE fault <> 0),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                       row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+                       regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare FROM damaged),
+     judged AS (SELECT *, left(role, 1) AS x, CASE WHEN bare = '' THEN 'b' WHEN seen > 1 THEN 'd'
+                       WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f FROM placed),
+     steps AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) s(p, x, q)),
+     ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'),
+                                   (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')) v(p, q, c, e)),
+     edits AS (SELECT conv_id, i, p.p, p.p AS q, 2 AS c, 'D' AS e, '' AS put FROM judged, (SELECT DISTINCT p FROM ins) p
+               UNION ALL
+               SELECT conv_id, i, p, q, CASE f WHEN 't' THEN 5 ELSE 0 END, 'K', role || ':' || text
+               FROM judged JOIN steps USING (x) WHERE f NOT IN ('b', 'd')
+               UNION ALL
+               SELECT conv_id, i, p, q, CASE f WHEN 't' THEN 6 ELSE 1 END, 'R',
+                      CASE s.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+               FROM judged, steps s WHERE f NOT IN ('b', 'd') AND s.x <> 's'),
+     best(conv_id, i, q, w) AS (
+         SELECT conv_id, CAST(0 AS BIGINT), q, {'c': CAST(c AS BIGINT), 'e': e,
+                'r': list_transform(range(len(e)), lambda k: CASE WHEN (k % 2 = 0) THEN 'user:' ELSE 'assistant:' END)}
+         FROM (SELECT DISTINCT conv_id FROM damaged) c, ins WHERE p = 0
+         UNION ALL
+         SELECT b.conv_id, b.i + 1, n.q, min({'c': b.w.c + t.c + n.c, 'e': b.w.e || t.e || n.e,
+                'r': b.w.r || CASE WHEN t.e = 'D' THEN [] ELSE [t.put] END || list_transform(range(len(n.e)), lambda k:
+                         CASE WHEN (k % 2 = 0) = (t.q <> 2) THEN 'user:' ELSE 'assistant:' END)})
+         FROM best b JOIN edits t ON b.conv_id IS NOT DISTINCT FROM t.conv_id AND b.i + 1 = t.i AND b.q = t.p JOIN ins n ON n.p = t.q
+         GROUP BY b.conv_id, b.i, n.q),
+     ended AS (SELECT b.conv_id, min(b.w) AS w
+               FROM best b JOIN (SELECT conv_id, max(i) AS i FROM judged GROUP BY conv_id) l
+                    ON b.conv_id IS NOT DISTINCT FROM l.conv_id AND b.i = l.i
+               WHERE b.q IN (0, 3) GROUP BY b.conv_id),
+     pairs AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM judged),
+     counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+                       count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+                       count(*) FILTER (i > 1 AND before || x NOT IN ('su', 'ua', 'au')) AS illegal
+                FROM pairs GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost, coalesce(w.e, '') AS audit,
+       sha256(coalesce(array_to_string(w.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+     LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON a.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10}
+    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10, "op11_interval_repair": _OP11}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
