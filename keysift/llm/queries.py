@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keysift.llm import (bitplanes, bpe, content_sort, conversations, cover_tree, jaccard_regions, langid, ownership, packing,
-                         repeats, warc)
+from keysift.llm import (bitplanes, bpe, content_sort, conversations, cover_tree, decontaminate, jaccard_regions, langid, ownership,
+                         packing, repeats, warc)
 from keysift.llm.word_ids import word_encoder
 from keysift.llm.workers import ship
 
@@ -84,12 +84,16 @@ def op11_interval_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_summary(damaged(_table(spark, sf_dir, "conversations")), F.col("present"))
 
 
+def op12_benchmark_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _ALL = (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort,
-        op8_jaccard_regions, op9_repeated_passages, op10_warc, op11_interval_repair, pipeline)
+        op8_jaccard_regions, op9_repeated_passages, op10_warc, op11_interval_repair, op12_benchmark_prefixes, pipeline)
 
 
 def _with_package(query: Query) -> Query:
@@ -189,7 +193,24 @@ SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank
 FROM (SELECT DISTINCT conv_id FROM conversations) a
      LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON a.conv_id IS NOT DISTINCT FROM e.conv_id"""
 
+_OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+     v AS (SELECT DISTINCT item_id, list_slice(w, i, i + 9) AS win
+           FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+     sizes AS (SELECT DISTINCT len(win) AS size FROM v),
+     places AS (SELECT row, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+     found AS (SELECT p.row, p.i, p.size, v.item_id FROM places p JOIN v ON list_slice(p.w, p.i, p.i + p.size - 1) = v.win),
+     hit AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS word FROM found) GROUP BY row),
+     items AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+               FROM found GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10, "op11_interval_repair": _OP11}
+    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10, "op11_interval_repair": _OP11, "op12_benchmark_prefixes": _OP12}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
