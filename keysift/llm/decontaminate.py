@@ -14,7 +14,7 @@ A document word inside any occurrence of a window is hit.
     words one by one.  Equal windows of several items are one window until here.
 
 Both passes read texts in one narrow stage.  A shingle that no window holds is turned away there by
-a bitmap of ``BITS`` bits, whatever the size of the benchmark; what it lets through meets the
+a table of ``SLOTS`` marks, whatever the size of the benchmark; what it lets through meets the
 windows in an exact join.  Shingles with many places are dealt to many tasks, and equal
 windows start a row once per document.  DataFrame functions throughout.
 
@@ -36,7 +36,7 @@ from keysift.plans.durable import materialise
 WINDOW = 10
 SHINGLE = 3
 # A fixed size: with more shingles it turns fewer away, and results stay the same.
-BITS = 1 << 20
+SLOTS = 1 << 18
 # What separates words, and the letters whose case is ignored.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,26 +73,29 @@ def _shingled(windows: DataFrame) -> DataFrame:
     return placed.select("window", "at", "size", F.expr(hashed).alias("shingle"))
 
 
-def _bitmap(shingles: DataFrame) -> Column:
-    """A scalar: array of ``BITS`` / 64 longs with a bit set for every shingle."""
-    bit = F.pmod(F.col("shingle"), F.lit(BITS))
-    longs = shingles.select(F.shiftright(bit, 6).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast(pmod(shingle, 64) as int))").alias("bit"))
-    filled = longs.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    by_place = filled.agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("m"))
-    return by_place.select(F.transform(F.sequence(F.lit(0), F.lit(BITS // 64 - 1)), lambda i: F.coalesce(
-        F.element_at("m", i), F.lit(0))).alias("bits")).scalar()
+def _marks(shingles: DataFrame) -> Column:
+    """A scalar: array of ``SLOTS`` marks, true where a shingle falls."""
+    marked = shingles.select(F.expr(_slot("shingle")).cast("long").alias("id"), F.lit(True).alias("mark")).distinct()
+    every = shingles.sparkSession.range(SLOTS, numPartitions=1).join(F.broadcast(marked), "id", "left")  # SLOTS rows at most
+    listed = every.agg(F.array_sort(F.collect_list(F.struct("id", F.col("mark").isNotNull().alias("mark")))).alias("all"))
+    return listed.select(F.col("all.mark").alias("marks")).scalar()
+
+
+def _slot(shingle: str) -> str:
+    return f"cast({shingle} & {SLOTS - 1} as int)"
 
 
 def _places(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
     """doc_id, words, places: at (from 0) and shingle wherever the shingle may be among ``shingles``."""
     # Rows of a one-element array: the words must not be cut anew for every look at them.
-    bound = F.array(F.struct(words(F.col("text")).alias("words"), _bitmap(shingles).alias("bits")))
+    bound = F.array(F.struct(words(F.col("text")).alias("words"), _marks(shingles).alias("marks")))
     marked = docs.select("doc_id", F.inline(bound))
-    found = [F.expr(f"""filter(transform(if(size(words) < {size}, cast(array() as array<int>), sequence(0, size(words) - {size})),
-        i -> named_struct('at', i, 'shingle', {_shingle("words", "i", size)})),
-        x -> (shiftright(get(bits, cast(shiftright(pmod(x.shingle, {BITS}), 6) as int)), cast(pmod(x.shingle, 64) as int)) & 1L) = 1L)""")
-        for size in sizes]
-    places = F.flatten(F.array(*found)) if found else F.expr("cast(array() as array<struct<at:int,shingle:bigint>>)")
+    found = []
+    for size in sizes:
+        h = _shingle("words", "i", size)
+        found.append(F.expr(f"""transform(filter(if(size(words) < {size}, cast(array() as array<int>), sequence(0, size(words) - {size})),
+            i -> get(marks, {_slot(h)})), i -> named_struct('at', i, 'shingle', {h}))"""))
+    places = F.concat(*found) if found else F.expr("cast(array() as array<struct<at:int,shingle:bigint>>)")
     return marked.select("doc_id", "words", places.alias("places"))
 
 
