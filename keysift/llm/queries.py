@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keysift.llm import (bitplanes, bpe, content_sort, conversations, cover_tree, decontaminate, jaccard_regions, langid, ownership,
+from keysift.llm import (bitplanes, bpe, collocations, content_sort, conversations, cover_tree, decontaminate, jaccard_regions, langid, ownership,
                          packing, repeats, warc)
 from keysift.llm.word_ids import word_encoder
 from keysift.llm.workers import ship
@@ -88,12 +88,16 @@ def op12_benchmark_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_pair_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _ALL = (op1_packing, op2_secret_ownership, op3_cover_tree, op4_language, op5_transducer, op6_bit_planes, op7_content_sort,
-        op8_jaccard_regions, op9_repeated_passages, op10_warc, op11_interval_repair, op12_benchmark_prefixes, pipeline)
+        op8_jaccard_regions, op9_repeated_passages, op10_warc, op11_interval_repair, op12_benchmark_prefixes, op13_pair_tiles, pipeline)
 
 
 def _with_package(query: Query) -> Query:
@@ -210,7 +214,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (row) LEFT JOIN items USING (row)"""
 
+_OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+     p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+     n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+     g AS (SELECT lang, list_slice(w, i, i + m - 1) AS g FROM (
+               SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+     f AS (SELECT lang, g, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 30),
+     cuts AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1),
+     s AS (SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f + y.f) AS BIGINT) AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = list_slice(c.g, 1, k) JOIN f y ON y.lang = c.lang AND y.g = list_slice(c.g, k + 1, len(c.g))),
+     best AS (SELECT lang, g, a, unnest(min({'score': score, 'k': k, 'l': l, 'r': r})) FROM s GROUP BY lang, g, a),
+     parts AS (SELECT lang, list_slice(g, i, i + m - 1) AS g, max(f) AS most FROM (
+                   SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS m) WHERE len(g) > m)
+               GROUP BY 1, 2),
+     stay AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN parts q ON q.lang = b.lang AND q.g = b.g
+              WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10, "op11_interval_repair": _OP11, "op12_benchmark_prefixes": _OP12}
+    sql = {"op7_content_sort": _OP7, "op3_cover_tree": _OP3, "op10_warc": _OP10, "op11_interval_repair": _OP11, "op12_benchmark_prefixes": _OP12, "op13_pair_tiles": _OP13}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
