@@ -1,11 +1,11 @@
 """Collocations: phrases of two to four words whose words seek each other out, per language.
 
 Counting is by direct-address tiling, level by level.  Elements (at first the words, then the
-frequent pairs, then the frequent triples) are ranked by frequency, and pairs of neighbouring elements
+frequent pairs of words, ...) are ranked by frequency, and pairs of neighbouring elements
 are counted in tiles of ranks: a tile of ``TILE`` by ``TILE`` ranks that receives many pairs is a dense table to
 which numpy's bincount adds; all other pairs are sorted lists of (left, right, count).  Pairs
-found often enough are the next level's elements, ranked anew: two overlapping pairs make
-a triple, two overlapping triples four words.  A phrase is only as frequent as its parts, so nothing is missed.
+found often enough are the next level's elements, ranked anew: two pairs of words that overlap make
+a phrase of three, two that touch one of four.  A phrase is only as frequent as its parts, so nothing is missed.
 
 Each level reads the texts once, counts in its tasks and sends counts, not occurrences.  What tasks know of a
 level has a fixed size: the ``HEAD`` most frequent elements with their ranks, and a table of ``MARK_BITS`` bits in
@@ -55,7 +55,7 @@ HEAD = 16 * TILE
 DENSE_PAIRS = TILE * TILE // 16
 MARK_BITS = 1 << 24
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
-VOCABULARY_BYTES = 4 << 20
+VOCABULARY_BYTES = 2 << 20
 BUFFER_PAIRS = 1 << 20
 
 # What ends a piece, and what stands between the words of one.
@@ -99,12 +99,12 @@ def words_of(texts: list[bytes], languages: list[str]) -> Words:
         return Words(data, none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool))
     lengths = ends - starts
     at = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+    place = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat(at.astype(np.int32), lengths)
     hashes = np.add.reduceat(_OF_BYTE[raw[inside]] * powers(int(lengths.max()))[place], at)
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
     own = {lang: _language_code(lang) for lang in set(languages)}
     of_text = np.array([own[lang] for lang in languages], np.uint64)
-    piece = np.cumsum(_BREAK[raw], dtype=np.int64)[starts]
+    piece = np.cumsum(_BREAK[raw], dtype=np.int32)[starts]
     return Words(data, starts, ends, text, mixed(mixed(hashes + lengths.astype(np.uint64)) ^ of_text[text]),
                  np.append(piece[1:] == piece[:-1], False))
 
@@ -163,10 +163,11 @@ class Level:
 
 
 class Tiles:
-    """Counts of pairs of neighbouring elements: dense tiles, and sorted lists for the rest."""
+    """Counts of pairs of elements ``apart`` words from each other: dense tiles, and sorted lists for the rest."""
 
-    def __init__(self, level: Level):
-        self._level, self._dense = level, {}
+    def __init__(self, level: Level, apart: int = 1, width: int | None = None):
+        self._level, self._dense, self._apart = level, {}, apart
+        self._width = width or level.size + apart
         self._key_of_rank = np.zeros(len(level.ranks), np.uint64)
         self._key_of_rank[level.ranks] = level.keys
 
@@ -189,57 +190,86 @@ class Tiles:
         if not len(sparse):
             return None
         keys, where, counts = np.unique(paired(left[sparse], right[sparse]), return_index=True, return_counts=True)
-        return _counted(keys, codes[sparse[where]], counts)
+        return _counted(keys, codes[sparse[where]], counts, self._width)
 
     def dense(self) -> Iterator[pa.RecordBatch]:
         for t, table in self._dense.items():
             cell = np.flatnonzero(table)
             a = t // (HEAD // TILE) * TILE + cell // TILE
             b = t % (HEAD // TILE) * TILE + cell % TILE
-            words = np.hstack([self._level.codes[a], self._level.codes[b][:, -1:]])
-            yield _counted(paired(self._key_of_rank[a], self._key_of_rank[b]), words, table[cell])
+            words = np.hstack([self._level.codes[a], self._level.codes[b][:, -self._apart:]])
+            yield _counted(paired(self._key_of_rank[a], self._key_of_rank[b]), words, table[cell], self._width)
         self._dense.clear()
 
 
-def _counted(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    columns = [keys.view(np.int64), *(np.ascontiguousarray(codes[:, i]).view(np.int64) for i in range(codes.shape[1])), counts.astype(np.int64)]
-    return pa.record_batch([pa.array(c) for c in columns], names=["key", *(f"c{i + 1}" for i in range(codes.shape[1])), "n"])
-
-
-def _neighbours(words: Words, level: Level) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of left and right element, and the words, of every pair of frequent elements."""
-    keys, fits = words.codes, words.follows
-    for _ in range(level.size - 1):  # keys of pairs, of pairs of pairs, ...
-        keys = paired(keys[:-1], keys[1:])
-        fits = fits[:-1] & fits[1:]
-    known = level.known(keys)
-    at = np.flatnonzero(fits[:len(keys) - 1] & known[:-1] & known[1:]) if len(keys) > 1 else np.zeros(0, np.int64)
-    return keys[at], keys[at + 1], np.stack([words.codes[at + i] for i in range(level.size + 1)], axis=1)
-
-
-def _count_pairs(docs: DataFrame, level: Level) -> DataFrame:
-    """key, c1 ... and n of phrases one word longer than the level's elements."""
+def _counted(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
+    """key, c1 ... (null beyond the phrase's words) and n."""
+    words = [pa.array(np.ascontiguousarray(codes[:, i]).view(np.int64)) for i in range(codes.shape[1])]
+    words += [pa.nulls(len(keys), pa.int64())] * (width - len(words))
+    return pa.record_batch([pa.array(keys.view(np.int64)), *words, pa.array(counts.astype(np.int64))],
+                           names=["key", *(f"c{i + 1}" for i in range(width)), "n"])
+
+
+def _elements(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the ``size`` words (a power of two) from each word on, and whether they are in one piece."""
+    keys, fits, have = words.codes, np.ones(len(words.codes), bool), 1
+    while have < size:
+        joins = words.follows[have - 1:len(fits) - 1]
+        keys, fits = paired(keys[:-have], keys[have:]), fits[:-have] & fits[have:] & joins
+        have *= 2
+    return keys, fits
+
+
+def _neighbours(words: Words, level: Level, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of left and right element, and the words, of every phrase of size + apart words whose elements are all frequent."""
+    n = len(words.codes) - level.size - apart + 1
+    if n <= 0:
+        none = np.zeros(0, np.uint64)
+        return none, none, np.zeros((0, level.size + apart), np.uint64)
+    keys, fits = _elements(words, level.size)
+    good = level.known(keys) & fits
+    every = np.logical_and.reduce([good[k:n + k] for k in range(apart + 1)])
+    for k in range(apart):  # the last word of one element continues into the next
+        every &= words.follows[level.size - 1 + k:n + level.size - 1 + k]
+    at = np.flatnonzero(every)
+    return keys[at], keys[at + apart], np.stack([words.codes[at + i] for i in range(level.size + apart)], axis=1)
+
+
+def _count_pairs(docs: DataFrame, level: Level, longest: int) -> DataFrame:
+    """key, c1 ... and n of phrases longer than the level's elements, up to twice as long."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
+    width = min(2 * level.size, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tiles, held, n_held, n_dense = Tiles(shared.value), [], 0, 0
+        every = {apart: Tiles(shared.value, apart, width) for apart in range(1, width - level_size + 1)}
+        held, n_held, n_dense = {apart: [] for apart in every}, 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for apart, tiles in every.items():
+                if (rest := tiles.add(*(np.concatenate(c) for c in zip(*held[apart])))) is not None:
+                    yield rest
+                held[apart].clear()
+
         for batch in batches:
             for texts, languages in _blocks(batch, BLOCK_BYTES):
-                held.append(_neighbours(words_of(texts, languages), shared.value))
-                n_held += len(held[-1][0])
+                words = words_of(texts, languages)
+                for apart in every:
+                    held[apart].append(_neighbours(words, shared.value, apart))
+                    n_held += len(held[apart][-1][0])
                 if n_held >= BUFFER_PAIRS:
-                    if (rest := tiles.add(*(np.concatenate(c) for c in zip(*held)))) is not None:
-                        yield rest
-                    n_dense += n_held
-                    held, n_held = [], 0
+                    yield from flush()
+                    n_dense, n_held = n_dense + n_held, 0
                     if n_dense >= 1 << 31:  # a cell has 32 bits
-                        yield from tiles.dense()
+                        for tiles in every.values():
+                            yield from tiles.dense()
                         n_dense = 0
-        if n_held and (rest := tiles.add(*(np.concatenate(c) for c in zip(*held)))) is not None:
-            yield rest
-        yield from tiles.dense()
+        if n_held:
+            yield from flush()
+        for tiles in every.values():
+            yield from tiles.dense()
 
-    codes = ", ".join(f"c{i + 1} long" for i in range(level.size + 1))
+    level_size = level.size
+    codes = ", ".join(f"c{i + 1} long" for i in range(width))
     return docs.mapInArrow(run, f"key long, {codes}, n long")
 
 
@@ -268,15 +298,17 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     if not words.groupBy("code").count().where("count > 1").isEmpty():
         raise ArithmeticError("two frequent words have the same 64 bits")
     found = words.select(F.col("code").alias("key"), F.col("code").alias("c1"), "f")
-    phrases = found.select(F.array("c1").alias("codes"), "f")
-    for size in range(1, longest):
-        names = [f"c{i + 1}" for i in range(size + 1)]
+    phrases, size = found.select(F.array("c1").alias("codes"), "f"), 1
+    while size < longest:
         level = _level(found, size)
         if not len(level.keys):
             break
-        pairs = _count_pairs(docs, level).groupBy("key", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        found = materialise(pairs, name=f"phrases{size + 1}")
-        phrases = phrases.unionByName(found.select(F.array(*names).alias("codes"), "f"))
+        width = min(2 * size, longest)
+        names = [f"c{i + 1}" for i in range(width)]
+        pairs = _count_pairs(docs, level, longest).groupBy("key", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        longer = materialise(pairs, name=f"phrases{width}")
+        phrases = phrases.unionByName(longer.select(F.array_compact(F.array(*names)).alias("codes"), "f"))
+        found, size = longer.where(F.col(names[-1]).isNotNull()), width
     return totals, words.select("lang", "word", "code", "f"), phrases
 
 

@@ -47,6 +47,17 @@ def found(spark, rows, top=50, least=3):
     return sorted(tuple(r) for r in C.collocations(frame(spark, rows), top, least).collect())
 
 
+def test_elements_and_neighbours_stay_in_their_piece():
+    words = C.words_of([b"a b c d e. f g h i", b"j k"], ["en", "en"])
+    keys, fits = C._elements(words, 4)
+    assert np.flatnonzero(fits).tolist() == [0, 1, 5] and len(keys) == len(words.codes) - 3
+    every = np.full(C.MARK_BITS // 64, (1 << 64) - 1, np.uint64)
+    for size, apart, want in ((1, 1, [0, 1, 2, 3, 5, 6, 7, 9]), (2, 1, [0, 1, 2, 5, 6]), (2, 2, [0, 1, 5]), (4, 1, [0]), (4, 2, [])):
+        level = C.Level(size, every, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, size), np.uint64))
+        codes = C._neighbours(words, level, apart)[2]
+        assert codes.tolist() == [words.codes[i:i + size + apart].tolist() for i in want]
+
+
 def texts(seed, n=150):
     draw = random.Random(seed)
     vocabulary = ["the", "The", "of", "a", "é", "É", "naïve", "😀", "don't", "x-1"] + [f"w{k}" for k in range(25)]
@@ -119,5 +130,5 @@ def test_dense_tiles_and_sorted_lists_count_alike():
 def test_saturated_marks_change_nothing():
     level = C.Level(1, np.full(C.MARK_BITS // 64, (1 << 64) - 1, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 1), np.uint64))
     words = C.words_of([b"a b. c d e"], ["en"])
-    left, right, codes = C._neighbours(words, level)
+    left, right, codes = C._neighbours(words, level, 1)
     assert left.tolist() == words.codes[[0, 2, 3]].tolist() and right.tolist() == words.codes[[1, 3, 4]].tolist()
