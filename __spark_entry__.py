@@ -7,6 +7,7 @@ built; nested results come as text so that both engines can be compared value by
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -21,17 +22,19 @@ from keysift.operators import classify as C
 from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.operators import trends as T
+from keysift.operators.exposure import exposure_rates
+from keysift.operators.scrub import scrub
 from keysift.plans.durable import materialise, scratch_dir
 from keysift.plans.scan import Inputs, classified_findings, run
 from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus, files_of
+from keysift.sources.fingerprints import FingerprintStore
 from keysift.streaming.arrivals import scan_arrivals
 from oracle.queries_sql import ORACLE
 
-try:  # the operators on training data and their pipeline come in a subpackage that may be absent
+try:  # the operators on training data and their pipeline come in a subpackage that may be absent, or lack a library
     from keysift.llm import queries as llm_queries
-except ModuleNotFoundError as absent:
-    if absent.name not in ("keysift.llm", "keysift.llm.queries", "corpus_pipeline"):
-        raise
+except ImportError as missing:
+    warnings.warn(f"without the operators on training data: {missing}", stacklevel=1)
     llm_queries = None
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -296,6 +299,28 @@ def _stream_findings(c: Corpus) -> DataFrame:
     return spark.read.parquet(f"{out}/findings").select("file_id", "key_count", _shas())
 
 
+def _incremental_findings(c: Corpus) -> DataFrame:
+    """Two scheduled scans, of the first and the second half of the files, that remember what was seen."""
+    store = FingerprintStore(c.files.sparkSession, scratch_dir(c.files.sparkSession, "seen"))
+    middle = c.files.agg(F.max("file_id")).scalar() / 2
+    halves = {"first": c.files.where(F.col("file_id") <= middle), "second": c.files.where(F.col("file_id") > middle)}
+    found = [classified_findings(replace(_inputs(c), files=files), AS_OF, store=store, batch=name) for name, files in halves.items()]
+    return reduce(DataFrame.unionByName, found).select("file_id", "key_count", _shas(), "classification")
+
+
+def _incremental_fingerprints(c: Corpus) -> DataFrame:
+    """What three scans of a third each leave in the store, one of them repeated."""
+    store = FingerprintStore(c.files.sparkSession, scratch_dir(c.files.sparkSession, "seen"))
+    for batch in (0, 1, 2, 1):
+        part = c.files.where(F.col("file_id") % 3 == batch)
+        store.take(P.first_seen(D.explode_secrets(D.detect(part))), str(batch))
+    return store.fingerprints().select(F.col("sha").alias("sha256_fingerprint"), F.col("label").alias("batch"))
+
+
+def _scrubbed_documents(c: Corpus) -> DataFrame:
+    return scrub(c.files).select(F.col("file_id").alias("doc_id"), "n_spans", F.sha2("content", 256).alias("text_sha256"))
+
+
 def _class_counts(c: Corpus) -> DataFrame:
     return _found(c).groupBy("classification").agg(F.count("*").alias("n_findings"))
 
@@ -362,6 +387,10 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "findings_dedup": _findings_dedup,
     "findings_nodedup": _findings_nodedup,
     "stream_findings": _stream_findings,
+    "incremental_findings": _incremental_findings,
+    "incremental_fingerprints": _incremental_fingerprints,
+    "scrubbed_documents": _scrubbed_documents,
+    "exposure_rates": lambda c: exposure_rates(c.files),
     "run_summary": lambda c: C.run_summary(_found(c)),
     "run_summary_nodedup": lambda c: C.run_summary(_found(c, skip_duplicates=False)),
     "sig_dump_keyword": lambda c: _signals(c, "sig_dump_keyword"),

@@ -29,7 +29,7 @@ def contains_secret(content: str = "content", anchors: Sequence[str] = ANCHORS)
     """True when any anchor occurs, in any letter case; false for null or empty text."""
     fold = sql_contains_any(content, FOLDING_LETTERS)
     # exists() over a one-element array binds the lower-cased text once.
-    return F.expr(f"coalesce(exists(array(lower({content})), t -> {_anchored(content, 't', fold, anchors)}), false)")
+    return F.expr(f"coalesce(exists(array(lower({content})), t -> {anchored_sql(content, 't', fold, anchors)}), false)")
 
 
 def pem_header_count(content: str = "content") -> Column:
@@ -57,7 +57,7 @@ def detect(files: DataFrame, content: str = "content", rules: Sequence[Rule] | N
     # Sorted by fingerprint, copies are neighbours: in-file dedup without leaving the row.
     ordered = found.select(
         *keep,
-        F.expr(f"""CASE WHEN size(_found) = 0 OR NOT {_anchored(content, '_lower', '_fold', anchors)} THEN null
+        F.expr(f"""CASE WHEN size(_found) = 0 OR NOT {anchored_sql(content, '_lower', '_fold', anchors)} THEN null
                         WHEN size(_found) = 1 THEN _found ELSE array_sort(_found) END""").alias("_hits"),
         F.expr(f"""coalesce(CASE WHEN _fold THEN {_pem_headers(content)}
                         WHEN contains(_lower, 'private key') THEN {_pem_headers_in_lower('_lower')}
@@ -127,9 +127,9 @@ def match_counts(files: DataFrame, key: str = "file_id", content: str = "content
     counts = []
     for i, rule in enumerate(rules or RULES, 1):
         matches = f"regexp_extract_all({content}, {sql_text(jvm_pattern(rule.pattern, rule.flags))}, 0)"
-        counts.append(f"""CASE WHEN {_possible(rule, content)} THEN transform(array({matches}),
+        counts.append(f"""CASE WHEN {possible_sql(rule, content)} THEN transform(array({matches}),
             ms -> named_struct('ord', {i}, 'n_matches', size(ms),
-                               'n_fitting', size(filter(ms, m -> {_fits(rule, _value(rule))}))))[0] END""")
+                               'n_fitting', size(filter(ms, m -> {fits_sql(rule, value_sql(rule))}))))[0] END""")
     return (lowered.select(key, F.explode_outer(F.expr(f"array({', '.join(counts)})")).alias("c"))
             .where("c.n_matches > 0")
             .select(key, "c.ord", F.expr(rule_field("c.ord", "secret_id", rules)).alias("secret_id"),
@@ -145,24 +145,24 @@ def _rule_hits(ord_: int, rule: Rule, content: str) -> str:
     pattern = sql_text(jvm_pattern(rule.pattern, rule.flags))
     found = f"""transform(
         filter(transform(array_distinct(regexp_extract_all({content}, {pattern}, 0)),
-                         m -> named_struct('m', m, 'v', {_value(rule)})), x -> {_fits(rule, 'x.v')}),
+                         m -> named_struct('m', m, 'v', {value_sql(rule)})), x -> {fits_sql(rule, 'x.v')}),
         (x, i) -> named_struct('sha', sha2(x.m, 256), 'ord', {ord_}, 'pos', i, 'sample',
             if(length(x.v) >= 4, concat(substr(x.v, 1, 4), '****'), '****')))"""
-    return f"CASE WHEN {_possible(rule, content)} THEN {found} ELSE cast(array() AS {_HIT_TYPE}) END"
+    return f"CASE WHEN {possible_sql(rule, content)} THEN {found} ELSE cast(array() AS {_HIT_TYPE}) END"
 
 
-def _value(rule: Rule) -> str:
+def value_sql(rule: Rule) -> str:
     """SQL of the value inside a match ``m``: re-read from the short match, not from the text."""
     pattern = sql_text(jvm_pattern(rule.pattern, rule.flags))
     return sql_strip("m" if rule.whole else f"regexp_extract(m, {pattern}, 1)")
 
 
-def _fits(rule: Rule, value: str) -> str:
+def fits_sql(rule: Rule, value: str) -> str:
     upper = f" AND length({value}) <= {rule.max_length}" if rule.max_length else ""
     return f"length({value}) >= {rule.min_length}{upper}"
 
 
-def _possible(rule: Rule, content: str) -> str:
+def possible_sql(rule: Rule, content: str) -> str:
     """SQL telling whether a rule's necessary literals all occur."""
     if not rule.needs:
         return "true"
@@ -171,7 +171,7 @@ def _possible(rule: Rule, content: str) -> str:
     return "_fold OR (" + " AND ".join(sql_contains_any("_lower", any_) for any_ in rule.needs) + ")"
 
 
-def _anchored(content: str, lower: str, fold: str, anchors: Sequence[str]) -> str:
+def anchored_sql(content: str, lower: str, fold: str, anchors: Sequence[str]) -> str:
     """SQL of the pre-screen: literal look-ups, or the pattern where folding letters occur."""
     pattern = jvm_pattern("|".join(re.escape(a) for a in anchors), "i")
     # The shortest anchors are by far the most common in any text, so they go first.

@@ -8,7 +8,7 @@ new fingerprints, or all of them if none is new.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,18 +46,21 @@ def new_secrets_by_file(firsts: DataFrame, key: str = KEY) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("ord", "pos", "sha", "sample"))).alias("secrets"))
 
 
-def findings(detected: DataFrame, skip_duplicates: bool = True, visits: DataFrame | None = None) -> DataFrame:
+def findings(detected: DataFrame, skip_duplicates: bool = True, visits: DataFrame | None = None,
+             only_new: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Findings without repository context: file columns, ``secrets``, ``key_count``, ``n_new``.
 
     ``visits`` (query_ord, file_id) restricts and orders the run as a search does; in
     default mode only the first visit of a file can bring anything new, without
     skipping duplicates every visit is a finding.  When duplicates are kept,
-    ``detected`` is used twice, so pass a materialised frame.
+    ``detected`` is used twice, so pass a materialised frame.  ``only_new`` takes away
+    the first-seen rows whose fingerprint is known from elsewhere, such as earlier runs.
     """
     detected, order = with_secrets(detected), [KEY]
     if visits is not None:
         detected, order = detected.join(first_visits(visits, KEY), KEY), ["query_ord", KEY]
-    new = new_secrets_by_file(first_seen(explode_secrets(detected), order))
+    firsts = first_seen(explode_secrets(detected), order)
+    new = new_secrets_by_file(only_new(firsts) if only_new else firsts)
     if skip_duplicates:
         return new.withColumns({"key_count": F.size("secrets"), "n_new": F.size("secrets")})
 

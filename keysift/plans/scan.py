@@ -23,6 +23,7 @@ from keysift.operators.hydrate import hydrate, latest_commit
 from keysift.operators.reports import disclosure_targets, finding_records, findings_metadata
 from keysift.operators.scope import restrict
 from keysift.plans.durable import materialise
+from keysift.sources.fingerprints import FingerprintStore
 from keysift.sources.tables import run_stamp, write_disclosure_csv, write_findings_json, write_trends
 
 
@@ -61,11 +62,13 @@ def detected_files(inputs: Inputs, scopes: DataFrame | None = None, visits: Data
 
 
 def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, scopes: DataFrame | None = None,
-                        visits: DataFrame | None = None, rules: Sequence[Rule] | None = None) -> DataFrame:
+                        visits: DataFrame | None = None, rules: Sequence[Rule] | None = None,
+                        store: FingerprintStore | None = None, batch: str = "") -> DataFrame:
     """Labelled findings with all context columns.
 
     Findings are written down before they meet their context: they are few, and their
-    repositories are counted to spread the hot ones.
+    repositories are counted to spread the hot ones.  With a ``store`` fingerprints of
+    other batches are not new, and those of this ``batch`` are added to it.
     """
     if visits is not None:
         # Finding the visits reads the text once; they are used several times.
@@ -73,7 +76,8 @@ def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, sco
     detected = detected_files(inputs, scopes, visits, rules)
     if not skip_duplicates:
         detected = materialise(detected, name="detected")
-    found = materialise(findings(detected, skip_duplicates, visits), name="findings")
+    only_new = None if store is None else lambda firsts: store.take(firsts, batch)
+    found = materialise(findings(detected, skip_duplicates, visits, only_new), name="findings")
     latest = latest_commit(inputs.commits, inputs.commit_order, inputs.commit_keys)
     context = hydrate(found, inputs.repos, inputs.owners, latest, inputs.languages, inputs.topics, inputs.pushed_with_commit)
     return C.classify(context, as_of)
@@ -88,14 +92,16 @@ class RunResult:
 
 
 def run(inputs: Inputs, as_of, out_dir: str, skip_duplicates: bool = True, scopes: DataFrame | None = None,
-        visits: DataFrame | None = None, rules: Sequence[Rule] | None = None, with_email: bool = False) -> RunResult:
+        visits: DataFrame | None = None, rules: Sequence[Rule] | None = None, with_email: bool = False,
+        store: FingerprintStore | None = None, batch: str = "") -> RunResult:
     """Scan, label, analyse and write the findings, the disclosure list and the trend tables.
 
-    The labelled findings are kept in ``out_dir`` as a table of their own.  With
+    A scheduled scan passes the ``store`` of its earlier runs and a ``batch`` label of its
+    own; run again under that label it gives the same findings.  The labelled findings are kept in ``out_dir`` as a table of their own.  With
     ``visits`` the order of processing is that of the searches, then of the files.
     """
     stamp = run_stamp()
-    found = materialise(classified_findings(inputs, as_of, skip_duplicates, scopes, visits, rules),
+    found = materialise(classified_findings(inputs, as_of, skip_duplicates, scopes, visits, rules, store, batch),
                         f"{out_dir}/labelled_{stamp}")
     order = T.ORDER if visits is None else ("query_ord", *T.ORDER)
     sections = T.trend_report(T.leaked(found), as_of, order)

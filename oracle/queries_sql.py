@@ -5,7 +5,7 @@ from __future__ import annotations
 from keysift import wordlists as w
 from keysift.catalog import ANCHORS, RULES, Rule
 from oracle.base_sql import (AS_OF, BASE, DETECTION, FINDINGS, LABELLED, LABELLED_ALL, LEAKED, PRESCREEN, TABLES, detection,
-                             labelled, q, tables, words)
+                             _strip, labelled, q, tables, words)
 
 INPUT = f"WITH {TABLES}"
 DETECT = f"{INPUT}, {DETECTION}"
@@ -384,4 +384,31 @@ ORACLE: dict[str, str] = {
         AS secret_categories,
       key_count AS secret_count, {SHAS} AS secret_sha256_fingerprints
       FROM findings, {_NAMES} WHERE classification <> 'LEAKED' AND coalesce(author_email, '') <> ''""",
+    "incremental_findings": f"""{LABELLED} SELECT file_id, len(secrets) AS key_count, {SHAS} AS fingerprints, classification
+      FROM findings""",
+    "incremental_fingerprints": f"""{BASE} SELECT sha AS sha256_fingerprint, CAST(min(file_id % 3) AS VARCHAR) AS batch
+      FROM detected GROUP BY sha""",
+    "scrubbed_documents": f"""{BASE}, cut AS (
+        SELECT file_id, list(DISTINCT m) AS ms FROM (SELECT *, {_strip('v')} AS s FROM matches) JOIN rules USING (ord)
+        WHERE length(s) >= min_length AND (max_length IS NULL OR length(s) <= max_length) GROUP BY file_id),
+      scrubbed AS (
+        SELECT file_id, list_reduce(list_prepend(content, list_transform(list_sort(list_transform(coalesce(ms, []),
+                 lambda m: {{'n': -length(m), 'm': m}})), lambda x: x.m)),
+                 lambda t, m: replace(t, m, '[secret; removed]')) AS cleaned
+        FROM files LEFT JOIN cut USING (file_id))
+      SELECT file_id AS doc_id, CAST((length(cleaned) - length(replace(cleaned, '[secret; removed]', ''))) / 17 AS INTEGER) AS n_spans,
+             sha256(cleaned) AS text_sha256 FROM scrubbed""",
+    "exposure_rates": f"""{BASE}, held AS (
+        SELECT DISTINCT file_id, category FROM detected JOIN rules USING (ord)),
+      levels AS (
+        SELECT lang, source, CAST(GROUPING(lang, source) AS INTEGER) AS level, count(*) AS n_files FROM files GROUP BY CUBE (lang, source)),
+      exposed AS (
+        SELECT lang, source, coalesce(category, 'any') AS category, CAST(GROUPING(lang, source) AS INTEGER) AS level,
+               count(DISTINCT file_id) AS n_exposed
+        FROM (SELECT file_id, category FROM held UNION ALL SELECT DISTINCT file_id, null FROM held) JOIN files USING (file_id)
+        GROUP BY GROUPING SETS ((lang, source, category), (lang, category), (source, category), (category)))
+      SELECT l.lang, l.source, l.level, c.category, n_files, coalesce(n_exposed, 0) AS n_exposed, coalesce(n_exposed, 0) / n_files AS rate
+      FROM levels l CROSS JOIN (SELECT DISTINCT category FROM rules UNION ALL SELECT 'any') c
+           LEFT JOIN exposed e ON e.lang IS NOT DISTINCT FROM l.lang AND e.source IS NOT DISTINCT FROM l.source
+                AND e.level = l.level AND e.category = c.category""",
 }

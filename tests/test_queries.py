@@ -1,5 +1,9 @@
 """Every registered query against its SQL, on the smallest data set."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -20,6 +24,12 @@ def test_registration():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_a_missing_library_of_the_subpackage_leaves_the_rest():
+    code = ("import sys, warnings; warnings.simplefilter('ignore'); sys.modules['ahocorasick'] = None; sys.modules['public_tokenizers'] = None\n"
+            "import __spark_entry__ as e; assert set(e.queries()) == set(e._QUERIES) and e.oracle_sql()")
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 95
 
