@@ -24,10 +24,13 @@ from keysift.operators import findings as P
 from keysift.operators import trends as T
 from keysift.operators.exposure import exposure_rates
 from keysift.operators.scrub import scrub
+from keysift.operators.trend_parts import Parts, write_part
 from keysift.plans.durable import materialise, scratch_dir
 from keysift.plans.scan import Inputs, classified_findings, run
 from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus, files_of
 from keysift.sources.fingerprints import FingerprintStore
+from keysift.sources.tables import arriving_files
+from keysift.streaming.alerts import batch_alerts, first_seen_events, write_events
 from keysift.streaming.arrivals import scan_arrivals
 from oracle.queries_sql import ORACLE
 
@@ -321,6 +324,26 @@ def _scrubbed_documents(c: Corpus) -> DataFrame:
     return scrub(c.files).select(F.col("file_id").alias("doc_id"), "n_spans", F.sha2("content", 256).alias("text_sha256"))
 
 
+def _stream_first_seen(c: Corpus) -> DataFrame:
+    """Fingerprints of documents that arrive a few files at a time, a second apart, under a watermark that spans them."""
+    out = scratch_dir(c.files.sparkSession, "events")
+    arriving = files_of(c.arriving_documents(maxFilesPerTrigger=4))
+    timed = arriving.withColumn("at", F.timestamp_seconds(F.col("file_id") + 1_000_000_000))
+    write_events(first_seen_events(timed, "at", "20000 days"), out, f"{out}-state").awaitTermination()
+    return c.files.sparkSession.read.parquet(out).select("sha256_fingerprint")
+
+
+def _stream_batch_alerts(c: Corpus) -> DataFrame:
+    """Hours in which leaked findings of three repositories were committed, from findings that arrive in any order."""
+    spark = c.files.sparkSession
+    land, out = scratch_dir(spark, "leaked"), scratch_dir(spark, "events")
+    leaked = _leaked(c).select("file_id", "repo_url", "latest_commit_date")
+    leaked.repartition(4, "file_id").write.parquet(land)
+    arriving = arriving_files(spark, land, leaked.schema, maxFilesPerTrigger=2)
+    write_events(batch_alerts(arriving, "20000 days"), out, f"{out}-state").awaitTermination()
+    return spark.read.schema("hour string, repos array<string>").parquet(out).select("hour", F.size("repos").alias("n_repos"))
+
+
 def _class_counts(c: Corpus) -> DataFrame:
     return _found(c).groupBy("classification").agg(F.count("*").alias("n_findings"))
 
@@ -341,6 +364,14 @@ def _trend_long(c: Corpus) -> DataFrame:
     return T.trend_long(materialise(_leaked(c), name="leaked"), AS_OF)
 
 
+def _trends_of_parts(c: Corpus) -> DataFrame:
+    """The report over findings that came in three batches, the second one twice."""
+    leaked, path = materialise(_leaked(c), name="leaked"), scratch_dir(c.files.sparkSession, "parts")
+    for batch in (0, 1, 2, 1):
+        write_part(leaked.where(F.pmod(F.xxhash64("file_id"), F.lit(3)) == batch), path, str(batch))
+    return Parts(c.files.sparkSession, path).long(AS_OF)
+
+
 # ── Reports ──────────────────────────────────────────────────────────────────────────────
 
 def _report_findings_nested(c: Corpus) -> DataFrame:
@@ -387,6 +418,8 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "findings_dedup": _findings_dedup,
     "findings_nodedup": _findings_nodedup,
     "stream_findings": _stream_findings,
+    "stream_first_seen": _stream_first_seen,
+    "stream_batch_alerts": _stream_batch_alerts,
     "incremental_findings": _incremental_findings,
     "incremental_fingerprints": _incremental_fingerprints,
     "scrubbed_documents": _scrubbed_documents,
@@ -426,6 +459,7 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "artifact_freq": lambda c: T.artifact_frequency(_leaked(c)),
     "freshness": lambda c: T.freshness(_leaked(c), AS_OF),
     "trend_long": _trend_long,
+    "trends_of_parts": _trends_of_parts,
     "secrets_by_category": lambda c: reports.secrets_by_category(_found(c)),
     "report_findings_nested": _report_findings_nested,
     "report_disclosure": lambda c: reports.disclosure_targets(_found(c)),

@@ -88,6 +88,8 @@ _FACTS = {
     "artifact": lambda: _words_in("file_path", w.STEALER_ARTIFACTS),
 }
 
+SECTIONS = tuple(_FACTS)
+
 
 def fact_counts(rows: DataFrame, *sections: str, order: Sequence[str] = ORDER) -> DataFrame:
     """(section, label, n, first): how often each label occurs and where it came first."""
@@ -121,19 +123,23 @@ def _filled(counts: DataFrame, section: str, labels: Sequence[str], name: str, n
 
 # ── Totals ───────────────────────────────────────────────────────────────────────────────
 
-def _recent(pushed: Column, as_of: Column, days: int) -> Column:
+def recent(pushed: Column, as_of: Column, days: int) -> Column:
     return pushed > as_of - F.expr(f"INTERVAL '{days}' DAY")
 
 
-def _abandoned(pushed: Column, as_of: Column) -> Column:
+def is_abandoned(pushed: Column, as_of: Column) -> Column:
     return pushed.isNull() | (pushed < as_of - F.expr(f"INTERVAL '{w.ABANDONED_DAYS}' DAY"))
 
 
+TOTALS = ("total_leaked_findings", "total_unique_repos", "total_unique_accounts", "total_keys_observed", "mean_sophistication_score",
+          "median_keys_per_repo", "repos_with_stealer_artifacts", "active_last_30_days", "active_last_90_days", "abandoned")
+
+
 def freshness(rows: DataFrame, as_of) -> DataFrame:
     at, pushed = as_column(as_of), F.col("repo_pushed_at")
-    return rows.agg(F.count_if(_recent(pushed, at, 30)).alias("active_last_30_days"),
-                    F.count_if(_recent(pushed, at, 90)).alias("active_last_90_days"),
-                    F.count_if(_abandoned(pushed, at)).alias("abandoned"))
+    return rows.agg(F.count_if(recent(pushed, at, 30)).alias("active_last_30_days"),
+                    F.count_if(recent(pushed, at, 90)).alias("active_last_90_days"),
+                    F.count_if(is_abandoned(pushed, at)).alias("abandoned"))
 
 
 def totals(rows: DataFrame, as_of) -> DataFrame:
@@ -153,9 +159,9 @@ def totals(rows: DataFrame, as_of) -> DataFrame:
         F.coalesce(F.median("key_count"), F.lit(0.0)).alias("median_keys_per_repo"),
         F.count_if(contains_any(F.lower(F.coalesce("file_path", F.lit(""))), w.STEALER_ARTIFACTS))
         .alias("repos_with_stealer_artifacts"),
-        F.count_if(_recent(pushed, at, 30)).alias("active_last_30_days"),
-        F.count_if(_recent(pushed, at, 90)).alias("active_last_90_days"),
-        F.count_if(_abandoned(pushed, at)).alias("abandoned"))
+        F.count_if(recent(pushed, at, 30)).alias("active_last_30_days"),
+        F.count_if(recent(pushed, at, 90)).alias("active_last_90_days"),
+        F.count_if(is_abandoned(pushed, at)).alias("abandoned"))
 
 
 # ── Accounts ─────────────────────────────────────────────────────────────────────────────
@@ -172,12 +178,21 @@ def account_profiles(rows: DataFrame, as_of, order: Sequence[str] = ORDER) -> Da
 
     ``repo_count`` counts findings.  ``first`` keeps the order of first appearance.
     """
+    return profiles_of(account_sums(rows, order), as_of, order)
+
+
+def account_sums(rows: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """Per owner what its profile needs and what adds up over batches: no figure depends on the clock."""
     attributes = ["owner_created_at", "owner_followers", "owner_public_repos", "owner_location"]
-    grouped = rows.groupBy("owner_login").agg(
+    return rows.groupBy("owner_login").agg(
         F.count("*").alias("repo_count"),
         F.sum("key_count").alias("total_keys"),
         F.min(F.struct(*order, *attributes)).alias("f"),
         F.max(non_empty(F.col("owner_location"))).alias("located"))
+
+
+def profiles_of(grouped: DataFrame, as_of, order: Sequence[str] = ORDER) -> DataFrame:
+    """Profiles from the sums per owner."""
     age = F.col("account_age_days")
     # The texts of the signals.
     signals = F.array_compact(F.array(
@@ -264,8 +279,16 @@ def batch_hours(rows: DataFrame) -> DataFrame:
     The distinct count first groups by (hour, repository), so one busy hour is spread
     over all tasks.
     """
-    hour = F.date_format("latest_commit_date", "yyyy-MM-dd'T'HH")
-    return (rows.where(F.col("latest_commit_date").isNotNull()).groupBy(hour.alias("hour"))
+    return busy_hours(rows.select(commit_hour(), "repo_url"))
+
+
+def commit_hour() -> Column:
+    return F.date_format("latest_commit_date", "yyyy-MM-dd'T'HH").alias("hour")
+
+
+def busy_hours(hours: DataFrame) -> DataFrame:
+    """From (hour, repo_url) rows, repeated or not; rows without an hour are left out."""
+    return (hours.where(F.col("hour").isNotNull()).groupBy("hour")
             .agg(F.count_distinct("repo_url").alias("n_repos")).where(F.col("n_repos") >= w.BATCH_REPOS_MIN))
 
 
@@ -304,10 +327,14 @@ def trend_report(rows: DataFrame, as_of, order: Sequence[str] = ORDER) -> dict[s
     The labels of all sections are counted together; that table and those of scalars,
     accounts and hours are written down, and the sections are read from them.
     """
-    counts = materialise(fact_counts(rows, *_FACTS, order=order), name="label-counts")
-    scalars = materialise(totals(rows, as_of), name="totals")
-    profiles = materialise(account_profiles(rows, as_of, order), name="accounts")
-    hours = materialise(batch_hours(rows), name="hours")
+    return report_of(materialise(fact_counts(rows, *_FACTS, order=order), name="label-counts"),
+                     materialise(totals(rows, as_of), name="totals"),
+                     materialise(account_profiles(rows, as_of, order), name="accounts"),
+                     materialise(batch_hours(rows), name="hours"))
+
+
+def report_of(counts: DataFrame, scalars: DataFrame, profiles: DataFrame, hours: DataFrame) -> dict[str, DataFrame]:
+    """The sections from label counts, scalars, profiles and busy hours."""
     return {
         "totals": scalars,
         "freshness": scalars.select("active_last_30_days", "active_last_90_days", "abandoned"),
@@ -329,21 +356,24 @@ def trend_long(rows: DataFrame, as_of, order: Sequence[str] = ORDER) -> DataFram
 
     Label counts come from one aggregation; fixed labels are filled with zeros.
     """
-    counts = fact_counts(rows, *_FACTS, order=order)
+    return long_report(fact_counts(rows, *_FACTS, order=order), totals(rows, as_of), account_profiles(rows, as_of, order),
+                       batch_hours(rows))
+
+
+def long_report(counts: DataFrame, scalars: DataFrame, profiles: DataFrame, hours: DataFrame) -> DataFrame:
+    """``trend_long`` from label counts, scalars, profiles and busy hours."""
     fixed = {"tier": w.TIERS, "hour": HOURS, "weekday": w.WEEKDAYS, "volume": list(w.VOLUME_BUCKETS)}
-    slots = literal_table(rows.sparkSession, "section, label", [(k, x) for k, xs in fixed.items() for x in xs])
+    slots = literal_table(counts.sparkSession, "section, label", [(k, x) for k, xs in fixed.items() for x in xs])
     counted = _top_labels(counts, {"token": w.TOP_TOKENS, "artifact": w.TOP_ARTIFACTS})
     labelled = counted.join(slots, ["section", "label"], "full_outer")
     labelled = (labelled.withColumn("_all", F.sum("n").over(W.partitionBy("section")))
                 .where("section <> 'tier' OR _all > 0")
                 .select("section", "label", F.coalesce("n", F.lit(0)).cast("string").alias("value")))
-    scalars = totals(rows, as_of)
     wide = scalars.select(F.explode(F.array(*(
         F.struct(F.lit("totals").alias("section"), F.lit(c).alias("label"), F.col(c).cast("string").alias("value"))
         for c in scalars.columns))).alias("r")).select("r.*")
-    evidence = batch_evidence(batch_hours(rows)).select(
+    evidence = batch_evidence(hours).select(
         F.lit("batch_evidence").alias("section"), F.col("evidence").alias("label"), F.lit("").alias("value"))
-    profiles = account_profiles(rows, as_of, order)
     top = top_accounts(profiles).select(F.lit("top_account").alias("section"), F.col("owner_login").alias("label"),
                                         F.col("total_keys").cast("string").alias("value"))
     suspects = automation_suspects(profiles).select(

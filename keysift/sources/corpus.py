@@ -45,10 +45,10 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return read_table(self._spark, f"{self._dir}/{name}.parquet", schema=SCHEMAS[name])
 
-    def arriving_documents(self) -> DataFrame:
+    def arriving_documents(self, **options) -> DataFrame:
         """The documents as a stream of files."""
         # As a pattern the name may stand for a file or a folder of files; a plain path of a stream is a folder.
-        return arriving_files(self._spark, f"{self._dir}/documents.parque[t]", SCHEMAS["documents"])
+        return arriving_files(self._spark, f"{self._dir}/documents.parque[t]", SCHEMAS["documents"], **options)
 
     @cached_property
     def owners(self) -> DataFrame:

@@ -411,4 +411,7 @@ ORACLE: dict[str, str] = {
       FROM levels l CROSS JOIN (SELECT DISTINCT category FROM rules UNION ALL SELECT 'any') c
            LEFT JOIN exposed e ON e.lang IS NOT DISTINCT FROM l.lang AND e.source IS NOT DISTINCT FROM l.source
                 AND e.level = l.level AND e.category = c.category""",
+    "stream_first_seen": f"{BASE} SELECT DISTINCT sha AS sha256_fingerprint FROM detected",
+    "stream_batch_alerts": f"{LEAKED}, {_BATCH} SELECT hour, 3 AS n_repos FROM hours",
+    "trends_of_parts": f"{LEAKED}, {_PROFILES}, {_BATCH}, totals AS ({_TOTALS}) {_LONG}",
 }
