@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.llm.names import unused
 from keysift.plans.durable import materialise
 
 # Fixed value: the characters that normalisation deletes.
@@ -85,6 +86,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows with equal id and text become one, and rows with the same id and other texts
     stay as long as one of them is kept.
     """
-    kept = content_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept_id = unused(docs.columns, "kept_id")
+    kept = content_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     return stay.dropDuplicates([id_col, text_col])

@@ -49,7 +49,9 @@ from pyspark.sql import functions as F
 
 from keysift.llm.blocks import text_blocks
 from keysift.llm.components import components
+from keysift.llm.names import unused
 from keysift.llm.words import mixed, sequence_hashes, words_of
+from keysift.operators.skew import spread_left_join
 from keysift.plans.durable import discard, materialise, release_shuffles, scratch_dir
 
 # Cells of up to so many sets are listed as pairs.
@@ -398,10 +400,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component"))
     named = classes.select("set", "first_id").join(
         labelled.join(smallest, "label").select("set", "component").join(n_links, "set"), "set", "left")
-    # Written down, so that the join below starts from two shuffles and a set with very many copies can be split.
     named = materialise(named.select("set", F.coalesce("component", "first_id").alias("component"),
                                      F.coalesce("n_links", F.lit(0)).alias("n_links")), name="named")
-    return rows.select("doc_id", "n_shingles", "set").join(named, "set", "left").select(
+    # A set with very many copies is dealt to many tasks.
+    return spread_left_join(rows.select("doc_id", "n_shingles", "set"), named, "set", "doc_id").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
@@ -413,5 +415,6 @@ def one_of_each(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col: st
     Ids should be unique; rows that share an id stay or go together.
     """
     groups = near_duplicates(docs, percent, n_words, id_col, text_col)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept_id = unused(docs.columns, "kept_id")
+    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keysift.llm.names import unused
 from keysift.plans.durable import materialise
 
 # Pattern, group that is the value, least characters of the value.
@@ -117,12 +118,12 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     No row goes.  Ids should be unique; of rows that repeat an id, each is masked by the
     spans found in a row with that id and an equal text.
     """
-    spans = secret_spans(docs.withColumn("__key", F.struct(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"))), "__key", text_col, repo, owner)
-    marks = (spans.where(F.size("found") > 0).select(F.col("doc_id").alias("__key"), F.col("found").alias("__found"))
-             .dropDuplicates(["__key"]))
-    keyed = docs.select("*", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash")).alias("__key"))
-    joined = keyed.join(marks, keyed["__key"].eqNullSafe(marks["__key"]), "left").drop("__key")
+    key, marked, places, changed_col = (unused(docs.columns, n) for n in ("key", "marked", "places", "changed"))
+    named = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash")).alias(key)
+    spans = secret_spans(docs.select("*", named), key, text_col, repo, owner)
+    marks = (spans.where(F.size("found") > 0).select(F.col("doc_id").alias(marked), F.col("found").alias(places))
+             .dropDuplicates([marked]))
+    joined = docs.select("*", named).join(marks, F.col(key).eqNullSafe(F.col(marked)), "left")
     text = F.col(text_col)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -133,12 +134,12 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.concat(between, mark)).otherwise(F.lit(""))).alias("out"),
             x["end"].alias("at")))
 
-    masked = F.when(F.col("__found").isNull(), text).otherwise(F.aggregate(
-        "__found", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))))
+    masked = F.when(F.col(places).isNull(), text).otherwise(F.aggregate(
+        places, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))))
     columns = [masked.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    changed = joined.select(*columns, F.col("__found").isNotNull().alias("__masked"))
+    changed = joined.select(*columns, F.col(places).isNotNull().alias(changed_col))
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         changed = changed.withColumn("n_chars", F.when(
-            F.col("__masked"), F.char_length(text_col)).otherwise(F.col("n_chars")).cast(kind))
-    return changed.drop("__masked")
+            F.col(changed_col), F.char_length(text_col)).otherwise(F.col("n_chars")).cast(kind))
+    return changed.drop(changed_col)

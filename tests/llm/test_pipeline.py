@@ -12,7 +12,9 @@ from tests.conftest import SF
 from tests.llm.test_jaccard_regions import brute as near_groups
 from tests.llm.test_packing import check as check_packing
 
-OPERATORS = [f"op{n}_" for n in range(1, 11)]
+OPERATORS = [f"op{n}_" for n in range(1, 14)]
+# Names that the stages use for columns of their own, now or formerly.
+CLASHING = ["kept_id", "KEY", "marked", "places", "changed", "__kept_id", "__key", "__found", "__masked", "doc", "found", "n_rows", "label"]
 HEX = "0123456789abcdef" * 2
 
 
@@ -35,10 +37,12 @@ def test_query(spark, name):
 @pytest.fixture(scope="module")
 def docs(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"set": F.lit("x"), "__kept": F.lit(1), "content": F.lit(2)})
+    table = table.withColumns({c: F.lit(c) for c in CLASHING})
     extra = [(9001, f"one two three token={HEX} four five six seven eight nine ten", "en", "src1", 10, "x", 1, 2),
              (9002, "12345 !!", "en", "src1", 8, "x", 1, 2), (9003, None, None, None, None, None, None, None), (9004, "", "en", None, 0, "x", 1, 2),
              (9005, "Ж" * 60, None, "src1", 60, "x", 1, 2)]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema])
+    extra = [(*r, *CLASHING) for r in extra]
     return table.unionByName(spark.createDataFrame(extra, schema)).cache()
 
 
