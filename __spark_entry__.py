@@ -190,6 +190,17 @@ def _hydrate_hits_by_path(c: Corpus) -> DataFrame:
     return _hits(c, hydrate.latest_commit(c.commits, COMMIT_ORDER, ["repo_id", "file_path"]))
 
 
+def _hydrate_hits_as_of(c: Corpus) -> DataFrame:
+    """Files as they were seen, at moments spread over ten years, with the commit that was the latest then."""
+    seen = c.files.select("file_id", "repo_id", "file_path", F.expr(
+        f"TIMESTAMP '{AS_OF}' - make_dt_interval(int(file_id * 41 % 3600), 0, int(file_id % 1440))").alias("seen_at"))
+    latest = hydrate.latest_commit_as_of(seen, c.commits, "seen_at", COMMIT_ORDER)
+    hits = hydrate.hydrate(seen, c.repos, c.owners, latest, c.languages, c.topics)
+    return hits.select("file_id", "repo_name", "owner_login", iso_text(F.col("seen_at")).alias("seen_at"), "latest_commit_sha",
+                       "latest_commit_author_name", "latest_commit_author_email",
+                       iso_text(F.col("latest_commit_date")).alias("latest_commit_date"))
+
+
 def _hits(c: Corpus, latest: DataFrame) -> DataFrame:
     hits = hydrate.hydrate(c.files.drop("content"), c.repos, c.owners, latest, c.languages, c.topics,
                            pushed_with_commit=True)
@@ -364,6 +375,10 @@ def _trend_long(c: Corpus) -> DataFrame:
     return T.trend_long(materialise(_leaked(c), name="leaked"), AS_OF)
 
 
+def _iso_sessions(sessions: DataFrame) -> DataFrame:
+    return sessions.withColumns({k: iso_text(F.col(k)) for k in ("session_start", "session_end")})
+
+
 def _trends_of_parts(c: Corpus) -> DataFrame:
     """The report over findings that came in three batches, the second one twice."""
     leaked, path = materialise(_leaked(c), name="leaked"), scratch_dir(c.files.sparkSession, "parts")
@@ -398,6 +413,7 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "run_trends": _run_trends,
     "hydrate_hits": _hydrate_hits,
     "hydrate_hits_by_path": _hydrate_hits_by_path,
+    "hydrate_hits_as_of": _hydrate_hits_as_of,
     "latest_commit": _latest_commit,
     "latest_commit_by_path": _latest_commit_by_path,
     "repo_languages": _repo_languages,
@@ -454,6 +470,8 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "heatmap_dow": lambda c: T.weekday_heatmap(_leaked(c)),
     "batch_hours": lambda c: T.batch_hours(_leaked(c)),
     "batch_evidence": lambda c: T.batch_evidence(T.batch_hours(_leaked(c))),
+    "upload_sessions": lambda c: _iso_sessions(T.upload_sessions(_leaked(c))),
+    "upload_bursts": lambda c: _iso_sessions(T.upload_bursts(T.upload_sessions(_leaked(c), gap_minutes=90 * 24 * 60))),
     "batch_suspected": lambda c: T.batch_suspected(T.batch_hours(_leaked(c))),
     "volume_buckets": lambda c: T.volume_buckets(_leaked(c)),
     "artifact_freq": lambda c: T.artifact_frequency(_leaked(c)),

@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keysift.operators.skew import key_counts, spread_left_join
+from keysift.plans.durable import materialise
 
 
 def latest_commit(commits: DataFrame, order: Sequence[str] = ("ts",), keys: Sequence[str] = ("repo_id",)) -> DataFrame:
@@ -31,6 +33,36 @@ def latest_commit(commits: DataFrame, order: Sequence[str] = ("ts",), keys: Sequ
                          F.col("c.ts").alias("latest_commit_date"))
 
 
+def latest_commit_as_of(rows: DataFrame, commits: DataFrame, at: str, order: Sequence[str] = ("ts",),
+                        step: str = "DAY") -> DataFrame:
+    """The newest commit of a repository that is not later than a row's time ``at``, by repo_id and ``at``.
+
+    No range join: commits and the distinct times asked for are one sequence per repository and ``step``, along which
+    the last commit is carried; the last commit of every step is carried over the steps without any.  So a
+    busy repository is as many groups as it has days, and its rows count once per distinct time.  Rows
+    without repository or time have no commit, nor have those before the first one.
+    """
+    fields = ["commit_sha", "author_name", "author_email", "ts"]
+    rest = [f for f in fields if f not in order]
+    key, commit = ["repo_id", "_step"], F.struct(*order, *rest)
+    made = commits.where("repo_id IS NOT NULL AND ts IS NOT NULL").select("repo_id", F.col("ts").alias("_t"), commit.alias("c"))
+    asked = rows.where(F.col("repo_id").isNotNull() & F.col(at).isNotNull()).select("repo_id", F.col(at).alias("_t")).distinct()
+    both = made.withColumn("_asks", F.lit(False)).unionByName(
+        asked.withColumns({"c": F.lit(None).cast(made.schema["c"].dataType), "_asks": F.lit(True)}))
+    both = both.withColumn("_step", F.date_trunc(step, "_t"))
+
+    ends = both.groupBy(*key).agg(F.max("c").alias("last"))
+    earlier = W.partitionBy("repo_id").orderBy("_step").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*key, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    # Commits of the same moment come first, and of those the one that the order puts last stays.
+    so_far = W.partitionBy(*key).orderBy("_t", "_asks", "c").rowsBetween(W.unboundedPreceding, W.currentRow)
+    answered = both.withColumn("own", F.last("c", ignorenulls=True).over(so_far)).where("_asks")
+    found = answered.join(carried, key, "left").select("repo_id", F.col("_t").alias(at), F.coalesce("own", "carried").alias("c"))
+    return found.select("repo_id", at, F.col("c.commit_sha").alias("latest_commit_sha"),
+                        F.col("c.author_name").alias("latest_commit_author_name"),
+                        F.col("c.author_email").alias("latest_commit_author_email"), F.col("c.ts").alias("latest_commit_date"))
+
+
 def language_map(languages: DataFrame, key: str = "repo_id") -> DataFrame:
     """name → bytes per repository.  Entries are merged by language first, so a list is
     never longer than the vocabulary of language names."""
@@ -55,25 +87,38 @@ def repository_context(repos: DataFrame, latest: DataFrame | None = None, langua
             else out.withColumn("repo_topics", F.lit(None).cast("array<string>")))
 
 
+def repository_counts(rows: DataFrame) -> DataFrame:
+    """(repo_id, n_rows) of the repositories that occur, written down because several tables are restricted to them."""
+    return materialise(key_counts(rows, ["repo_id"]), name="repositories")
+
+
+def of_repositories(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows of the counted repositories.  Both sides are shuffled as they are, so Spark can split a repository with very many rows."""
+    return table.join(counts.select("repo_id"), "repo_id", "left_semi")
+
+
 def hydrate(rows: DataFrame, repos: DataFrame, owners: DataFrame, latest: DataFrame,
             languages: DataFrame | None = None, topics: DataFrame | None = None,
-            pushed_with_commit: bool = False) -> DataFrame:
+            pushed_with_commit: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Add all context columns.  ``rows`` needs file_id, repo_id and file_path, and is read
-    twice: for its repositories, and in full.
+    twice: for its repositories (unless their ``counts`` are given), and in full.  Context is made for these
+    repositories alone; give ``latest`` of such commits too (``of_repositories``).
 
-    ``latest`` comes from ``latest_commit``, keyed by repo_id or by repo_id and file_path;
+    ``latest`` comes from ``latest_commit``, keyed by repo_id or by repo_id and file_path, or from
+    ``latest_commit_as_of``, keyed by repo_id and a time of the rows;
     a path without a commit has none.  Owners are joined last, on a key of their own.
     ``pushed_with_commit`` takes the date of the latest commit as the date of the last push
     where ``repos`` has no ``repo_pushed_at``; otherwise that is unknown.
     """
-    by_path = "file_path" in latest.columns
-    context = repository_context(repos, None if by_path else latest, languages, topics)
-    in_repo = key_counts(rows, ["repo_id"])
+    keyed = [c for c in latest.columns if c in rows.columns and c != "repo_id"]
+    in_repo = counts if counts is not None else repository_counts(rows)
+    repos, languages, topics = (t if t is None else of_repositories(t, in_repo) for t in (repos, languages, topics))
+    context = repository_context(repos, None if keyed else latest, languages, topics)
     of_owner = (in_repo.join(repos.select("repo_id", "owner_id"), "repo_id").dropna(subset=["owner_id"])
                 .groupBy("owner_id").agg(F.sum("n_rows").alias("n_rows")))
     out = spread_left_join(rows, context, "repo_id", "file_id", in_repo)
-    if by_path:
-        out = spread_left_join(out, latest, ["repo_id", "file_path"], "file_id", key_counts(rows, ["repo_id", "file_path"]))
+    if keyed:
+        out = spread_left_join(out, latest, ["repo_id", *keyed], "file_id", key_counts(rows, ["repo_id", *keyed]))
     out = spread_left_join(out, owners, "owner_id", "file_id", of_owner)
     pushed = F.col("latest_commit_date") if pushed_with_commit else F.lit(None).cast("timestamp")
     branch = F.coalesce(F.nullif("default_branch", F.lit("")), F.lit("main"))

@@ -302,6 +302,35 @@ def batch_suspected(hours: DataFrame) -> DataFrame:
     return hours.agg((F.count("*") > 0).alias("batch_upload_suspected"))
 
 
+def upload_sessions(rows: DataFrame, gap_minutes: int = 60) -> DataFrame:
+    """Bursts of an account: commits of which each follows the one before within less than ``gap_minutes``.
+
+    Unlike whole hours, sessions do not cut a burst at the full hour.  (owner_login, session_start, session_end,
+    n_findings, n_repos): first and last commit, findings, distinct repositories; rows without owner or date are left
+    out.  Times of an account that fall into one step as long as the gap belong together, so each step is reduced to
+    its first and last time before the shuffle, and an account with a third of all rows is a row per step and task.
+    """
+    step = F.floor(F.unix_micros("latest_commit_date") / F.lit(gap_minutes * 60_000_000)).alias("step")
+    timed = rows.where(F.col("latest_commit_date").isNotNull() & F.col("owner_login").isNotNull()).select(
+        "owner_login", step, F.col("latest_commit_date").alias("t"), "repo_url")
+    steps = timed.groupBy("owner_login", "step").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count(F.lit(1)).alias("n"))
+    by_time = W.partitionBy("owner_login").orderBy("step")
+    far = F.unix_micros("low") - F.unix_micros(F.lag("high").over(by_time)) >= gap_minutes * 60_000_000
+    dealt = steps.withColumn("new", F.when(F.coalesce(far, F.lit(True)), 1).otherwise(0)).withColumn(
+        "session", F.sum("new").over(by_time))
+    spans = dealt.groupBy("owner_login", "session").agg(
+        F.min("low").alias("session_start"), F.max("high").alias("session_end"), F.sum("n").alias("n_findings"))
+    repos = timed.select("owner_login", "step", "repo_url").distinct().join(
+        dealt.select("owner_login", "step", "session"), ["owner_login", "step"]).groupBy("owner_login", "session").agg(
+        F.count_distinct("repo_url").alias("n_repos"))
+    return spans.join(repos, ["owner_login", "session"]).drop("session")
+
+
+def upload_bursts(sessions: DataFrame) -> DataFrame:
+    """Sessions with enough repositories to suspect a batch."""
+    return sessions.where(F.col("n_repos") >= w.BATCH_REPOS_MIN)
+
+
 # ── Volume and artifacts ─────────────────────────────────────────────────────────────────
 
 def volume_buckets(rows: DataFrame) -> DataFrame:

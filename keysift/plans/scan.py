@@ -19,7 +19,7 @@ from keysift.operators import classify as C
 from keysift.operators import trends as T
 from keysift.operators.detect import detect, with_secrets
 from keysift.operators.findings import findings
-from keysift.operators.hydrate import hydrate, latest_commit
+from keysift.operators.hydrate import hydrate, latest_commit, of_repositories, repository_counts
 from keysift.operators.reports import disclosure_targets, finding_records, findings_metadata
 from keysift.operators.scope import restrict
 from keysift.plans.durable import materialise
@@ -78,8 +78,9 @@ def classified_findings(inputs: Inputs, as_of, skip_duplicates: bool = True, sco
         detected = materialise(detected, name="detected")
     only_new = None if store is None else lambda firsts: store.take(firsts, batch)
     found = materialise(findings(detected, skip_duplicates, visits, only_new), name="findings")
-    latest = latest_commit(inputs.commits, inputs.commit_order, inputs.commit_keys)
-    context = hydrate(found, inputs.repos, inputs.owners, latest, inputs.languages, inputs.topics, inputs.pushed_with_commit)
+    counts = repository_counts(found)
+    latest = latest_commit(of_repositories(inputs.commits, counts), inputs.commit_order, inputs.commit_keys)
+    context = hydrate(found, inputs.repos, inputs.owners, latest, inputs.languages, inputs.topics, inputs.pushed_with_commit, counts)
     return C.classify(context, as_of)
 
 

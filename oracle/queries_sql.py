@@ -249,6 +249,15 @@ leaked AS (SELECT * REPLACE (row_number() OVER (ORDER BY query_ord, file_id) AS
     ("artifact_frequency", "label, n", f"SELECT * FROM ({_ARTIFACTS}) ORDER BY n DESC, f, p LIMIT 10"),
     ("top_name_tokens", "label, n", f"SELECT * FROM ({_TOKENS}) ORDER BY n DESC, f LIMIT 20")))
 
+def _sessions(minutes: int) -> str:
+    return f"""timed AS (SELECT owner_login, repo_url, file_id, commit_ts AS t FROM leaked WHERE commit_ts IS NOT NULL AND owner_login IS NOT NULL),
+      stepped AS (SELECT *, CASE WHEN t - lag(t) OVER o < INTERVAL {minutes} MINUTE THEN 0 ELSE 1 END AS new
+        FROM timed WINDOW o AS (PARTITION BY owner_login ORDER BY t, file_id)),
+      numbered AS (SELECT *, sum(new) OVER (PARTITION BY owner_login ORDER BY t, file_id ROWS UNBOUNDED PRECEDING) AS session FROM stepped),
+      sessions AS (SELECT owner_login, {_ISO.format('min(t)')} AS session_start, {_ISO.format('max(t)')} AS session_end,
+        count(*) AS n_findings, count(DISTINCT repo_url) AS n_repos FROM numbered GROUP BY owner_login, session)"""
+
+
 ORACLE: dict[str, str] = {
     "scan_content_present": f"""{INPUT} SELECT lang, source, count(*) AS n_files, sum(length(content))::bigint AS n_chars
       FROM files WHERE content IS NOT NULL GROUP BY ALL""",
@@ -414,4 +423,16 @@ ORACLE: dict[str, str] = {
     "stream_first_seen": f"{BASE} SELECT DISTINCT sha AS sha256_fingerprint FROM detected",
     "stream_batch_alerts": f"{LEAKED}, {_BATCH} SELECT hour, 3 AS n_repos FROM hours",
     "trends_of_parts": f"{LEAKED}, {_PROFILES}, {_BATCH}, totals AS ({_TOTALS}) {_LONG}",
+    "hydrate_hits_as_of": f"""{INPUT}, seen AS (
+        SELECT file_id, repo_id, {AS_OF} - to_days((file_id * 41 % 3600)::int) - to_minutes((file_id % 1440)::int) AS at FROM files),
+      held AS (
+        SELECT s.file_id, c.* EXCLUDE (repo_id, file_path) FROM seen s JOIN commits c ON c.repo_id = s.repo_id AND c.ts <= s.at
+        QUALIFY row_number() OVER (PARTITION BY s.file_id
+          ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1)
+      SELECT s.file_id, repo_name, owner_login, {_ISO.format('s.at')} AS seen_at, commit_sha AS latest_commit_sha,
+        author_name AS latest_commit_author_name, author_email AS latest_commit_author_email, {_ISO.format('ts')} AS latest_commit_date
+      FROM seen s LEFT JOIN repos r ON r.repo_id = s.repo_id LEFT JOIN owners o ON o.owner_id = r.owner_id
+        LEFT JOIN held t ON t.file_id = s.file_id""",
+    "upload_sessions": f"{LEAKED}, {_sessions(60)} SELECT * FROM sessions",
+    "upload_bursts": f"{LEAKED}, {_sessions(90 * 24 * 60)} SELECT * FROM sessions WHERE n_repos >= {w.BATCH_REPOS_MIN}",
 }

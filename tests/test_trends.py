@@ -1,7 +1,11 @@
+import random
+from datetime import timedelta
+
 import pytest
 
 from keysift import wordlists as w
 from keysift.operators import trends as T
+from tests import hits
 from tests.hits import AS_OF, days_ago, frame, hit
 
 
@@ -149,3 +153,30 @@ def test_long_form_agrees_with_sections(spark):
 def test_no_email_in_trends(spark):
     for df in sections(spark, [hit()]).values():
         assert not any("email" in c for c in df.columns)
+
+
+def test_sessions_do_not_stop_at_the_full_hour(spark):
+    at = lambda minutes: hits.NOW + timedelta(minutes=minutes)
+    found = hits.frame(spark, [hits.hit(k, owner_login=o, repo_name=f"{o}/r{r}", latest_commit_date=None if m is None else at(m))
+                               for k, (o, r, m) in enumerate([("a", 1, 50), ("a", 2, 59), ("a", 3, 70), ("a", 3, 70), ("a", 4, 130), ("a", 5, 189),
+                                                              ("b", 1, 0), (None, 1, 0), ("c", 1, None), ("b", 2, 59), ("b", 2, -60)])])
+    rows = sorted((r.owner_login, r.session_start.minute, r.n_findings, r.n_repos) for r in T.upload_sessions(found).collect())
+    assert rows == [("a", 10, 2, 2), ("a", 50, 4, 3), ("b", 0, 1, 1), ("b", 0, 2, 2)]
+    assert [r.n_repos for r in T.upload_bursts(T.upload_sessions(found)).collect()] == [3] and T.batch_hours(found).count() == 0
+
+
+def test_sessions_against_a_walk_over_sorted_times(spark):
+    draw = random.Random(3)
+    rows = [(f"o{draw.randint(0, 3)}", f"r{draw.randint(0, 9)}", draw.randint(0, 60 * 24 * 3)) for _ in range(300)]
+    found = hits.frame(spark, [hits.hit(k, owner_login=o, repo_name=r, latest_commit_date=hits.NOW + timedelta(minutes=m)) for k, (o, r, m) in enumerate(rows)])
+    want = []
+    for o in {r[0] for r in rows}:
+        last = None
+        for m, r in sorted((m, r) for x, r, m in rows if x == o):
+            if last is None or m - last >= 45:
+                want.append([o, m, m, 0, set()])
+            want[-1][2], want[-1][3], last = m, want[-1][3] + 1, m
+            want[-1][4].add(r)
+    minutes = lambda t: round((t - hits.NOW.replace(tzinfo=None)).total_seconds() / 60)
+    got = [(r.owner_login, minutes(r.session_start), minutes(r.session_end), r.n_findings, r.n_repos) for r in T.upload_sessions(found, 45).collect()]
+    assert sorted(got) == sorted((*w[:4], len(w[4])) for w in want)
