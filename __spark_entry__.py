@@ -23,12 +23,14 @@ from keysift.operators import detect as D
 from keysift.operators import findings as P
 from keysift.operators import trends as T
 from keysift.operators.exposure import exposure_rates
+from keysift.operators.rule_join import rule_matches
 from keysift.operators.scrub import scrub
 from keysift.operators.trend_parts import Parts, write_part
 from keysift.plans.durable import materialise, scratch_dir
 from keysift.plans.scan import Inputs, classified_findings, run
 from keysift.sources.corpus import AS_OF, COMMIT_ORDER, Corpus, files_of
 from keysift.sources.fingerprints import FingerprintStore
+from keysift.sources.phrase_index import build_phrase_index
 from keysift.sources.tables import arriving_files
 from keysift.streaming.alerts import batch_alerts, first_seen_events, write_events
 from keysift.streaming.arrivals import scan_arrivals
@@ -153,6 +155,23 @@ def _candidate_capped(c: Corpus) -> DataFrame:
     return candidates.cap_visits(candidates.candidate_visits(c.files), max_results=20)
 
 
+def _indexed_search(c: Corpus) -> DataFrame:
+    """All searches through an index made of the same files."""
+    return build_phrase_index(c.files, scratch_dir(c.files.sparkSession, "phrases")).search()
+
+
+def _rule_table_matches(c: Corpus) -> DataFrame:
+    """A table of rules, the built-in searches and one for every 24 characters of a benchmark item, with its files."""
+    built_in = c.files.sparkSession.createDataFrame(
+        [(rule.secret_id, rule.phrases) for _, rule in candidates.requested_searches(("ALL",))], "rule_id string, phrases array<string>")
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / 24).cast("int") - 1))
+    slices = c.table("benchmark").where("char_length(text) >= 24").select("item_id", "text", at.alias("i"))
+    passages = slices.select(F.concat_ws("/", "item_id", "i").alias("rule_id"), F.expr(
+        "array(substr(text, i * 24 + 1, 12), substr(text, i * 24 + 13, 12))").alias("phrases"))
+    matches = rule_matches(c.files, built_in.union(passages))
+    return matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_files"), F.min("file_id").alias("first_file"))
+
+
 def _findings_by_search(c: Corpus) -> DataFrame:
     found = classified_findings(_inputs(c), AS_OF, visits=candidates.candidate_visits(c.files))
     return found.select("file_id", "query_ord", "key_count", _shas(), "classification")
@@ -408,6 +427,8 @@ _QUERIES: dict[str, Callable[[Corpus], DataFrame]] = {
     "findings_in_scope": _findings_in_scope,
     "candidate_files": _candidate_files,
     "candidate_capped": _candidate_capped,
+    "indexed_search": _indexed_search,
+    "rule_table_matches": _rule_table_matches,
     "findings_by_search": _findings_by_search,
     "run_by_search_nodedup": _run_by_search_nodedup,
     "run_trends": _run_trends,

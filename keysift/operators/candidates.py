@@ -24,7 +24,11 @@ def candidate_visits(files: DataFrame, secret_ids: Sequence[str] = ("ALL",), rul
     Phrases ignore letter case.  Two rules with the same search text make one search.
     One narrow pass over the content.
     """
-    searches = requested_searches(secret_ids, rules)
+    return visits_of(files, requested_searches(secret_ids, rules), key, content)
+
+
+def visits_of(files: DataFrame, searches: Sequence[tuple[int, Rule]], key: str = "file_id", content: str = "content") -> DataFrame:
+    """``candidate_visits`` for numbered searches."""
     if not searches:
         return files.select(F.lit(0).alias("query_ord"), F.lit("").alias("secret_id"), key).where("false")
     checks = ", ".join(

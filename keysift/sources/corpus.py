@@ -23,6 +23,7 @@ AS_OF = "2001-12-01 00:00:00"
 
 # Column types of the supplied tables: no job is spent on finding them out.
 SCHEMAS = {
+    "benchmark": "item_id long, text string",
     "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
     "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
