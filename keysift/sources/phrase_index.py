@@ -68,8 +68,8 @@ def build_phrase_index(files: DataFrame, path: str, key: str = "file_id", conten
      .write.partitionBy("block").parquet(f"{path}/texts"))
     kind = dict(rows.dtypes)["key"]
     texts = spark.read.schema(f"key {kind}, content string, block int").parquet(f"{path}/texts")
-    split = F.array_distinct(F.split(F.lower("content"), "[^a-z0-9_]+"))
-    held = texts.select("key", "block", F.explode(split).alias("word")).where("word <> ''")
+    split = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    held = texts.select("key", "block", F.explode(split).alias("word"))
     held.groupBy("word").agg(F.count(F.lit(1)).alias("n_files")).select(
         "word", F.xxhash64("word").alias("token"), "n_files").write.parquet(f"{path}/words")
     posted = held.select(F.xxhash64("word").alias("token"), "key", "block")
