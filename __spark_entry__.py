@@ -161,13 +161,13 @@ def _indexed_search(c: Corpus) -> DataFrame:
 
 
 def _rule_table_matches(c: Corpus) -> DataFrame:
-    """A table of rules, the built-in searches and one for every 24 characters of a benchmark item, with its files."""
+    """A table of rules, the built-in searches and one for every 40 characters of a benchmark item, with its files."""
     built_in = c.files.sparkSession.createDataFrame(
         [(rule.secret_id, rule.phrases) for _, rule in candidates.requested_searches(("ALL",))], "rule_id string, phrases array<string>")
-    at = F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / 24).cast("int") - 1))
-    slices = c.table("benchmark").where("char_length(text) >= 24").select("item_id", "text", at.alias("i"))
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.char_length("text") / 40).cast("int") - 1))
+    slices = c.table("benchmark").where("char_length(text) >= 40").select("item_id", "text", at.alias("i"))
     passages = slices.select(F.concat_ws("/", "item_id", "i").alias("rule_id"), F.expr(
-        "array(substr(text, i * 24 + 1, 12), substr(text, i * 24 + 13, 12))").alias("phrases"))
+        "array(substr(text, i * 40 + 1, 20), substr(text, i * 40 + 21, 20))").alias("phrases"))
     matches = rule_matches(c.files, built_in.union(passages))
     return matches.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n_files"), F.min("file_id").alias("first_file"))
 

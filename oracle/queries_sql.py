@@ -276,8 +276,8 @@ ORACLE: dict[str, str] = {
     "candidate_capped": f"{INPUT}, {_VISITS}, {_CAPPED} SELECT * FROM capped",
     "indexed_search": f"{INPUT}, {_VISITS} SELECT * FROM visits",
     "rule_table_matches": f"""{INPUT}, {_VISITS},
-      slices AS (SELECT item_id, lower(text) AS t, unnest(range(length(text) // 24)) AS i FROM benchmark),
-      passages AS (SELECT item_id || '/' || i AS rule_id, substr(t, i * 24 + 1, 12) AS a, substr(t, i * 24 + 13, 12) AS b FROM slices),
+      slices AS (SELECT item_id, lower(text) AS t, unnest(range(length(text) // 40)) AS i FROM benchmark),
+      passages AS (SELECT item_id || '/' || i AS rule_id, substr(t, i * 40 + 1, 20) AS a, substr(t, i * 40 + 21, 20) AS b FROM slices),
       lowered AS MATERIALIZED (SELECT file_id, lower(content) AS content FROM files),
       matches AS (SELECT secret_id AS rule_id, file_id FROM visits UNION ALL
         SELECT rule_id, file_id FROM passages JOIN lowered ON contains(content, a) AND contains(content, b))

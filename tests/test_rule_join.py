@@ -4,7 +4,7 @@ import random
 
 from keysift.catalog import RULES
 from keysift.operators.candidates import candidate_visits, requested_searches
-from keysift.operators.rule_join import PIECE, rule_matches
+from keysift.operators.rule_join import SLICE, rule_matches
 
 SCHEMA = "rule_id string, phrases array<string>"
 
@@ -36,14 +36,15 @@ def test_random_texts_and_rules(spark):
     def text(n):
         return "".join(rng.choice("abAB é\U0001f600") for _ in range(n))
 
-    texts = [(i, text(rng.randrange(60))) for i in range(150)] + [(200, None), (201, ""), (202, text(50)), (203, "aaaaaaaaaaaa")]
-    rules = [(f"r{i}", [text(rng.choice([1, 2, 3, 4, 5, 7, 8, 9])) for _ in range(rng.randrange(1, 3))]) for i in range(120)]
-    _both(spark, texts, [*rules, ("null", None), ("empty", []), ("blank", ["", None]), ("some", ["", "a"]), ("r0", ["ab"]), ("r0", ["ab"])])
+    texts = [(i, text(rng.randrange(60))) for i in range(150)] + [(200, None), (201, ""), (202, text(50)), (203, "aaaaaaaaaaaa"), (204, texts_end := "the end of a longer text"), (205, texts_end[3:])]
+    rules = [(f"r{i}", [text(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 15, 17])) for _ in range(rng.randrange(1, 3))]) for i in range(120)]
+    _both(spark, texts, [*rules, ("null", None), ("empty", []), ("blank", ["", None]), ("some", ["", "a"]), ("r0", ["ab"]), ("r0", ["ab"]),
+                        ("long", ["end of a longer t"]), ("longer", [texts_end])])
 
 
-def test_phrases_across_pieces_of_a_long_text(spark):
-    long = "x" * (PIECE - 5) + "boundaries" + "y" * PIECE + "tail"
-    _both(spark, [(1, long), (2, long[:PIECE]), (3, "boundaries")], [("a", ["boundaries"]), ("b", ["tail"]), ("c", ["xbou"]), ("d", ["yt", "xb"])])
+def test_phrases_across_slices_of_a_long_text(spark):
+    long = "x" * (SLICE - 5) + "boundaries" + "y" * SLICE + "tail"
+    _both(spark, [(1, long), (2, long[:SLICE]), (3, "boundaries")], [("a", ["boundaries"]), ("b", ["tail"]), ("c", ["xbou"]), ("d", ["yt", "xb"])])
 
 
 def test_a_hot_gram(spark):
