@@ -4,8 +4,8 @@ Three base kinds are found by pattern.  The method adds a fourth, ``owned``: a l
 mixed run of letters and digits that stands outside any base secret and whose hash
 occurs with few owners in the whole corpus.  Candidate hashes are counted by distinct
 repositories and owners over all rows; a value that many owners share is an example
-copied around, one that stays with few owners looks live.  Values never leave the scan,
-only their hashes.  DataFrame functions throughout.
+copied around, one that stays with few owners looks live, and a live one in several repositories is
+reused: it opens more than one door.  Values never leave the scan, only their hashes.  DataFrame functions throughout.
 
 Pattern matches have no offsets in Spark, so the text is split at the same pattern: the
 lengths of the pieces and matches before a match add up to its start, in code points.
@@ -35,6 +35,8 @@ OWNED = ("owned", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
 MIXED = ("[a-z]", "[A-Z]", "[0-9]")
 # From so many distinct owners on, a value is a copied example.
 EXAMPLE_OWNERS = 3
+# From so many distinct repositories on, a live value counts as reused.
+REUSED_REPOS = 2
 
 NAMES = [k[0] for k in (*KINDS, OWNED)]
 _FOUND = "array<struct<kind:int,i:int,before:int,len:int,fits:boolean,value:string>>"
@@ -62,10 +64,12 @@ def _matches(text: Column, kind: int) -> Column:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | str = "source",
                  owner: Column | str = "source") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans,
-    n_owned, n_example, n_live, and ``found`` (start, kind, end, example) by start.
+    n_owned, n_example, n_live, n_reused, most_repos, and ``found`` (start, kind, end, example, n_repos, n_owners) by start.
 
     ``example`` marks values shared by at least ``EXAMPLE_OWNERS`` owners; the other
-    base values, and all owned ones, count as live.
+    base values, and all owned ones, count as live.  ``n_reused`` counts the live spans whose value stands in at least
+    ``REUSED_REPOS`` repositories; ``most_repos`` is the largest number of repositories that share a value of the row (0: no span).
+    A repository belongs to its owner: equal names under two owners are two.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -95,10 +99,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     chosen = judged.withColumns({"inside": inside, "crossed": crossed}).where(
         ~own | ~(F.col("inside") | F.col("crossed") | F.col("example")))
     spans = chosen.groupBy("row").agg(F.array_sort(F.collect_list(
-        F.struct("start", "kind", "end", "example"))).alias("found"))
+        F.struct("start", "kind", "end", "example", "n_repos", "n_owners"))).alias("found"))
 
     out = rows.select("row", "doc_id").join(spans, "row", "left")
-    found = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean>>"))
+    found = F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,example:boolean,n_repos:bigint,n_owners:bigint>>"))
     names = F.array(*map(F.lit, NAMES))
     as_text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(
         ":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
@@ -108,7 +112,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select("doc_id", "row", found.alias("found")).select(
         "doc_id", *(of_kind(k).alias(f"n_{name}") for k, name in enumerate(NAMES)),
         F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"),
-        number(lambda x: x["example"]).alias("n_example"), number(lambda x: ~x["example"]).alias("n_live"), "found")
+        number(lambda x: x["example"]).alias("n_example"), number(lambda x: ~x["example"]).alias("n_live"),
+        number(lambda x: ~x["example"] & (x["n_repos"] >= REUSED_REPOS)).alias("n_reused"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["n_repos"])), F.lit(0)).alias("most_repos"), "found")
 
 
 def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | str = "source",

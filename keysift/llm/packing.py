@@ -11,9 +11,13 @@ the driver sees.  Places inside a bucket come from counting: a bucket is dealt t
 by hash, rows are numbered inside their part and shifted by the sizes of the parts
 before, so that no task orders a whole bucket and every batch but a bucket's last is full.
 
+Sequences carry their token ids where these are given, as bytes of a fixed width per id; a loader pads them to the
+bucket's length.
+
 Defined cases.  A null or empty text is one sequence holding the end token alone.  Rows
 repeated with the same id are packed each, in an order that only tells them apart by
-id and piece.  No rows give no rows.  Fewer distinct lengths than buckets give one
+id and piece.  No rows give no rows.  Texts of any length are cut, none is shortened.  Columns other than those named are
+not read, so extra ones may have any name.  Fewer distinct lengths than buckets give one
 bucket per length.
 """
 
@@ -30,6 +34,8 @@ from keysift.plans.durable import materialise
 MAX_LEN = 8192
 N_BUCKETS = 32
 TOKEN_BUDGET = 65_536
+# The end token of the byte vocabulary: a byte that UTF-8 never uses.
+END_BYTE = b"\xff"
 
 
 def optimal_boundaries(lengths: Sequence[int], counts: Sequence[int], n_buckets: int) -> list[int]:
@@ -74,19 +80,28 @@ def byte_tokens(text: Column) -> Column:
     return (F.octet_length(F.coalesce(text.cast("string"), F.lit(""))) + 1).cast("long")
 
 
+def byte_ids(text: Column) -> Column:
+    """Ids of a text under a byte vocabulary, one byte each: its UTF-8 bytes and the end token."""
+    return F.concat(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), F.lit(END_BYTE))
+
+
 def pack(docs: DataFrame, n_tokens: Column, id_col: str = "doc_id", max_len: int = MAX_LEN,
-         n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
-    """One row per sequence: doc_id, piece, n_tokens, bucket_len, batch_id, place.
+         n_buckets: int = N_BUCKETS, token_budget: int = TOKEN_BUDGET, ids: Column | None = None, id_bytes: int = 1) -> DataFrame:
+    """One row per sequence: doc_id, piece, n_tokens, bucket_len, batch_id, place, and ``ids`` where given.
+
+    ``ids`` is binary, ``id_bytes`` bytes for each of the ``n_tokens`` ids of a document; a sequence gets its own part.
 
     ``batch_id`` is unique over all buckets; ``bucket_len`` times the rows of a batch is
     at most ``token_budget`` (a bucket longer than the budget has batches of one row).
     """
     spark = docs.sparkSession
-    counted = docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("total"))
+    whole = [] if ids is None else [ids.alias("ids")]
+    counted = docs.select(F.col(id_col).alias("doc_id"), n_tokens.alias("total"), *whole)
     last = F.floor((F.greatest("total", F.lit(1)) - 1) / F.lit(max_len)).cast("int")
     piece = F.explode(F.sequence(F.lit(0), last))
-    pieces = counted.select("doc_id", "total", piece.alias("piece")).select("doc_id", "piece", F.least(
-        F.lit(max_len), F.col("total") - F.col("piece") * F.lit(max_len)).cast("int").alias("n_tokens"))
+    own = [] if ids is None else [F.substring(F.col("ids"), F.col("piece") * F.lit(max_len * id_bytes) + 1, F.lit(max_len * id_bytes)).alias("ids")]
+    pieces = counted.select("*", piece.alias("piece")).select("doc_id", "piece", F.least(
+        F.lit(max_len), F.col("total") - F.col("piece") * F.lit(max_len)).cast("int").alias("n_tokens"), *own)
     pieces = materialise(pieces, name="sequences")
 
     histogram = sorted((r["n_tokens"], r["n"]) for r in  # at most max_len rows
@@ -114,4 +129,4 @@ def pack(docs: DataFrame, n_tokens: Column, id_col: str = "doc_id", max_len: int
     return numbered.join(F.broadcast(offsets), ["bucket", "part"]).select(
         "doc_id", "piece", "n_tokens", length.alias("bucket_len"),
         (F.col("bucket").cast("long") * F.lit(1 << 40) + F.floor(at / capacity)).alias("batch_id"),
-        (at % capacity).cast("int").alias("place"))
+        (at % capacity).cast("int").alias("place"), *([] if ids is None else ["ids"]))

@@ -22,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_tokens(F.col("text")))
+    return packing.pack(_table(spark, sf_dir, "documents"), packing.byte_tokens(F.col("text")),
+                        ids=packing.byte_ids(F.col("text")))
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:

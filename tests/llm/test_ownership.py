@@ -79,3 +79,15 @@ def test_masking(spark):
 
 def test_masking_nothing(spark):
     assert O.mask_secrets(frame(spark, [])).count() == 0
+
+
+def test_repositories_tell_reused_values(spark):
+    once, twice, example = "token=a1b2c3d4", "token=z9y8x7w6", "token=eeeeffff"
+    rows = [(1, once, "a", "r1"), (2, once, "a", "r1"), (3, twice, "a", "r1"), (4, twice, "a", "r2"), (5, "plain", "a", "r1"),
+            (6, example, "a", "r1"), (7, example, "b", "r1"), (8, example, "c", "r1"), (9, twice + " " + once, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: (r.n_live, r.n_reused, r.most_repos) for r in O.secret_spans(docs, repo="repo").collect()}
+    assert got == {1: (1, 1, 2), 2: (1, 1, 2), 3: (1, 1, 3), 4: (1, 1, 3), 5: (0, 0, 0), 6: (0, 0, 3), 7: (0, 0, 3), 8: (0, 0, 3),
+                   9: (2, 2, 3)}
+    alone = O.secret_spans(docs.where("doc_id in (1, 2)"), repo="repo").collect()
+    assert {(r.n_live, r.n_reused, r.most_repos) for r in alone} == {(1, 0, 1)}

@@ -69,3 +69,23 @@ def test_one_length_in_a_third_of_all_rows(spark):
 
 def test_nothing(spark):
     assert packed(spark, []) == []
+
+
+def test_sequences_carry_their_ids(spark):
+    rows = [(i, "aé😀 " * (i % 40)) for i in range(300)] + [(900, None), (901, ""), (902, "z" * 1000), (1, "aé😀 ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS total", "3 AS piece")
+    out = P.pack(docs, P.byte_tokens(F.col("text")), max_len=64, n_buckets=4, token_budget=256, ids=P.byte_ids(F.col("text"))).collect()
+    assert all(len(r["ids"]) == r["n_tokens"] for r in out)
+    joined = {}
+    for r in sorted(out, key=lambda r: r["piece"]):
+        if r["doc_id"] != 1:
+            joined[r["doc_id"]] = joined.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert joined == {i: (t or "").encode() + P.END_BYTE for i, t in rows if i != 1}
+    assert sorted(bytes(r["ids"]) for r in out if r["doc_id"] == 1) == ["aé😀 ".encode() + P.END_BYTE] * 2
+    check(rows, out, 64, 256)
+
+
+def test_ids_of_several_bytes(spark):
+    docs = spark.createDataFrame([(1, bytes(range(40)))], "doc_id long, raw binary")
+    out = P.pack(docs, F.lit(10).cast("long"), max_len=4, ids=F.col("raw"), id_bytes=4).orderBy("piece").collect()
+    assert [bytes(r["ids"]) for r in out] == [bytes(range(0, 16)), bytes(range(16, 32)), bytes(range(32, 40))]
