@@ -3,9 +3,9 @@
 Layout under one folder that the cluster shares, all Parquet:
 
 * ``words``     (word, token, n_files): every distinct word with its hash;
-* ``postings``  (token, key, block) in hash buckets of the token, sorted by token;
+* ``postings``  (token, key) in hash buckets of the token, sorted by token;
 * ``texts``     (key, content) in hash blocks of the key, sorted by key;
-* ``about``     one row: number of buckets, name and type of the key, name of the content.  Written last, so
+* ``about``     one row: numbers of buckets and blocks, name and type of the key, name of the content.  Written last, so
   that an index whose driver was lost half way cannot be opened.
 
 A word is a longest run of ``[a-z0-9_]`` of the lower-cased content.  A phrase cut at other characters gives pieces:
@@ -24,17 +24,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keysift.catalog import Rule
 from keysift.functions.bloom import bits_for, bloom_filter, may_hold
 from keysift.functions.text import sql_text
 from keysift.operators.candidates import requested_searches, visits_of
-from keysift.plans.durable import materialise
+from keysift.plans.durable import materialise, release_shuffles
 
 _PARTS_OF_BUCKET = 8
-_ABOUT = "n_buckets int, key string, key_type string, content string"
+_ABOUT = "n_buckets int, n_blocks int, key string, key_type string, content string"
 
 Piece = tuple[str, bool, bool]
 
@@ -45,6 +45,10 @@ def pieces(phrase: str) -> list[Piece]:
     return [(m.group(), m.start() > 0, m.end() < len(lowered)) for m in re.finditer("[a-z0-9_]+", lowered)]
 
 
+def _block(n_blocks: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
+
+
 def _holds(piece: Piece) -> str:
     """SQL: does ``word`` hold the piece as the phrase asks?"""
     text, starts, ends = piece
@@ -63,20 +67,21 @@ def build_phrase_index(files: DataFrame, path: str, key: str = "file_id", conten
     """
     spark, path = files.sparkSession, path.rstrip("/")
     rows = files.where(F.col(content).isNotNull()).select(F.col(key).alias("key"), F.col(content).alias("content"))
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int")
-    (rows.withColumn("block", block).repartition("block").sortWithinPartitions("block", "key")
+    (rows.withColumn("block", _block(n_blocks)).repartition("block").sortWithinPartitions("block", "key")
      .write.partitionBy("block").parquet(f"{path}/texts"))
+    release_shuffles(spark)
     kind = dict(rows.dtypes)["key"]
     texts = spark.read.schema(f"key {kind}, content string, block int").parquet(f"{path}/texts")
     split = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9_]+"), F.lit(0)))
-    held = texts.select("key", "block", F.explode(split).alias("word"))
+    held = texts.select("key", F.explode(split).alias("word"))
     held.groupBy("word").agg(F.count(F.lit(1)).alias("n_files")).select(
         "word", F.xxhash64("word").alias("token"), "n_files").write.parquet(f"{path}/words")
-    posted = held.select(F.xxhash64("word").alias("token"), "key", "block")
+    release_shuffles(spark)
+    posted = held.select(F.xxhash64("word").alias("token"), "key")
     part = F.pmod(F.xxhash64("key"), F.lit(_PARTS_OF_BUCKET))
     (posted.withColumn("bucket", F.pmod("token", F.lit(n_buckets)).cast("int")).repartition("bucket", part)
      .sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings"))
-    about = spark.createDataFrame([(n_buckets, key, kind, content)], _ABOUT)
+    about = spark.createDataFrame([(n_buckets, n_blocks, key, kind, content)], _ABOUT)
     about.coalesce(1).write.parquet(f"{path}/about")
     return PhraseIndex(spark, path)
 
@@ -86,7 +91,7 @@ class PhraseIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
-        self._n_buckets, self._key, self._type, self._content = self._read("about", _ABOUT).first()
+        self._n_buckets, self._n_blocks, self._key, self._type, self._content = self._read("about", _ABOUT).first()
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self._spark.read.schema(schema).parquet(f"{self._path}/{name}")
@@ -98,7 +103,7 @@ class PhraseIndex:
         return self._read("words", "word string, token bigint, n_files bigint")
 
     def postings(self) -> DataFrame:
-        return self._read("postings", f"token bigint, key {self._type}, block int, bucket int")
+        return self._read("postings", f"token bigint, key {self._type}, bucket int")
 
     def search(self, secret_ids: Sequence[str] = ("ALL",), rules: Sequence[Rule] | None = None) -> DataFrame:
         """(query_ord, secret_id, key): the rows of ``candidate_visits`` over the indexed files."""
@@ -128,12 +133,12 @@ class PhraseIndex:
 
         postings = self.postings()
         postings = postings.where(F.col("bucket").isin(self._buckets(tokens)))
-        files = materialise(postings.join(tokens, "token", "left_semi").select("key", "block").distinct(), name="postings")
-        blocks = [r["block"] for r in files.select("block").distinct().collect()]  # at most n_blocks
+        files = materialise(postings.join(tokens, "token", "left_semi").select("key").distinct(), name="postings")
+        blocks = [r["block"] for r in files.select(_block(self._n_blocks).alias("block")).distinct().collect()]  # at most n_blocks
         texts, bits = self.texts().where(F.col("block").isin(blocks)), bits_for(files.count())
         if bits is not None:
             texts = texts.where(may_hold(bloom_filter(files, "key", bits), F.col("key"), bits))
-        return texts.join(files.select("key"), "key", "left_semi")
+        return texts.join(files, "key", "left_semi")
 
     def _buckets(self, tokens: DataFrame) -> list[int]:
         """The buckets the tokens fall into, at most ``n_buckets``."""
