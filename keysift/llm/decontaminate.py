@@ -8,8 +8,9 @@ A document word inside any occurrence of a window is hit.
 2.  Prefix.  In the order of rarity the first shingle of a window is its necessary prefix: a
     stretch of words equal to the window holds it at the same place.  Windows whose rarest
     shingle never occurs are done.
-3.  Join.  Places of documents meet the windows by prefix shingle alone.  The rest of a window
-    must fit between the beginning and the end of the text (position and length).
+3.  Join.  A place of a document is left where it is unless the words around it are those of a window
+    with its prefix there, by a Bloom filter of bounded size.  Places that remain meet the windows by
+    prefix shingle.  The rest of a window must fit between the beginning and the end of the text.
 4.  Verification.  The words around a place are carried along, and compared with the window's
     words one by one.  Equal windows of several items are one window until here.
 
@@ -30,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keysift.functions.bloom import MOST_BITS, bits_for, bloom_filter, may_hold
 from keysift.operators.skew import spread_left_join
 from keysift.plans.durable import materialise
 
@@ -85,10 +87,10 @@ def _slot(shingle: str) -> str:
     return f"cast({shingle} & {SLOTS - 1} as int)"
 
 
-def _places(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, words, places: at (from 0) and shingle wherever the shingle may be among ``shingles``."""
+def _places(docs: DataFrame, shingles: DataFrame, sizes: list[int], **more: Column) -> DataFrame:
+    """doc_id, words, places: at (from 0) and shingle wherever the shingle may be among ``shingles``; and what ``more`` names."""
     # Rows of a one-element array: the words must not be cut anew for every look at them.
-    bound = F.array(F.struct(words(F.col("text")).alias("words"), _marks(shingles).alias("marks")))
+    bound = F.array(F.struct(words(F.col("text")).alias("words"), _marks(shingles).alias("marks"), *(c.alias(k) for k, c in more.items())))
     marked = docs.select("doc_id", F.inline(bound))
     found = []
     for size in sizes:
@@ -96,7 +98,23 @@ def _places(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame
         found.append(F.expr(f"""transform(filter(if(size(words) < {size}, cast(array() as array<int>), sequence(0, size(words) - {size})),
             i -> get(marks, {_slot(h)})), i -> named_struct('at', i, 'shingle', {h}))"""))
     places = F.concat(*found) if found else F.expr("cast(array() as array<struct<at:int,shingle:bigint>>)")
-    return marked.select("doc_id", "words", places.alias("places"))
+    return marked.select("doc_id", "words", places.alias("places"), *more)
+
+
+def _surrounded(docs: DataFrame, prefixes: DataFrame, sizes: list[int]) -> DataFrame:
+    """``_places`` of prefix shingles with the words of a window around them, or by chance with others."""
+    bits = bits_for(prefixes.count()) or MOST_BITS
+    keys = prefixes.select(F.xxhash64("offset", "window").alias("key"))
+    places = _places(docs, prefixes.select(F.col("prefix").alias("shingle")), sizes, held=bloom_filter(keys, "key", bits))
+    # At most a few dozen: an offset is less than a size, and a size at most that of a window.
+    shapes = sorted(map(tuple, prefixes.select("offset", F.size("window")).distinct().collect()))
+
+    def fits(p: Column) -> Column:
+        inside = [F.when((p["at"] >= offset) & (p["at"] - offset + size <= F.size("words")),
+                         F.xxhash64(F.lit(offset), F.slice("words", p["at"] - offset + 1, size))) for offset, size in shapes]
+        return F.exists(F.array(*inside), lambda key: key.isNotNull() & may_hold(F.col("held"), key, bits))
+
+    return places.select("doc_id", "words", (F.filter("places", fits) if shapes else F.slice("places", 1, 0)).alias("places"))
 
 
 def _rarest(windows: DataFrame, shingled: DataFrame, counts: DataFrame) -> DataFrame:
@@ -126,7 +144,7 @@ def overlaps(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "
     near = F.transform("places", lambda p: F.struct(
         p["at"].alias("at"), p["shingle"].alias("prefix"), F.least(p["at"], F.lit(reach)).alias("before"),
         F.slice("words", F.greatest(p["at"] - reach, F.lit(0)) + 1, F.least(p["at"], F.lit(reach)) + n).alias("around")))
-    rows = materialise(_places(texts, prefixes.select(F.col("prefix").alias("shingle")), sizes).select(
+    rows = materialise(_surrounded(texts, prefixes, sizes).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), near.alias("places")),
         name="places")
 

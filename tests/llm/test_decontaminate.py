@@ -92,3 +92,16 @@ def test_nulls_repeated_rows_long_texts_and_nothing(spark):
 def test_spans_are_merged_stretches_of_words(spark):
     rows = D.overlaps(*frames(spark, [(1, "x a b c d y a b z")], [(1, "a b c"), (2, "b c d"), (3, "a b")]), 3).collect()
     assert [(s.start, s.end) for s in rows[0].spans] == [(1, 5), (6, 8)] and rows[0].item_ids == ["1", "2", "3"]
+
+
+def test_only_places_with_a_window_around_them_are_written_down(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(D, "materialise", lambda df, name: written.setdefault(name, df.localCheckpoint()))
+    item = " ".join(f"w{k}" for k in range(12))
+    # The rarest shingle of the item, w0 w1 w2, stands alone in many texts, and with the others in few.
+    others = " y ".join(f"w{k} w{k + 1} w{k + 2}" for k in range(1, 10))
+    docs = [(i, f"x{i} w0 w1 w2 y{i} {others} y {others}") for i in range(50)] + [(99, f"z {item} z")]
+    items = [(1, item), (2, "only three words"), (3, "q")]
+    assert found(spark, docs, items) == brute(docs, items)
+    assert [(r.doc_id, p.at) for r in written["places"].collect() for p in r.places if r.doc_id != 99] == []
+    assert [len(r.places) > 0 for r in written["places"].where("doc_id = 99").collect()] == [True]
