@@ -213,8 +213,9 @@ def _hydrate_hits_as_of(c: Corpus) -> DataFrame:
     """Files as they were seen, at moments spread over ten years, with the commit that was the latest then."""
     seen = c.files.select("file_id", "repo_id", "file_path", F.expr(
         f"TIMESTAMP '{AS_OF}' - make_dt_interval(int(file_id * 41 % 3600), 0, int(file_id % 1440))").alias("seen_at"))
-    latest = hydrate.latest_commit_as_of(seen, c.commits, "seen_at", COMMIT_ORDER)
-    hits = hydrate.hydrate(seen, c.repos, c.owners, latest, c.languages, c.topics)
+    counts = hydrate.repository_counts(seen)
+    latest = hydrate.latest_commit_as_of(seen, c.commits, "seen_at", COMMIT_ORDER, counts=counts)
+    hits = hydrate.hydrate(seen, c.repos, c.owners, latest, c.languages, c.topics, counts=counts)
     return hits.select("file_id", "repo_name", "owner_login", iso_text(F.col("seen_at")).alias("seen_at"), "latest_commit_sha",
                        "latest_commit_author_name", "latest_commit_author_email",
                        iso_text(F.col("latest_commit_date")).alias("latest_commit_date"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keysift.functions.bloom import MOST_BITS, bits_for, bloom_filter, may_hold
 from keysift.operators.skew import key_counts, spread_left_join
 from keysift.plans.durable import materialise
 
@@ -34,14 +35,16 @@ def latest_commit(commits: DataFrame, order: Sequence[str] = ("ts",), keys: Sequ
 
 
 def latest_commit_as_of(rows: DataFrame, commits: DataFrame, at: str, order: Sequence[str] = ("ts",),
-                        step: str = "DAY") -> DataFrame:
+                        step: str = "DAY", counts: DataFrame | None = None) -> DataFrame:
     """The newest commit of a repository that is not later than a row's time ``at``, by repo_id and ``at``.
 
     No range join: commits and the distinct times asked for are one sequence per repository and ``step``, along which
     the last commit is carried; the last commit of every step is carried over the steps without any.  So a
     busy repository is as many groups as it has days, and its rows count once per distinct time.  Rows
-    without repository or time have no commit, nor have those before the first one.
+    without repository or time have no commit, nor have those before the first one.  Commits of repositories
+    that no row asks for stay where they are (``counts`` as for ``hydrate``); the others are dealt by step once.
     """
+    commits = _mostly_of_repositories(commits, counts if counts is not None else repository_counts(rows))
     fields = ["commit_sha", "author_name", "author_email", "ts"]
     rest = [f for f in fields if f not in order]
     key, commit = ["repo_id", "_step"], F.struct(*order, *rest)
@@ -49,11 +52,13 @@ def latest_commit_as_of(rows: DataFrame, commits: DataFrame, at: str, order: Seq
     asked = rows.where(F.col("repo_id").isNotNull() & F.col(at).isNotNull()).select("repo_id", F.col(at).alias("_t")).distinct()
     both = made.withColumn("_asks", F.lit(False)).unionByName(
         asked.withColumns({"c": F.lit(None).cast(made.schema["c"].dataType), "_asks": F.lit(True)}))
-    both = both.withColumn("_step", F.date_trunc(step, "_t"))
+    both = both.withColumn("_step", F.date_trunc(step, "_t")).repartition(*key)
 
-    ends = both.groupBy(*key).agg(F.max("c").alias("last"))
+    # All columns are used, so both readers of the dealt rows share one shuffle.
+    ends = both.groupBy(*key).agg(F.max("c").alias("last"), F.max(F.when(F.col("_asks"), F.col("_t"))).alias("asked"))
     earlier = W.partitionBy("repo_id").orderBy("_step").rowsBetween(W.unboundedPreceding, -1)
-    carried = ends.select(*key, F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    carried = ends.select(*key, "asked", F.last("last", ignorenulls=True).over(earlier).alias("carried")).where(
+        F.col("asked").isNotNull()).drop("asked")
     # Commits of the same moment come first, and of those the one that the order puts last stays.
     so_far = W.partitionBy(*key).orderBy("_t", "_asks", "c").rowsBetween(W.unboundedPreceding, W.currentRow)
     answered = both.withColumn("own", F.last("c", ignorenulls=True).over(so_far)).where("_asks")
@@ -92,9 +97,19 @@ def repository_counts(rows: DataFrame) -> DataFrame:
     return materialise(key_counts(rows, ["repo_id"]), name="repositories")
 
 
+def _mostly_of_repositories(table: DataFrame, counts: DataFrame) -> DataFrame:
+    """All rows of the counted repositories, and few others, by a Bloom filter in the scan."""
+    n = counts.count()
+    if n > MOST_BITS // 2:  # the filter would let half of the others through
+        return table
+    bits = bits_for(n) or MOST_BITS
+    return table.where(may_hold(bloom_filter(counts, "repo_id", bits), F.col("repo_id"), bits))
+
+
 def of_repositories(table: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows of the counted repositories.  Both sides are shuffled as they are, so Spark can split a repository with very many rows."""
-    return table.join(counts.select("repo_id"), "repo_id", "left_semi")
+    """Rows of the counted repositories.  A Bloom filter turns most others away before the shuffle.  Both sides are
+    shuffled as they are, so Spark can split a repository with very many rows."""
+    return _mostly_of_repositories(table, counts).join(counts.select("repo_id"), "repo_id", "left_semi")
 
 
 def hydrate(rows: DataFrame, repos: DataFrame, owners: DataFrame, latest: DataFrame,

@@ -59,3 +59,19 @@ def test_context_is_made_for_the_rows_repositories_only(spark, corpus):
     assert any("Join LeftSemi" in x for x in lines[aggregate + 1:aggregate + 3])  # before commits are aggregated
     everything = H.hydrate(corpus.files.drop("content"), corpus.repos, corpus.owners, H.latest_commit(corpus.commits), corpus.languages, corpus.topics)
     assert sorted(map(str, everything.where("file_id < 6").select(*hits.columns).collect())) == sorted(map(str, hits.collect()))
+
+
+def test_commits_of_other_repositories_are_turned_away_before_the_shuffle(spark):
+    made = commits(spark, [(r, START) for r in range(3000)])
+    counts = H.repository_counts(asked(spark, [(r, START) for r in range(50)] + [(None, START)]))
+    near = {r.repo_id for r in H._mostly_of_repositories(made, counts).collect()}
+    assert set(range(50)) <= near and len(near) < 300
+    assert sorted(r.repo_id for r in H.of_repositories(made, counts).collect()) == list(range(50))
+
+
+def test_commits_are_dealt_by_step_once(spark):
+    made = commits(spark, [(1, START + timedelta(hours=k)) for k in range(100)])
+    found = H.latest_commit_as_of(asked(spark, [(1, START + timedelta(days=9)), (1, START)]), made, "seen_at", ["ts", "seq"])
+    assert answers(found) == {(1, START + timedelta(days=9)): "c99", (1, START): "c0"}
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert any("ReusedExchange" in line and "REPARTITION_BY_COL" in line for line in lines)
