@@ -125,19 +125,26 @@ def _blocks(batch: pa.RecordBatch, max_bytes: int) -> Iterator[tuple[list[bytes]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, word, code, n of a block's distinct words; a null word counts all of a language."""
+    """lang, word, n of a block's distinct words; a null word counts all of a language."""
     for batch in batches:
         for texts, languages in _blocks(batch, VOCABULARY_BYTES):
             words = words_of(texts, languages)
-            codes, where, counts = np.unique(words.codes, return_index=True, return_counts=True)
+            _, where, counts = np.unique(words.codes, return_index=True, return_counts=True)
             spelled = [words.data[a:b] for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist())]
             named = pa.array(languages, pa.string())
             totals = np.bincount(words.text, minlength=len(texts))
             yield pa.record_batch([
                 pa.concat_arrays([named.take(pa.array(words.text[where])), named]),
                 pa.concat_arrays([pa.array(spelled, pa.binary()).cast(pa.string()), pa.nulls(len(texts), pa.string())]),
-                pa.array(np.concatenate([codes.view(np.int64), np.zeros(len(texts), np.int64)])),
-                pa.array(np.concatenate([counts, totals]).astype(np.int64))], names=["lang", "word", "code", "n"])
+                pa.array(np.concatenate([counts, totals]).astype(np.int64))], names=["lang", "word", "n"])
+
+
+def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, code, f of words in their languages."""
+    for batch in batches:
+        words = words_of([w.encode() for w in batch["word"].to_pylist()], batch["lang"].to_pylist())
+        yield pa.record_batch([batch["lang"], batch["word"], pa.array(words.codes.view(np.int64)), batch["f"]],
+                              names=["lang", "word", "code", "f"])
 
 
 @dataclass(frozen=True)
@@ -210,6 +217,15 @@ def _counted(keys: np.ndarray, codes: np.ndarray, counts: np.ndarray, width: int
                            names=["key", *(f"c{i + 1}" for i in range(width)), "n"])
 
 
+def _with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, c1 ..., f of elements of a power of two words, as ``_elements`` has their keys."""
+    for batch in batches:
+        keys = [batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns - 1)]
+        while len(keys) > 1:
+            keys = [paired(left, right) for left, right in zip(keys[::2], keys[1::2])]
+        yield pa.record_batch([pa.array(keys[0].view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
+
+
 def _elements(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Key of the ``size`` words (a power of two) from each word on, and whether they are in one piece."""
     keys, fits, have = words.codes, np.ones(len(words.codes), bool), 1
@@ -290,11 +306,11 @@ def _level(found: DataFrame, size: int) -> Level:
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Totals (lang, n), words (lang, word, code), and all frequent phrases of 1 to ``longest`` words (codes, f)."""
-    counted = docs.mapInArrow(_count_words, "lang string, word string, code long, n long")
-    counts = counted.groupBy("lang", "word", "code").agg(F.sum("n").alias("f"))
-    words = materialise(counts.where(F.col("word").isNull() | (F.col("f") >= least)), name="words")
-    totals = words.where("word IS NULL").select("lang", F.col("f").alias("n"))
-    words = words.where("word IS NOT NULL")
+    # Codes and keys follow from the words: they are left out of the shuffles and made again for what is frequent.
+    counted = docs.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
+    counts = materialise(counted.where(F.col("word").isNull() | (F.col("f") >= least)), name="counts")
+    totals = counts.where("word IS NULL").select("lang", F.col("f").alias("n"))
+    words = materialise(counts.where("word IS NOT NULL").mapInArrow(_with_codes, "lang string, word string, code long, f long"), name="words")
     if not words.groupBy("code").count().where("count > 1").isEmpty():
         raise ArithmeticError("two frequent words have the same 64 bits")
     found = words.select(F.col("code").alias("key"), F.col("code").alias("c1"), "f")
@@ -305,10 +321,13 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
             break
         width = min(2 * size, longest)
         names = [f"c{i + 1}" for i in range(width)]
-        pairs = _count_pairs(docs, level, longest).groupBy("key", *names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        pairs = _count_pairs(docs, level, longest).groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         longer = materialise(pairs, name=f"phrases{width}")
         phrases = phrases.unionByName(longer.select(F.array_compact(F.array(*names)).alias("codes"), "f"))
-        found, size = longer.where(F.col(names[-1]).isNotNull()), width
+        if width < longest:  # then it is twice the level's size
+            full = longer.select(*names, "f").where(F.col(names[-1]).isNotNull())
+            found = full.mapInArrow(_with_keys, f"key long, {', '.join(f'{c} long' for c in names)}, f long")
+        size = width
     return totals, words.select("lang", "word", "code", "f"), phrases
 
 

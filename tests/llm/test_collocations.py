@@ -132,3 +132,16 @@ def test_saturated_marks_change_nothing():
     words = C.words_of([b"a b. c d e"], ["en"])
     left, right, codes = C._neighbours(words, level, 1)
     assert left.tolist() == words.codes[[0, 2, 3]].tolist() and right.tolist() == words.codes[[1, 3, 4]].tolist()
+
+
+def test_codes_of_words_and_keys_of_phrases_are_not_shuffled(spark, monkeypatch):
+    plans, write = {}, C.materialise
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name=name)
+
+    monkeypatch.setattr(C, "materialise", noted)
+    C.frequent(frame(spark, [("a b c d e", "en")] * 5).select("lang", "text"), 2)
+    dealt = [line for name in ("counts", "phrases2", "phrases4") for line in plans[name].splitlines() if "hashpartitioning(" in line]
+    assert len(dealt) == 3 and not any("key#" in line or "code#" in line for line in dealt)
