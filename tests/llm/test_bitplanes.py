@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from keysift.llm import bitplanes as B
+from keysift.llm import word_ids
 from keysift.llm.word_ids import WordEncoder, word_encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +43,37 @@ def test_words_equal_whole_texts(library):
         assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aZ\u00e9\u00c0\u00d7\u00df's'tTre9. \t\n\r\x0b\x0c\x1c\x85\xa0\u2019\u0130\u4e2d\u0301-<|>"), max_size=40))
+def test_any_text_equals_the_library(library, text):
+    assert np.frombuffer(word_encoder(PATH).ids([text.encode()])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_are_asked_for_once(library):
+    encoder, asked = WordEncoder(PATH), []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return library.model.tokenize(piece)
+
+    encoder._model = Model()
+    texts = ["Hello hello, HELLO. (hello)", "hello.hello 'hello' é", "hello\u2019 hello, Hello"]
+    got = encoder.ids([t.encode() for t in texts])
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("hello") == 1 and len(asked) == len(set(asked))
+
+
+def test_dictionaries_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(word_ids, "KEPT", 6)
+    encoder, texts = WordEncoder(PATH), [f"w{chr(97 + k)} mine \u2019{k} {'x' * 60}{chr(97 + k)} e" for k in range(20)]
+    for _ in range(2):
+        for t in texts:
+            assert np.frombuffer(encoder.ids([t.encode()])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+            assert len(encoder._pieces) <= 12 and len(encoder._words) <= 12
+    assert all(len(w) <= word_ids.KEPT_BYTES for kept in (encoder._pieces, encoder._words) for w in kept)
+
+
 def written(spark, rows, bits):
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, shard int").repartition(3)
     manifest = B.write_shards(docs, lambda: (word_encoder(PATH).ids, 2), end_id=1, bits=bits)
