@@ -12,6 +12,11 @@ level has a fixed size: the ``HEAD`` most frequent elements with their ranks, an
 which all frequent elements are marked.  A bit set by chance only lets a pair through that the count
 turns away.  With more elements than bits more pairs are sent, and results stay the same.
 
+Most phrases of three or four words whose parts are frequent are themselves rare.  So a pass before theirs
+counts them by ``SLOTS`` slots of their keys' bits, and only those whose slot is full enough are counted by
+their words.  Slots are shared by chance, which lets rare phrases through and holds back none; when the
+phrases are many times as many as the slots, all are counted by their words.
+
 Scores.  For every cut of a phrase the counts of both sides are looked up in joins that deal
 frequent words to many tasks; the lowest score counts.  Phrases that mostly occur inside a
 longer one are dropped, and the best of each language are ranked in buckets first.
@@ -54,6 +59,7 @@ HEAD = 16 * TILE
 # Pairs in one tile that make a dense table worth its memory.
 DENSE_PAIRS = TILE * TILE // 16
 MARK_BITS = 1 << 24
+SLOTS, ROW_SLOTS, BATCH_ROWS = 1 << 25, 1 << 14, 256
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
 VOCABULARY_BYTES = 2 << 20
 BUFFER_PAIRS = 1 << 20
@@ -147,6 +153,12 @@ def _with_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                               names=["lang", "word", "code", "f"])
 
 
+def _marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key is set; the number of bits is a power of two."""
+    place = keys & np.uint64(64 * len(marks) - 1)
+    return (marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 @dataclass(frozen=True)
 class Level:
     """What tasks know of the elements of ``size`` words."""
@@ -158,8 +170,7 @@ class Level:
     codes: np.ndarray  # words of the element with each rank
 
     def known(self, keys: np.ndarray) -> np.ndarray:
-        place = keys & np.uint64(MARK_BITS - 1)
-        return (self.marks[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return _marked(self.marks, keys)
 
     def rank(self, keys: np.ndarray) -> np.ndarray:
         """Ranks, or -1 beyond the head."""
@@ -236,24 +247,78 @@ def _elements(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, fits
 
 
-def _neighbours(words: Words, level: Level, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of left and right element, and the words, of every phrase of size + apart words whose elements are all frequent."""
+def _places(words: Words, level: Level, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all elements, and where a phrase of size + apart words begins whose elements are all frequent."""
     n = len(words.codes) - level.size - apart + 1
     if n <= 0:
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros((0, level.size + apart), np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keys, fits = _elements(words, level.size)
     good = level.known(keys) & fits
     every = np.logical_and.reduce([good[k:n + k] for k in range(apart + 1)])
     for k in range(apart):  # the last word of one element continues into the next
         every &= words.follows[level.size - 1 + k:n + level.size - 1 + k]
-    at = np.flatnonzero(every)
+    return keys, np.flatnonzero(every)
+
+
+def _neighbours(words: Words, level: Level, apart: int, likely: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of left and right element, and the words, of every such phrase, or of those whose slot is marked."""
+    keys, at = _places(words, level, apart)
+    if likely is not None:
+        at = at[_marked(likely, paired(keys[at], keys[at + apart]))]
     return keys[at], keys[at + apart], np.stack([words.codes[at + i] for i in range(level.size + apart)], axis=1)
 
 
-def _count_pairs(docs: DataFrame, level: Level, longest: int) -> DataFrame:
-    """key, c1 ... and n of phrases longer than the level's elements, up to twice as long."""
+def _likely(docs: DataFrame, level: Level, longest: int, least: int) -> np.ndarray:
+    """Bits of the slots to which ``least`` or more phrases longer than the level's elements come."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
+    widest = min(2 * level.size, longest) - level.size
+    kind = np.uint8 if least < 1 << 8 else np.uint32  # no task counts beyond ``least``
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, n_held = np.zeros(SLOTS, kind), [], 0
+
+        def add() -> None:
+            slots, counts = np.unique(np.concatenate(held), return_counts=True)
+            table[slots] = np.minimum(table[slots] + counts, least)
+            held.clear()
+
+        for batch in batches:
+            for texts, languages in _blocks(batch, BLOCK_BYTES):
+                words = words_of(texts, languages)
+                for apart in range(1, widest + 1):
+                    keys, at = _places(words, shared.value, apart)
+                    held.append((paired(keys[at], keys[at + apart]) & np.uint64(SLOTS - 1)).astype(np.uint32))
+                    n_held += len(at)
+                if n_held >= BUFFER_PAIRS:
+                    add()
+                    n_held = 0
+        if n_held:
+            add()
+        used = np.flatnonzero(table)
+        ends = np.searchsorted(used, np.arange(0, SLOTS + 1, ROW_SLOTS))
+        rows = np.flatnonzero(np.diff(ends))
+        for first in range(0, len(rows), BATCH_ROWS):
+            some = rows[first:first + BATCH_ROWS]
+            slots = [used[ends[r]:ends[r + 1]] for r in some]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([(s % ROW_SLOTS).astype(np.uint16).tobytes() for s in slots], pa.binary()),
+                                   pa.array([table[s].tobytes() for s in slots], pa.binary())], names=["at", "slots", "counts"])
+
+    def total(tasks: pa.Table) -> pa.Table:
+        sums = np.zeros(ROW_SLOTS, np.int64)
+        for slots, counts in zip(tasks["slots"].to_pylist(), tasks["counts"].to_pylist()):
+            sums[np.frombuffer(slots, np.uint16)] += np.frombuffer(counts, kind)
+        return pa.table({"at": tasks["at"].slice(0, 1), "bits": pa.array([np.packbits(sums >= least, bitorder="little").tobytes()], pa.binary())})
+
+    counted = docs.mapInArrow(count, "at int, slots binary, counts binary").groupBy("at").applyInArrow(total, "at int, bits binary")
+    bits = np.zeros((SLOTS // ROW_SLOTS, ROW_SLOTS // 8), np.uint8)
+    for r in counted.collect():  # at most SLOTS bits
+        bits[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.reshape(-1).view("<u8")
+
+
+def _count_pairs(docs: DataFrame, level: Level, longest: int, likely: np.ndarray | None = None) -> DataFrame:
+    """key, c1 ... and n of phrases longer than the level's elements, up to twice as long."""
+    shared, slots = docs.sparkSession.sparkContext.broadcast(level), docs.sparkSession.sparkContext.broadcast(likely)
     width = min(2 * level.size, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +335,7 @@ def _count_pairs(docs: DataFrame, level: Level, longest: int) -> DataFrame:
             for texts, languages in _blocks(batch, BLOCK_BYTES):
                 words = words_of(texts, languages)
                 for apart in every:
-                    held[apart].append(_neighbours(words, shared.value, apart))
+                    held[apart].append(_neighbours(words, shared.value, apart, slots.value))
                     n_held += len(held[apart][-1][0])
                 if n_held >= BUFFER_PAIRS:
                     yield from flush()
@@ -321,7 +386,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
             break
         width = min(2 * size, longest)
         names = [f"c{i + 1}" for i in range(width)]
-        pairs = _count_pairs(docs, level, longest).groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        likely = _likely(docs, level, longest, least) if size > 1 else None
+        pairs = _count_pairs(docs, level, longest, likely).groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         longer = materialise(pairs, name=f"phrases{width}")
         phrases = phrases.unionByName(longer.select(F.array_compact(F.array(*names)).alias("codes"), "f"))
         if width < longest:  # then it is twice the level's size

@@ -145,3 +145,31 @@ def test_codes_of_words_and_keys_of_phrases_are_not_shuffled(spark, monkeypatch)
     C.frequent(frame(spark, [("a b c d e", "en")] * 5).select("lang", "text"), 2)
     dealt = [line for name in ("counts", "phrases2", "phrases4") for line in plans[name].splitlines() if "hashpartitioning(" in line]
     assert len(dealt) == 3 and not any("key#" in line or "code#" in line for line in dealt)
+
+
+def test_rare_phrases_of_frequent_parts_are_not_sent(spark):
+    # All pairs are frequent, and but one phrase of three words is rare.
+    draw = random.Random(5)
+    rows = [(" ".join(draw.choices("abcdefghijklmnopqrst", k=40)) + ". x y z", "en") for _ in range(400)]
+    docs, sent = frame(spark, rows).select("lang", "text"), []
+    count_pairs = C._count_pairs
+
+    def watched(*given):
+        counted = count_pairs(*given)
+        sent.append(counted.count())
+        return counted
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(C, "_count_pairs", watched)
+        phrases = C.frequent(docs, 20)[2]
+        assert phrases.where("size(codes) = 2").count() > 300 and phrases.where("size(codes) = 3").count() == 1
+    assert sent[1] <= 3 * 10 and sent[0] >= 300  # once a task, and what shares a slot
+
+
+@pytest.mark.parametrize("slots,least", [(64, 3), (1 << 14, 300)])
+def test_full_slots_and_wide_counts(spark, monkeypatch, slots, least):
+    monkeypatch.setattr(C, "SLOTS", slots)
+    monkeypatch.setattr(C, "ROW_SLOTS", 64)
+    rows = texts(4) + [("in the end of the day", None)] * 310
+    want = brute(rows, 50, least)
+    assert found(spark, rows, 50, least) == want and any(r[2].count(" ") > 1 for r in want)
