@@ -17,6 +17,10 @@ counts them by ``SLOTS`` slots of their keys' bits, and only those whose slot is
 their words.  Slots are shared by chance, which lets rare phrases through and holds back none; when the
 phrases are many times as many as the slots, all are counted by their words.
 
+A task of that last pass sends a row for each phrase it has met, and both phrases and parts of the input grow with the
+texts.  So the pass has as many tasks as the cluster has cores at most, not one for each part, and a task sums
+what it finds, up to ``HELD`` phrases; beyond them it sends the rarer ones and goes on.
+
 Scores.  For every cut of a phrase the counts of both sides are looked up in joins that deal
 frequent words to many tasks; the lowest score counts.  Phrases that mostly occur inside a
 longer one are dropped, and the best of each language are ranked in buckets first.
@@ -63,6 +67,7 @@ SLOTS, ROW_SLOTS, BATCH_ROWS = 1 << 25, 1 << 14, 256
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 4096
 VOCABULARY_BYTES = 2 << 20
 BUFFER_PAIRS = 1 << 20
+HELD, SUMMED_PAIRS, SENT_ROWS = 1 << 19, 1 << 18, 1 << 16
 
 # What ends a piece, and what stands between the words of one.
 _BREAKS, _GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -180,11 +185,42 @@ class Level:
         return np.where(self.keys[at] == keys, self.ranks[at], -1)
 
 
+class Sums:
+    """Counts of at most ``most`` phrases, the more frequent ones of those seen."""
+
+    def __init__(self, most: int, size: int):
+        self._most = most
+        self._rows = np.zeros(0, np.uint64), np.zeros((0, size), np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Count phrases.  When there are too many, returns the rarer ones and keeps half as many as it may."""
+        keys, codes, counts = (np.concatenate(both) for both in zip(self._rows, (keys, codes, counts)))
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+        sums = np.add.reduceat(counts[order], first)
+        rows = keys[order[first]], codes[order[first]], sums
+        if len(sums) <= self._most:
+            self._rows = rows
+            return None
+        stays, n = np.zeros(len(sums), bool), max(self._most // 2, 1)
+        stays[np.argpartition(sums, -n)[-n:]] = True
+        self._rows = tuple(r[stays] for r in rows)
+        return tuple(r[~stays] for r in rows)
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, self._rows = self._rows, tuple(r[:0] for r in self._rows)
+        return rows
+
+
 class Tiles:
-    """Counts of pairs of elements ``apart`` words from each other: dense tiles, and sorted lists for the rest."""
+    """Counts of pairs of elements ``apart`` words from each other: dense tiles, and sorted lists for the rest.
 
-    def __init__(self, level: Level, apart: int = 1, width: int | None = None):
+    With ``held``, the lists are summed up to so many phrases until ``rest`` is called.
+    """
+
+    def __init__(self, level: Level, apart: int = 1, width: int | None = None, held: int = 0):
         self._level, self._dense, self._apart = level, {}, apart
+        self._sums = Sums(held, level.size + apart) if held else None
         self._width = width or level.size + apart
         self._key_of_rank = np.zeros(len(level.ranks), np.uint64)
         self._key_of_rank[level.ranks] = level.keys
@@ -208,7 +244,16 @@ class Tiles:
         if not len(sparse):
             return None
         keys, where, counts = np.unique(paired(left[sparse], right[sparse]), return_index=True, return_counts=True)
-        return _counted(keys, codes[sparse[where]], counts, self._width)
+        found = keys, codes[sparse[where]], counts
+        if self._sums and (found := self._sums.add(*found)) is None:
+            return None
+        return _counted(*found, self._width)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        yield from self.dense()
+        found = self._sums.rest() if self._sums else ([],)
+        for first in range(0, len(found[0]), SENT_ROWS):
+            yield _counted(*(r[first:first + SENT_ROWS] for r in found), self._width)
 
     def dense(self) -> Iterator[pa.RecordBatch]:
         for t, table in self._dense.items():
@@ -320,9 +365,12 @@ def _count_pairs(docs: DataFrame, level: Level, longest: int, likely: np.ndarray
     """key, c1 ... and n of phrases longer than the level's elements, up to twice as long."""
     shared, slots = docs.sparkSession.sparkContext.broadcast(level), docs.sparkSession.sparkContext.broadcast(likely)
     width = min(2 * level.size, longest)
+    held_phrases, most_pairs = 0, BUFFER_PAIRS
+    if likely is not None:
+        docs, held_phrases, most_pairs = docs.coalesce(docs.sparkSession.sparkContext.defaultParallelism), HELD, SUMMED_PAIRS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = {apart: Tiles(shared.value, apart, width) for apart in range(1, width - level_size + 1)}
+        every = {apart: Tiles(shared.value, apart, width, held_phrases) for apart in range(1, width - level_size + 1)}
         held, n_held, n_dense = {apart: [] for apart in every}, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -337,7 +385,7 @@ def _count_pairs(docs: DataFrame, level: Level, longest: int, likely: np.ndarray
                 for apart in every:
                     held[apart].append(_neighbours(words, shared.value, apart, slots.value))
                     n_held += len(held[apart][-1][0])
-                if n_held >= BUFFER_PAIRS:
+                if n_held >= most_pairs:
                     yield from flush()
                     n_dense, n_held = n_dense + n_held, 0
                     if n_dense >= 1 << 31:  # a cell has 32 bits
@@ -347,7 +395,7 @@ def _count_pairs(docs: DataFrame, level: Level, longest: int, likely: np.ndarray
         if n_held:
             yield from flush()
         for tiles in every.values():
-            yield from tiles.dense()
+            yield from tiles.rest()
 
     level_size = level.size
     codes = ", ".join(f"c{i + 1} long" for i in range(width))

@@ -173,3 +173,51 @@ def test_full_slots_and_wide_counts(spark, monkeypatch, slots, least):
     rows = texts(4) + [("in the end of the day", None)] * 310
     want = brute(rows, 50, least)
     assert found(spark, rows, 50, least) == want and any(r[2].count(" ") > 1 for r in want)
+
+
+def test_more_parts_of_the_input_send_a_phrase_no_more_often(spark, monkeypatch):
+    # Each part of the input holds every phrase.
+    draw = random.Random(7)
+    rows = [(". ".join(draw.sample(["a b c d", "e f g", "h i j k", "l m n"], 4)), "en") for _ in range(960)]
+    count_pairs, sent = C._count_pairs, []
+
+    def watched(*given):
+        counted = count_pairs(*given)
+        sent.append(counted.count())
+        return counted
+
+    monkeypatch.setattr(C, "_count_pairs", watched)
+    for parts in (32, 160):
+        docs = frame(spark, rows).select("lang", "text").repartition(parts)
+        longer = C.frequent(docs, 30)[2].where("size(codes) > 2").collect()
+        assert sorted((len(r.codes), r.f) for r in longer) == [(3, 960)] * 6 + [(4, 960)] * 2
+    assert max(sent[1], sent[3]) <= 8 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_sums_lose_nothing_and_stay_bounded(held):
+    draw = np.random.Generator(np.random.PCG64(11))
+    keys = np.unique(draw.integers(1, 1 << 63, 400, np.uint64))
+    codes = np.stack([keys + np.uint64(1), keys + np.uint64(2)], axis=1)
+    sums, want, got, sent = C.Sums(held, 2), Counter(), Counter(), []
+    for _ in range(20):
+        pick, n = np.unique(np.minimum(draw.geometric(0.02, 200) - 1, len(keys) - 1), return_counts=True)
+        want.update(dict(zip(keys[pick].tolist(), n.tolist())))
+        if (found := sums.add(keys[pick], codes[pick], n)) is not None:
+            sent.append(found)
+        assert len(sums._rows[0]) <= held
+    sent.append(sums.rest())
+    for k, c, n in sent:
+        assert len(np.unique(k)) == len(k) and (c == np.stack([k + np.uint64(1), k + np.uint64(2)], axis=1)).all()
+        got.update(dict(zip(k.tolist(), n.tolist())))
+    assert got == want and len(sums.rest()[0]) == 0 and (len(sent) > 1) == (held < 1000)
+
+
+@pytest.mark.parametrize("held", [1, 5])
+def test_few_held_phrases_change_nothing(spark, monkeypatch, held):
+    monkeypatch.setattr(C, "HELD", held)
+    monkeypatch.setattr(C, "SUMMED_PAIRS", 16)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 256)
+    rows = texts(6)
+    want = brute(rows, 50, 3)
+    assert found(spark, rows) == want and any(r[2].count(" ") > 1 for r in want)
