@@ -56,7 +56,9 @@ from keysift.plans.durable import discard, materialise, release_shuffles, scratc
 
 # Cells of up to so many sets are listed as pairs.
 SMALL_CELL = 16
-SLICES = 2
+# Up to so many cells, or shingles of regions, are handled in one pass.  More cells take as many passes as that makes, up to
+# the number of lists that a set's cells are written in; more shingles take up to so many more, by their share of all shingles.
+PASS_HASHES, SLICES, REGION_PASSES = 10_000_000, 8, 6
 # A region of more sets, or of more shingles in all, is divided.
 REGION_SETS, REGION_SHINGLES = 1024, 2_000_000
 N_PIVOTS = 8
@@ -151,8 +153,20 @@ def _set_key(shingles: np.ndarray) -> bytes:
     return mixed(np.array([mixed(shingles).sum(), mixed(shingles * np.uint64(3)).sum()], np.uint64)).tobytes()
 
 
+def _dealt(listed: list[np.ndarray]) -> list[pa.Array]:
+    """The cells of each set in as many lists as there are slices, by the cells' hashes."""
+    n, keys = len(listed), np.concatenate(listed)
+    place = (keys % np.uint64(SLICES)).astype(np.int64) * n + np.repeat(np.arange(n), list(map(len, listed)))
+    keys = keys[np.argsort(place, kind="stable")].view(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=SLICES * n))])
+    ends = [ends[k * n:(k + 1) * n + 1] for k in range(SLICES)]
+    return [pa.ListArray.from_arrays(pa.array(e - e[0], pa.int32()), pa.array(keys[e[0]:e[-1]])) for e in ends]
+
+
 def sketches(docs: DataFrame, percent: int, n_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set (128 bits that stand for the set), half (64 of them), cells, shared."""
+    """doc_id, n_shingles, set (128 bits that stand for the set), half (64 of them), shared, n_cells, and the
+    cells in cells_0, cells_1 and so on."""
+    lists = [f"cells_{k}" for k in range(SLICES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = Cells(percent)
@@ -163,63 +177,85 @@ def sketches(docs: DataFrame, percent: int, n_words: int, id_col: str, text_col:
                 yield pa.record_batch(
                     [batch["doc_id"].slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()),
                      pa.array(whole, pa.binary()), pa.array([int.from_bytes(w[:8], "little", signed=True) for w in whole]),
-                     pa.array([keys.view(np.int64) for keys, _ in listed], pa.list_(pa.int64())),
-                     pa.array([n for _, n in listed], pa.int32())],
-                    names=["doc_id", "n_shingles", "set", "half", "cells", "shared"])
+                     pa.array([n for _, n in listed], pa.int32()), pa.array([len(keys) for keys, _ in listed], pa.int32()),
+                     *_dealt([keys for keys, _ in listed])],
+                    names=["doc_id", "n_shingles", "set", "half", "shared", "n_cells", *lists])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, set binary, half long, "
-                                "cells array<long>, shared int")
+                                f"shared int, n_cells int, {', '.join(f'{c} array<long>' for c in lists)}")
 
 
-def _edges(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: sets to be kept in one region.
+def _edges(listed: DataFrame, classes: DataFrame, percent: int, listed_at: str) -> DataFrame:
+    """a, b: sets to be kept in one region.  Deletes ``listed``, which is at ``listed_at``.
 
     Linked sets share at least ``shared`` cells.  Those of them that are small show them as
     a pair, listed often enough once the large cells that both may share are taken off.  If
     they share no small cell, all of those are large: so only sets with that many large
     cells have to be connected through them.  A passage that many texts hold makes
     large cells, but not that many in a text that has other content.
+
+    Cells are many rows.  Some slices of them at a time are turned into counts of pairs and members of large cells;
+    all else of a pass is deleted before the next, which holds tables and shuffles down.
     """
-    spark = rows.sparkSession
-    listed = rows.select(F.explode("cells").alias("cell"), "half")
-    members = []
-    for k in range(SLICES):  # cells are many rows: a slice of them at a time holds shuffles down
-        cells = listed.where(F.pmod("cell", F.lit(SLICES)) == k)
+    spark, kept = listed.sparkSession, scratch_dir(listed.sparkSession, "passes")
+    n_cells = listed.agg(F.sum("n_cells")).first()[0] or 0
+    n_passes = 1 if n_cells <= PASS_HASHES else min(SLICES, 2 + n_cells // PASS_HASHES)
+    counted, large, n_large = [], [], []
+    for k in range(n_passes):
+        now = scratch_dir(spark, "cells")
+        cells = listed.select(F.explode(F.concat(*(f"cells_{i}" for i in range(k, SLICES, n_passes)))).alias("cell"), "half")
         met = materialise(cells.groupBy("cell").agg(F.min("half").alias("least"), F.max("half").alias("most"))
-                          .where("least <> most").select("cell"), name="cells")
-        release_shuffles(spark)
-        members.append(materialise(cells.join(met, "cell", "left_semi").distinct(), name="members"))
-        release_shuffles(spark)
-    members = reduce(DataFrame.unionByName, members)
-    shape = materialise(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), name="shape")
-    members = materialise(members.join(shape, "cell"), name="members")
-    large, small = members.where(F.col("n") > SMALL_CELL), members.where(F.col("n") <= SMALL_CELL)
+                          .where("least <> most").select("cell"), f"{now}/met")
+        if n_passes > 1:
+            release_shuffles(spark)
+        members = materialise(cells.join(met, "cell", "left_semi").distinct(), f"{now}/members")
+        if n_passes > 1:
+            release_shuffles(spark)
+        shape = materialise(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), f"{now}/shape")
+        sized = materialise(members.join(shape, "cell"), f"{now}/sized")
+        large.append(materialise(sized.where(F.col("n") > SMALL_CELL).select("cell", "half"), f"{kept}/large-{k}"))
+        n_large.append(materialise(large[k].groupBy("half").agg(F.count(F.lit(1)).alias("n_large")), f"{kept}/n_large-{k}"))
+        # Lists of at most SMALL_CELL sets, turned into pairs inside their row.  Those of one group of near copies mostly
+        # begin with the same set and so come to one task, which adds up their pairs before these are dealt out.
+        small = sized.where(F.col("n") <= SMALL_CELL).groupBy("cell").agg(F.array_sort(F.collect_list("half")).alias("sets"))
+        pair = F.explode(F.expr("flatten(transform(sets, (x, i) -> transform(slice(sets, i + 2, size(sets)), y -> struct(x AS a, y AS b))))"))
+        pairs = small.select("sets").repartition(F.get("sets", F.lit(0))).select(pair.alias("p"))
+        counted.append(materialise(pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")), f"{kept}/pairs-{k}"))
+        discard(spark, now)
+        if n_passes > 1:
+            release_shuffles(spark)
+    discard(spark, listed_at)
+
     known = classes.groupBy("half").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"),
                                         F.min("shared").alias("shared"))
-    known = materialise(known.join(large.groupBy("half").agg(F.count(F.lit(1)).alias("n_large")), "half", "left").withColumn(
-        "n_large", F.coalesce("n_large", F.lit(0))), name="known")
-
-    tied = materialise(large.join(known.where(F.col("n_large") >= F.col("shared")).select("half"), "half", "left_semi")
-                       .select("cell", "half"), name="tied")
-    first = materialise(tied.groupBy("cell").agg(F.min("half").alias("first")), name="firsts")
+    in_large = reduce(DataFrame.unionByName, n_large).groupBy("half").agg(F.sum("n_large").alias("n_large"))
+    known = materialise(known.join(in_large, "half", "left").withColumn("n_large", F.coalesce("n_large", F.lit(0))), f"{kept}/known")
+
+    links = []
+    for k in range(n_passes):
+        tied = materialise(large[k].join(known.where(F.col("n_large") >= F.col("shared")).select("half"), "half", "left_semi"),
+                           f"{kept}/tied-{k}")
+        first = materialise(tied.groupBy("cell").agg(F.min("half").alias("first")), f"{kept}/firsts-{k}")
+        links.append(materialise(tied.join(first, "cell").select("half", "first").distinct(), f"{kept}/links-{k}"))
+        discard(spark, f"{kept}/large-{k}", f"{kept}/tied-{k}", f"{kept}/firsts-{k}")
+    release_shuffles(spark)
     # A set is connected with the smallest of its cells' first sets, and that one with the others of them,
     # which are few and the same for most sets of a group.
-    firsts = tied.join(first, "cell").groupBy("half").agg(F.collect_set("first").alias("firsts"))
+    firsts = reduce(DataFrame.unionByName, links).groupBy("half").agg(F.collect_set("first").alias("firsts"))
     centre = F.array_min("firsts")
     stars = firsts.select(centre.alias("a"), F.explode(F.array_union("firsts", F.array("half"))).alias("b")).where("a <> b")
 
-    # Lists of at most SMALL_CELL sets, turned into pairs inside their row.
-    listed = small.groupBy("cell").agg(F.array_sort(F.collect_list("half")).alias("sets"))
-    pair = F.explode(F.expr("flatten(transform(sets, (x, i) -> transform(slice(sets, i + 2, size(sets)), y -> struct(x AS a, y AS b))))"))
-    counted = listed.select(pair.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    counted = reduce(DataFrame.unionByName, counted).groupBy("a", "b").agg(F.sum("n").alias("n"))
     of = lambda side: known.select(F.col("half").alias(side), *(
         F.col(c).alias(f"{c}_{side}") for c in ("least", "most", "shared", "n_large")))
     pairs = counted.join(of("a"), "a").join(of("b"), "b").where(
         (F.col("n") >= F.least("shared_a", "shared_b") - F.least("n_large_a", "n_large_b"))
         & (F.col("most_a") * 100 >= F.col("least_b") * percent)
         & (F.col("most_b") * 100 >= F.col("least_a") * percent)).select("a", "b")
-    return materialise(stars.unionByName(pairs).distinct(), name="edges")
+    edges = materialise(stars.unionByName(pairs).distinct(), name="edges")
+    discard(spark, kept)
+    return edges
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -377,19 +413,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n_words: int = 5, id_col
     spark = docs.sparkSession
     listed_at = scratch_dir(spark, "cells")
     listed = materialise(sketches(docs, percent, n_words, id_col, text_col), listed_at)
-    rows = materialise(listed.drop("cells"), name="sketches")
+    rows = materialise(listed.select("doc_id", "n_shingles", "set", "half", "shared"), name="sketches")
     classes = materialise(rows.where("n_shingles > 0").groupBy("set").agg(
         F.min("doc_id").alias("first_id"), F.first("half").alias("half"), F.first("n_shingles").alias("n_shingles"),
         F.first("shared").alias("shared")), name="classes")
-    edges = _edges(listed.select("half", "cells"), classes, percent)
-    discard(spark, listed_at)
+    edges = _edges(listed, classes, percent, listed_at)
     release_shuffles(spark)
     regions = components(edges).select(F.col("node").alias("half"), F.col("label").alias("region"))
-    members = materialise(classes.join(regions, "half").select("region", "set", "first_id"), name="members")
-    sets = materialise(_sets(docs, members.select("first_id"), n_words, id_col, text_col), name="sets")
-    release_shuffles(spark)
-    found = _join_regions(members.select("region", "set").join(sets, "set"), percent, max_sets, max_shingles)
-    release_shuffles(spark)
+    members = materialise(classes.join(regions, "half").select("region", "set", "first_id", "n_shingles"), name="members")
+    # Sets are larger than their texts.  The more of them have to be compared, the smaller the share of regions at a time.
+    inside, whole = (t.agg(F.sum("n_shingles")).first()[0] or 0 for t in (members, classes))
+    n_passes, found = 1 if inside <= PASS_HASHES else 1 + REGION_PASSES * inside // whole, []
+    for k in range(n_passes):
+        some, sets_at = members.where(F.pmod(F.xxhash64("region"), F.lit(n_passes)) == k), scratch_dir(spark, "sets")
+        sets = materialise(_sets(docs, some.select("first_id"), n_words, id_col, text_col), sets_at)
+        release_shuffles(spark)
+        found += _join_regions(some.select("region", "set").join(sets, "set"), percent, max_sets, max_shingles)
+        discard(spark, sets_at)
+        release_shuffles(spark)
 
     links = found[0]
     for more in found[1:]:
